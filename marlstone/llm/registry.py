@@ -7,17 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.jaccard_join import jaccard_join
+from marlstone.llm.quality import quality_scores
 from marlstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents: doc_id, held_out, score, predicted."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents: doc_id, class_id, n_links, n_texts, class_size."""
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op7_jaccard_join": op7_jaccard_join,
 }
 

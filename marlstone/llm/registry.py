@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.jaccard_join import jaccard_join
+from marlstone.llm import line_dedup as lines
+from marlstone.llm import url_trust
 from marlstone.llm.quality import quality_scores
 from marlstone.session import table
 
@@ -18,14 +20,29 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages: page_id, host, path, rule, verdict."""
+    return url_trust.url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents: doc_id, class_id, n_links, n_texts, class_size."""
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated chunks of lines: doc_id, text, n_removed."""
+    return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
+    "op3_url_trust": op3_url_trust,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_line_dedup": op8_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_trust": url_trust.oracle_sql(),
+    "op8_line_dedup": lines.oracle_sql(),
+}

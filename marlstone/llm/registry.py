@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marlstone.llm.jaccard_join import jaccard_join
+from marlstone.llm import byte_bpe, packing, png_media, url_trust
 from marlstone.llm import line_dedup as lines
-from marlstone.llm import url_trust
 from marlstone.llm.quality import quality_scores
 from marlstone.session import table
 
@@ -25,6 +26,19 @@ def op3_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op4_png(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as PNG and read back: sizes, digests and cosine hash."""
+    return png_media.media_features(png_media.to_media(table(spark, sf_dir, "documents")))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), offsets=False))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents: doc_id, class_id, n_links, n_texts, class_size."""
     return jaccard_join(table(spark, sf_dir, "documents"))
@@ -35,11 +49,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens, one row per piece."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op3_url_trust": op3_url_trust,
+    "op4_png": op4_png,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.jaccard_join import jaccard_join
-from marlstone.llm import byte_bpe, packing, png_media, url_trust
+from marlstone.llm import anisotropic, byte_bpe, packing, png_media, substring_dedup, url_trust
 from marlstone.llm import line_dedup as lines
 from marlstone.llm.quality import quality_scores
 from marlstone.session import table
@@ -31,6 +31,11 @@ def op4_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return png_media.media_features(png_media.to_media(table(spark, sf_dir, "documents")))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated passages: doc_id, text, cut_chars."""
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), offsets=False))
@@ -49,6 +54,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return anisotropic.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens, one row per piece."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -58,9 +69,11 @@ QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op3_url_trust": op3_url_trust,
     "op4_png": op4_png,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
+    "op9_anisotropic": op9_anisotropic,
     "op10_packing": op10_packing,
 }
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.jaccard_join import jaccard_join
-from marlstone.llm import anisotropic, byte_bpe, packing, png_media, substring_dedup, url_trust
+from marlstone.llm import anisotropic, byte_bpe, packing, page_diff, png_media, substring_dedup, url_trust
 from marlstone.llm import line_dedup as lines
 from marlstone.llm.quality import quality_scores
 from marlstone.session import table
@@ -21,6 +21,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages: page_id, url, text, n_chars, n_shared."""
+    return page_diff.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on the urls of all pages: page_id, host, path, rule, verdict."""
     return url_trust.url_verdicts(table(spark, sf_dir, "pages"))
@@ -67,6 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
+    "op2_page_diff": op2_page_diff,
     "op3_url_trust": op3_url_trust,
     "op4_png": op4_png,
     "op5_substring_dedup": op5_substring_dedup,

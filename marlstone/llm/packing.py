@@ -17,6 +17,7 @@ import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,60 +32,82 @@ SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 2, 2, 10, 5
 DISSOLVE = 0.97
 #: Most words that a task keeps with their ids.
 CACHE = 800_000
-_MARK = "\x01"
 
 
 class WordCoder:
-    """Ids of texts by a tokenizers file that drops white space. Words between ASCII
-    white space are encoded on their own, each once, and kept in a bounded table."""
+    """Ids of texts by a tokenizers file that drops white space and lower-cases.
+
+    Words between ASCII white space are looked up in a bounded table of the worker. New
+    words of common letters and punctuation are encoded many at a time by the file's model
+    behind a shorter pipeline that splits them in the same places, and told apart by their
+    bytes; other words go through the file's own pipeline.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        self._forget()
-
-    def _forget(self) -> None:
+        self.plain = Tokenizer(Tokenizer.from_file(path).model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Punctuation("contiguous"),
+            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.sizes[i] = len(token.removesuffix("</w>"))
         self.known: dict[str, int] = {}
         self.flat, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        joined = [w for w in words if _MARK not in w] if len(self.mark) == 1 else []
-        groups = [joined[i:i + 256] for i in range(0, len(joined), 256)] + [[w] for w in words if _MARK in w or len(self.mark) != 1]
-        flat, first, total, count = [self.flat], [self.first], len(self.flat), len(self.first) - 1
-        for a in range(0, len(groups), 64):
-            part = groups[a:a + 64]
-            for group, made in zip(part, self.tokenizer.encode_batch_fast([f" {_MARK} ".join(g) for g in part], add_special_tokens=False), strict=True):
+    def _forget(self) -> None:
+        """Keep the words learnt first, most of which are the frequent ones."""
+        kept = min(len(self.known), CACHE // 4)
+        self.known = dict(islice(self.known.items(), kept))
+        self.first = self.first[:kept + 1].copy()
+        self.flat = self.flat[:self.first[-1]].copy()
+
+    def _learn(self, words: set[str]) -> None:
+        easy = list(filter(_EASY.fullmatch, words))
+        other = list(words.difference(easy))
+        flat, first, total = [self.flat], [self.first], len(self.flat)
+        groups = [" ".join(easy[i:i + 512]).lower() for i in range(0, len(easy), 512)]
+        for a in range(0, len(groups), 32):
+            part = groups[a:a + 32]
+            for group, made in zip(part, self.plain.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 ids = np.array(made.ids, np.int32)
-                if len(group) > 1:
-                    marks = np.flatnonzero(ids == self.mark[0])
-                    ends = np.append(marks - np.arange(len(marks)), len(ids) - len(marks))
-                    ids = np.delete(ids, marks)
-                else:
-                    ends = np.array([len(ids)])
-                self.known.update(zip(group, range(count, count + len(group)), strict=True))
+                size = np.fromiter(map(len, group.encode().split(b" ")), np.int64)
                 flat.append(ids)
-                first.append(total + ends)
-                total, count = total + len(ids), count + len(group)
+                first.append(total + np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(size)) + 1)
+                total += len(ids)
+        for a in range(0, len(other), 4096):
+            for made in self.tokenizer.encode_batch_fast(other[a:a + 4096], add_special_tokens=False):
+                flat.append(np.array(made.ids, np.int32))
+                total += len(flat[-1])
+                first.append(np.array([total]))
+        self.known.update(zip(chain(easy, other), range(len(self.known), len(self.known) + len(words)), strict=True))
         self.flat, self.first = np.concatenate(flat), np.concatenate(first)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens."""
         cut = [t.translate(_BLANKS).split(" ") if _SEPARATORS.search(t) else t.split() for t in texts]
-        new = set().union(*cut) - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
-            self._forget()
-            new = set().union(*cut)
-        self._learn(sorted(new))
-        at = np.fromiter((self.known[w] for c in cut for w in c), np.int64)
+        count = np.array([len(c) for c in cut], np.int64)
+        words = list(chain.from_iterable(cut))
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        self._learn({words[i] for i in missing})
+        at[missing] = [self.known[words[i]] for i in missing]
         size = self.first[at + 1] - self.first[at]
         ends = np.cumsum(size)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[at] - ends + size, size)]
-        return np.split(ids, np.concatenate(([0], ends))[np.cumsum([len(c) for c in cut])][:-1]) if texts else []
+        if len(self.known) > CACHE:
+            self._forget()
+        stops = np.concatenate(([0], ends))[np.cumsum(count)].tolist()
+        return [ids[a:b] for a, b in zip([0, *stops], stops)]  # noqa: B905
 
 
+# Letters that lower-case and compose one by one and keep their number of bytes, and the
+# ASCII punctuation but for the apostrophe, which the tokenizer's pattern treats apart.
+_EASY = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f!-&(-/:-@\[-`{-~]+")
 # str.split() takes four control characters for white space that the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")

@@ -35,7 +35,9 @@ def build_session(master: str | None = None, app: str = "marlstone", **conf: str
     settings |= {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 _shipped: set[str] = set()

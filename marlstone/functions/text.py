@@ -96,3 +96,17 @@ def slash_command(text: Column) -> tuple[Column, Column]:
     rest = F.regexp_extract(text, r"(?s)^/[a-z]+[ \t\n]*(.*)$", 1)
     known = name.isin("plan", "chat", "direct", "generate", "remarks", "help")
     return F.when(known, name).otherwise(F.lit("")), F.when(known, rest).otherwise(text)
+
+
+# Code blocks and calls that change a vector collection.
+CODE_BLOCK = r"(?is)```(?:python|typescript|javascript|js|ts)\s*(.*?)```"
+MUTATING_CALL = (r"(?i)\.\s*(?:get_or_create_collection|getOrCreateCollection|create_collection|createCollection|delete_collection|deleteCollection"
+                 r"|add|upsert|update|delete|modify|reset)\s*\(")
+
+
+def answer_error(answer: Column, source_kind: Column) -> Column:
+    """Why a drafted answer for a vector source is refused, else null: SQL where there are
+    only collections, or code that changes a collection."""
+    vector = source_kind.isin("chroma", "mixed")
+    changes = F.exists(F.regexp_extract_all(answer, F.lit(CODE_BLOCK), F.lit(1)), lambda block: block.rlike(MUTATING_CALL))
+    return F.when((source_kind == "chroma") & F.lower(answer).contains("```sql"), "sql for a vector source").when(vector & changes, "changes a collection")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators.components import connected_components
+from marlstone.plans.materialize import materialize
 
 CHUNK, OVERLAP, LEAST_CHARS = 3000, 240, 120
 SHINGLE, SKETCH, BANDS, LEAST_SKETCH, NEAR = 5, 128, 8, 32, 0.85
@@ -105,7 +106,7 @@ def near_pairs(docs: DataFrame, threshold: float = NEAR, id_col: str = "id", ban
     Candidates share one of the `bands` smallest hashes. `docs` should hold each text once,
     as `exact_documents` gives it, so that copies do not meet here.
     """
-    sketched = docs.select(F.col(id_col).alias("id"), sketch(F.col("text")).alias("sig")).filter(F.size("sig") >= least)
+    sketched = materialize(docs.select(F.col(id_col).alias("id"), sketch(F.col("text")).alias("sig")).filter(F.size("sig") >= least), "sketches")
     spread = sketched.select("id", F.explode(F.slice("sig", 1, bands)).alias("h"))
     pairs = spread.alias("x").join(spread.alias("y"), "h").filter("x.id > y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     left, right = sketched.select(F.col("id").alias("a"), F.col("sig").alias("sa")), sketched.select(F.col("id").alias("b"), F.col("sig").alias("sb"))

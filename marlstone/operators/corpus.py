@@ -146,3 +146,19 @@ def violations(docs: DataFrame, made: DataFrame, groups: DataFrame, limit: int =
             .unionByName(one(joined.filter(F.expr("substring(text, start_char + 1, end_char - start_char) <> chunk")), "span text"))
             .unionByName(one(groups.groupBy("group_id").agg(F.count_distinct("split").alias("n")).filter("n > 1"), "split leakage"))
             .unionByName(one(groups.join(docs.select("id"), "id", "left_anti"), "group document")))
+
+
+def chunk_rollup(made: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row per chunk text with what its documents bring: spans, the least document's
+    group and split, sorted dialects and source ids, flags, and whether all are eligible.
+
+    chunks (doc_id, index, start_char, end_char, chunk), docs (id, group_id, split,
+    dialects, source_ids, quality_flags, training_eligible).
+    """
+    joined = made.withColumn("cid", T.digest(F.col("chunk"))).join(docs.withColumnRenamed("id", "doc_id"), "doc_id")
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    span = F.struct("doc_id", "index", "start_char", "end_char")
+    return joined.groupBy(F.col("cid").alias("id")).agg(
+        F.min("chunk").alias("text"), F.array_sort(F.collect_list(span)).alias("spans"), F.min_by("group_id", "doc_id").alias("group_id"),
+        F.min_by("split", "doc_id").alias("split"), merged("dialects"), merged("source_ids"), merged("quality_flags"),
+        F.bool_and("training_eligible").alias("training_eligible"))

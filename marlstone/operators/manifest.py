@@ -72,3 +72,18 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_nodes: int = 300, max_roun
         if after == before or after > max_nodes:
             break
     return seen
+
+
+def metadata_errors(snapshots: DataFrame) -> DataFrame:
+    """(directory, errors) of snapshots (directory, commit, url) with an unsafe directory,
+    a commit that is not 40 hex digits, or a url that is not https."""
+    bad = F.array_compact(F.array(
+        F.when(~F.coalesce(F.col("directory").rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$"), F.lit(False)), "directory"),
+        F.when(~F.coalesce(F.col("commit").rlike("^[0-9a-f]{40}$"), F.lit(False)), "commit"),
+        F.when(~F.coalesce(F.col("url").rlike(r"^https://[A-Za-z0-9.-]+/"), F.lit(False)), "url")))
+    return snapshots.select("directory", bad.alias("errors")).filter(F.size("errors") > 0)
+
+
+def seed_missing(existing: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
+    """The existing rows and those seeds whose key is missing; nothing is overwritten."""
+    return existing.unionByName(seeds.join(existing.select(key), key, "left_anti").select(*existing.columns))

@@ -85,3 +85,11 @@ def run_sql(spark: SparkSession, sql: str, allow_writes: bool = False, confirmed
     """Assess one statement, never trusting an earlier assessment, and run it."""
     permit(assess_spark(spark, sql, allow_writes), confirmed)
     return fetch(spark.sql(sql.strip().rstrip(";")), cap, timeout_s)
+
+
+def sample(result: Result, limit: int) -> tuple[Result, str]:
+    """The first `limit` rows of a result, and a note that says what they are."""
+    kept = Result(result.columns, result.rows[:limit], result.elapsed_ms, result.truncated or len(result.rows) > limit)
+    note = (f"{len(kept.rows)} of {len(result.rows)} kept rows; the original result was {'' if result.truncated else 'not '}truncated. "
+            "The sample is not complete and cannot establish totals.")
+    return kept, note

@@ -119,3 +119,43 @@ def bounded_read(df: DataFrame, columns: Sequence[str], limit: int, max_bytes: i
             return rows, True
         rows.append(value)
     return rows, False
+
+
+def candidate_engines(port: int) -> list[str]:
+    """The engines to probe for a port, the likeliest first."""
+    usual = {5432: "postgres", 3306: "mysql", 1433: "sqlserver"}
+    every = list(usual.values())
+    return sorted(every, key=lambda e: (e != usual.get(port), every.index(e)))
+
+
+def vector_catalog(path: str, limit: int = 500) -> list[tuple[str, int | None]]:
+    """(name, dimension) of the collections in a local vector store's SQLite catalog, opened
+    read-only; names that are not 3 to 80 plain characters are left out, and dimensions
+    that are not between 1 and a million are None."""
+    import re
+    import sqlite3
+    from pathlib import Path
+
+    with sqlite3.connect(f"{Path(path).resolve().as_uri()}?mode=ro", uri=True) as db:
+        rows = db.execute("select name, dimension from collections order by name limit ?", (limit,)).fetchall()
+    fits = lambda d: isinstance(d, int) and 0 < d < 1_000_000
+    return [(n, d if fits(d) else None) for n, d in rows if isinstance(n, str) and re.fullmatch(r"[A-Za-z0-9_.-]{3,80}", n)]
+
+
+def first_difference(actual: object, golden: object, path: str = "$") -> str | None:
+    """The path of the first place at which two JSON values differ, None if they are equal."""
+    if type(actual) is not type(golden):
+        return path
+    if isinstance(golden, dict):
+        for key in sorted(actual.keys() | golden.keys()):
+            if key not in actual or key not in golden:
+                return f"{path}.{key}"
+            if found := first_difference(actual[key], golden[key], f"{path}.{key}"):
+                return found
+        return None
+    if isinstance(golden, list):
+        for i, (a, g) in enumerate(zip(actual, golden, strict=False)):
+            if found := first_difference(a, g, f"{path}[{i}]"):
+                return found
+        return f"{path}[{min(len(actual), len(golden))}]" if len(actual) != len(golden) else None
+    return None if actual == golden else path

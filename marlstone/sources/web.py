@@ -41,3 +41,35 @@ def page_check(pages: DataFrame, id_col: str, html_col: str = "html", least: int
     out = pages.select(id_col, collapse(section(html, "title")).alias("title"), collapse(F.regexp_replace(body, "<[^>]*>", " ")).alias("body"))
     verdict = F.when(F.col("title").isin(*ERROR_TITLES), "error page").when(F.char_length("body") < least, "too short").otherwise("kept")
     return out.withColumn("chars", F.char_length("body")).withColumn("verdict", verdict)
+
+
+def table_rows(pages: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
+    """(id, row, cells array<string>) of every table row, cells without markup."""
+    rows = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    each = pages.select(id_col, F.posexplode(rows).alias("row", "r"))
+    cells = F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: collapse(F.regexp_replace(c, "<[^>]*>", " ")))
+    return each.select(id_col, "row", cells.alias("cells")).filter(F.size("cells") > 0)
+
+
+def catalog_selection(entries: DataFrame, categories: tuple[str, ...], title_pattern: str, excluded_pattern: str) -> DataFrame:
+    """Entries (title, category, ...) with `selected` and the reason: excluded titles go,
+    then the category or the title decides."""
+    out = F.col("title").rlike(excluded_pattern)
+    reason = F.when(out, "excluded title").when(F.col("category").isin(*categories), "category").when(F.col("title").rlike(title_pattern), "title").otherwise("no match")
+    return entries.withColumn("reason", reason).withColumn("selected", F.col("reason").isin("category", "title"))
+
+
+def derived_urls(urls: DataFrame, pattern: str, template: str, known: DataFrame) -> DataFrame:
+    """(url, derived) where the pattern fits: the template with its groups filled in, less
+    the urls that are known already (url)."""
+    made = urls.filter(F.col("url").rlike(pattern)).select("url", F.regexp_replace("url", pattern, template).alias("derived")).dropDuplicates(["derived"])
+    return made.join(known.select(F.col("url").alias("derived")), "derived", "left_anti").select("url", "derived")
+
+
+def discovered(pages: DataFrame, base_col: str, title_col: str, html_col: str = "html") -> DataFrame:
+    """(url, parent_title): absolute and host-relative links of pages in canonical form,
+    each url once with the least parent title."""
+    href = F.explode(F.regexp_extract_all(F.col(html_col), F.lit(_HREF), F.lit(1))).alias("href")
+    each = pages.select(F.regexp_extract(base_col, r"^(https?://[^/?#]+)", 1).alias("site"), F.col(title_col).alias("parent_title"), href)
+    whole = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat("site", "href"))
+    return each.select(canonical(whole).alias("url"), "parent_title").filter("url is not null").groupBy("url").agg(F.min("parent_title").alias("parent_title"))

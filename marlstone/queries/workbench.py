@@ -183,9 +183,9 @@ def git_blob_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history_listing(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations newest first: title, turns and place."""
+    """The 50 newest conversations: title, turns and place."""
     c = table(spark, d, "conversations")
-    by = c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by("text", "turn").alias("first_text"))
+    by = c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by("text", "turn").alias("first_text")).orderBy(F.desc("conv_id")).limit(50)
     place = F.row_number().over(Window.orderBy(F.desc("conv_id")))
     return by.select("conv_id", "turns", T.chat_title(F.col("first_text")).alias("title"), place.cast("long").alias("place"))
 
@@ -256,6 +256,6 @@ ORACLE_SQL = {
         from nation) on src = node where depth < 4) select node, min(depth) as depth from r group by 1""",
     "git_blob_names": "select item_id, sha1(concat('blob ', strlen(text), chr(0), text)) as blob from benchmark",
     "history_listing": f"""select conv_id, turns, title, row_number() over (order by conv_id desc) as place from (select conv_id, count(*) as turns, substr({_TITLED}, 1, 64) as title
-        from conversations group by 1)""",
+        from conversations group by 1 order by conv_id desc limit 50)""",
     "help_search": "select p_partkey, p_name, p_brand from part where contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'widget brand#13')",
 }

@@ -7,12 +7,23 @@ files, never another executor's memory. The folder is the one the cluster names
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local_dir() -> str:
+    """A folder of this process, removed when it ends; for local masters only."""
+    folder = tempfile.mkdtemp(prefix="marlstone-shared-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder; a local default is allowed for local masters only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,11 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"file://{tempfile.gettempdir()}/marlstone-shared"
+    return _local_dir()
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write `df` as Parquet to the shared folder and return a frame that reads it."""
+    """Write `df` as Parquet to the shared folder and return a frame that reads it.
+
+    On a cluster the table stays until it is discarded or the folder is emptied, as the
+    frames that read it are lazy.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -41,12 +41,18 @@ def build_session(master: str | None = None, app: str = "marlstone", **conf: str
 
 
 _shipped: set[str] = set()
+#: Limits of an Arrow batch. Rows may hold long texts, and batches are held several times
+#: over on their way between the JVM and Python.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once an application, so that Python workers
-    can import it wherever they start."""
+    can import it wherever they start, and bound Arrow batches where the session does not."""
     context = spark.sparkContext
+    for key, value in _BATCHES.items():
+        if key not in spark.conf.getAll:
+            spark.conf.set(key, value)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent

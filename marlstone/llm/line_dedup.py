@@ -7,7 +7,7 @@ in all documents are removed, but for the first occurrence (least doc_id, then p
 
 Counting moves hashes only; the texts of chunks whose hash repeats are then fetched and
 grouped by their bytes, so a clash of hashes removes nothing. Only DataFrame functions
-are used, and groups are counted with map-side combine.
+are used; groups are counted with map-side combine and joins spread hot chunks over tasks.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators.skew import salted_join, total_of
 from marlstone.plans.materialize import materialize
 
 SPACING, LEAST_LINES = 3, 2
@@ -57,14 +58,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut = F.explode(F.filter(line_chunks(F.col("_text"), spacing), lambda c: c["lines"] >= least_lines)).alias("c")
     seen = (named.filter("_id is not null and _text is not null").select("_id", cut)
             .select("_id", F.col("c.pos").alias("pos"), F.xxhash64("c.body").alias("h")))
-    often = seen.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    hits = seen.join(often, "h").groupBy("_id").agg(F.collect_set(F.struct("pos", "h")).alias("hits"))
+    often = materialize(seen.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    hits = salted_join(seen, often, ["h"], "n", total_of(often, "n"), ["_id", "pos"]).groupBy("_id").agg(F.collect_set(F.struct("pos", "h")).alias("hits"))
     bodies = materialize(
         named.join(hits, "_id").select("_id", "hits", cut)
         .select("_id", "hits", F.col("c.pos").alias("pos"), F.col("c.body").alias("body"), F.xxhash64("c.body").alias("h"))
         .filter(F.array_contains("hits", F.struct("pos", "h"))).select("_id", "pos", "h", "body"), "chunks")
-    groups = bodies.groupBy("h", "body").agg(F.min(F.struct("_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = (bodies.join(groups, ["h", "body"]).filter(F.struct("_id", "pos") != F.col("first"))
+    groups = materialize(bodies.groupBy("h", "body").agg(F.min(F.struct("_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "groups")
+    gone = (salted_join(bodies, groups, ["h", "body"], "n", total_of(groups, "n"), ["_id", "pos"]).filter(F.struct("_id", "pos") != F.col("first"))
             .groupBy("_id").agg(F.collect_set(F.struct("pos", "h")).alias("_gone")))
     joined = docs.drop("n_removed").join(gone.withColumnRenamed("_id", "_cut"), docs[id_col] == F.col("_cut"), "left")
     chunks = line_chunks(F.col(text_col), spacing)

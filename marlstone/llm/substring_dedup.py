@@ -8,8 +8,8 @@ digest over all documents. All occurrences but the first (least doc_id, then pos
 repeat; repeated chunks that follow each other form a run, and runs of `LEAST_RUN` bytes
 or more are cut from the text. Shorter runs, such as a common phrase, stay.
 
-Rows of the hot digest are counted with map-side combine; the joins are plain equi-joins
-that AQE splits. Texts are read twice for their chunks rather than keeping the chunks.
+Occurrences are counted with map-side combine, and joins spread hot digests over tasks.
+Texts are read twice for their chunks rather than keeping the chunks.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import workers
+from marlstone.operators.skew import salted_join, total_of
 from marlstone.plans.materialize import materialize
 
 WINDOW, SPACING, RARE, LEAST, LEAST_RUN = 16, 5, 256, 16, 72
@@ -66,7 +68,7 @@ def _digests(data: bytes, starts: list[int]) -> np.ndarray:
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, size, hi, lo): every chunk of every text, in bytes, with its digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in workers.batches("substring", batches):
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 doc, start, size, digest = [], [], [], []
@@ -90,11 +92,11 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, size, hi, lo) of every chunk that occurred before."""
     all_ = chunks(docs, id_col, text_col)
-    often = all_.groupBy("lo").agg(F.count("*").alias("n")).filter("n > 1").select("lo")
-    some = materialize(all_.join(often, "lo").select("doc_id", "start", "size", "hi", "lo"), "repeats")
-    firsts = (some.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
-              .filter("n > 1").select("hi", "lo", "first"))
-    return some.join(firsts, ["hi", "lo"]).filter(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "size", "hi", "lo")
+    often = materialize(all_.groupBy("lo").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    some = materialize(salted_join(all_, often, ["lo"], "n", total_of(often, "n"), ["doc_id", "start"]).select("doc_id", "start", "size", "hi", "lo"), "repeats")
+    firsts = materialize(some.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
+    return salted_join(some, firsts, ["hi", "lo"], "n", total_of(firsts, "n"), ["doc_id", "start"]).filter(
+        F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "size", "hi", "lo")
 
 
 def cut_runs(data: bytes, spans: list[tuple[int, int, int, int]], least_run: int = LEAST_RUN) -> list[tuple[int, int]]:
@@ -129,7 +131,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at, last = names.index(text_col), len(names) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in workers.batches("substring", batches):
             texts, cut = batch.column(at).to_pylist(), np.zeros(batch.num_rows, np.int32)
             for i, spans_ in enumerate(batch.column(last).to_pylist()):
                 if spans_ and texts[i]:

@@ -26,7 +26,7 @@ from marlstone.llm import workers
 from marlstone.operators.skew import salted_join, total_of
 from marlstone.plans.materialize import materialize
 
-WINDOW, SPACING, RARE, LEAST, LEAST_RUN = 16, 5, 256, 16, 72
+WINDOW, SPACING, RARE, LEAST, LEAST_RUN = 16, 5, 256, 16, 100
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

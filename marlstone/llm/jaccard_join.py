@@ -23,13 +23,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import workers
 from marlstone.llm.shingles import MinHash, as_bytes, mix64, shingle_hashes, slices
 from marlstone.operators.components import connected_components
+from marlstone.operators.skew import salted_join, total_of
 from marlstone.plans.materialize import materialize
 
 TREES, DEPTH, WIDTH, THRESHOLD, RECALL = 16, 8, 5, 0.8, 0.999
 #: Rows of a block of a bucket or cluster, and shingles of a block of a cluster.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 500_000
 #: Standard deviations under the threshold at which a signature still passes.
 SLACK = 4.0
 
@@ -53,10 +55,10 @@ def _sign(width: int, depth: int):
                         ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in workers.batches("jaccard", batches):
             raw, offsets = as_bytes(batch.column(1))
             missing = np.asarray(batch.column(1).is_null())
-            for a, b in slices(offsets, 4 << 20):
+            for a, b in slices(offsets, 1 << 20):
                 own = offsets[a:b + 1] - offsets[a]
                 part = raw[offsets[a]:offsets[b]]
                 hashes, bounds = shingle_hashes(part, own, width)
@@ -110,9 +112,9 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 def _spread(linked: np.ndarray) -> np.ndarray:
     """For each row of a symmetric boolean matrix, the first row of its component."""
-    label = np.arange(len(linked))
+    label = np.arange(len(linked), dtype=np.int32)
     while True:
-        low = np.where(linked, label[None, :], len(label)).min(axis=1)
+        low = np.where(linked, label[None, :], np.int32(len(label))).min(axis=1, initial=len(label))
         low = np.minimum(low, label)
         low = low[low]
         if (low == label).all():
@@ -126,7 +128,7 @@ def _candidates(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[bytes] = []
         right: list[bytes] = []
-        for group in _groups(batches, 3):
+        for group in _groups(workers.batches("jaccard", batches), 3):
             node = group.column(3).to_pylist()
             if len(node) < 2:
                 continue
@@ -164,7 +166,7 @@ def _shingle_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = as_bytes(batch.column("text"))
-            for a, b in slices(offsets, 4 << 20):
+            for a, b in slices(offsets, 1 << 20):
                 hashes, bounds = shingle_hashes(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], width)
                 sets = [np.unique(hashes[bounds[i]:bounds[i + 1]]).tobytes() for i in range(b - a)]
                 part = batch.slice(a, b - a)
@@ -188,14 +190,15 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     mark = np.add.reduceat(tag[owner], first)
     shared = np.flatnonzero(size > 1)
     _, pick, weight = np.unique(mark[shared], return_index=True, return_counts=True)
-    out = np.zeros((m, m), np.float64)
-    for a in range(0, len(pick), 2048):
-        chosen = shared[pick[a:a + 2048]]
+    kind = np.float32 if max(len(s) for s in sets) < 1 << 24 else np.float64  # whole numbers stay exact
+    out = np.zeros((m, m), kind)
+    for a in range(0, len(pick), 1024):
+        chosen = shared[pick[a:a + 1024]]
         n = size[chosen]
         row = np.concatenate([owner[first[c]:first[c] + k] for c, k in zip(chosen, n, strict=True)])
-        grid = np.zeros((m, len(chosen)), np.float32)
+        grid = np.zeros((m, len(chosen)), kind)
         grid[row, np.repeat(np.arange(len(chosen)), n)] = 1
-        out += (grid * weight[a:a + 2048].astype(np.float32)) @ grid.T
+        out += (grid * weight[a:a + 1024].astype(kind)) @ grid.T
     return out
 
 
@@ -203,7 +206,7 @@ def _verify(threshold: float):
     schema = pa.schema([("node", pa.binary()), ("root", pa.binary()), ("texts", pa.int64()), ("links", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
+        for group in _groups(workers.batches("jaccard", batches), 3):
             node = group.column("node").to_pylist()
             first = [i for i, x in enumerate(node) if not i or x != node[i - 1]]  # a repeated row may bring a text twice
             if len(first) < 2:
@@ -212,8 +215,11 @@ def _verify(threshold: float):
             sets = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
             size = np.array([len(s) for s in sets], np.float64)
             shared = _overlaps(sets)
-            union = size[:, None] + size[None, :] - shared
-            linked = (shared >= threshold * union - 1e-9) & (union > 0)
+            linked = np.zeros(shared.shape, bool)
+            for a in range(0, len(size), 128):  # in double precision, a few rows at a time
+                both = shared[a:a + 128].astype(np.float64)
+                union = size[a:a + 128, None] + size[None, :] - both
+                linked[a:a + 128] = (both >= threshold * union - 1e-9) & (union > 0)
             np.fill_diagonal(linked, False)
             if group.column("lo")[0].as_py() != group.column("hi")[0].as_py():
                 own = group.column("own").to_numpy()
@@ -251,8 +257,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
              F.first("sig").alias("sig"), F.first("keys").alias("keys")), "texts")
 
     spots = texts.filter("n_shingles > 0").select("node", F.explode("keys").alias("key"))
-    shared = spots.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    hits = spots.join(shared, "key").join(texts.select("node", "sig"), "node")
+    shared = materialize(spots.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n")), "shared")
+    hits = salted_join(spots, shared, ["key"], "n", total_of(shared, "n"), ["node"]).join(texts.select("node", "sig"), "node")
     dealt = _block_pairs(hits, F.ceil(F.col("size") / BLOCK_ROWS)).select("key", "lo", "hi", "node", "sig")
     candidates = (dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "sig")
                   .mapInArrow(_candidates(least_matches(threshold, TREES * DEPTH)), "u binary, v binary").distinct())
@@ -287,6 +293,26 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
+def oracle_sql(threshold: float = THRESHOLD, width: int = WIDTH) -> str:
+    """The same over the view `documents`, for DuckDB: all pairs of texts that share a shingle."""
+    return f"""
+    with recursive texts as (select text, min(doc_id) as rep, count(*) as copies from documents where text is not null group by 1),
+      listed as (select rep, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') as w from texts),
+      shingles as materialized (select rep, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < {width} then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width - 1}], ' ')) end)) as s from listed),
+      sizes as (select rep, count(*) as n from shingles group by 1),
+      pairs as (select a.rep as x, b.rep as y, count(*) as c from shingles a join shingles b using (s) where a.rep < b.rep group by 1, 2),
+      near as materialized (select x, y from pairs join sizes p on p.rep = x join sizes q on q.rep = y where c >= {threshold} * (p.n + q.n - c) - 1e-9),
+      links as materialized (select x, y from near union all select y, x from near),
+      reach(rep, other) as (select rep, rep from texts union select r.rep, l.y from reach r join links l on r.other = l.x),
+      classes as (select rep, min(other) as class_id from reach group by 1),
+      counts as (select x as rep, count(*) as n_texts, sum(copies) as linked from links join texts on rep = y group by 1),
+      placed as (select text, class_id, copies, coalesce(n_texts, 0) as n_texts, coalesce(linked, 0) + copies - 1 as n_links,
+        sum(copies) over (partition by class_id) as class_size from texts join classes using (rep) left join counts using (rep))
+    select doc_id, coalesce(class_id, doc_id) as class_id, cast(coalesce(n_links, 0) as bigint) as n_links, cast(coalesce(n_texts, 0) as bigint) as n_texts,
+      cast(coalesce(class_size, 1) as bigint) as class_size from documents left join placed using (text)"""
+
+
 def _owned(width: int):
     """Shingle sets of the rows whose text is the node's own, each node once per task."""
     inner = _shingle_sets(width)
@@ -295,7 +321,7 @@ def _owned(width: int):
         seen: set[bytes] = set()
 
         def own() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in workers.batches("jaccard", batches):
                 keep = []
                 for text, node in zip(batch.column("text").to_pylist(), batch.column("node").to_pylist(), strict=True):
                     fits = node not in seen and xxhash.xxh3_128_digest(text.encode()) == node

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.jaccard_join import jaccard_join
-from marlstone.llm import anisotropic, byte_bpe, packing, page_diff, png_media, substring_dedup, url_trust
+from marlstone.llm import anisotropic, byte_bpe, jaccard_join, packing, page_diff, png_media, substring_dedup, url_trust
 from marlstone.llm import line_dedup as lines
 from marlstone.llm.quality import quality_scores
 from marlstone.session import table
@@ -22,8 +21,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main text of all pages: page_id, url, text, n_chars, n_shared."""
-    return page_diff.main_text(table(spark, sf_dir, "pages"))
+    """Main text of all pages: page_id, url, text, n_chars."""
+    return page_diff.main_text(table(spark, sf_dir, "pages")).drop("n_shared")
 
 
 def op3_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +50,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents: doc_id, class_id, n_links, n_texts, class_size."""
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +83,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_page_diff": page_diff.oracle_sql(),
     "op3_url_trust": url_trust.oracle_sql(),
+    "op7_jaccard_join": jaccard_join.oracle_sql(),
     "op8_line_dedup": lines.oracle_sql(),
 }

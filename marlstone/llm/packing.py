@@ -21,9 +21,11 @@ from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import workers
 from marlstone.plans.materialize import materialize
 
 CAPACITY, END_ID = 4096, 1
@@ -31,7 +33,7 @@ SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 2, 2, 10, 5
 #: Bins filled less than this are dissolved at the end, once.
 DISSOLVE = 0.97
 #: Most words that a task keeps with their ids.
-CACHE = 800_000
+CACHE = 500_000
 
 
 class WordCoder:
@@ -61,7 +63,7 @@ class WordCoder:
 
     def _forget(self) -> None:
         """Keep the words learnt first, most of which are the frequent ones."""
-        kept = min(len(self.known), CACHE // 4)
+        kept = min(len(self.known), CACHE * 3 // 4)
         self.known = dict(islice(self.known.items(), kept))
         self.first = self.first[:kept + 1].copy()
         self.flat = self.flat[:self.first[-1]].copy()
@@ -87,32 +89,28 @@ class WordCoder:
         self.known.update(zip(chain(easy, other), range(len(self.known), len(self.known) + len(words)), strict=True))
         self.flat, self.first = np.concatenate(flat), np.concatenate(first)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, without special tokens."""
-        cut = [t.translate(_BLANKS).split(" ") if _SEPARATORS.search(t) else t.split() for t in texts]
-        count = np.array([len(c) for c in cut], np.int64)
-        words = list(chain.from_iterable(cut))
-        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0).tolist()
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array, without special tokens; none for a null."""
+        cut = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(place < 0).tolist()
         self._learn({words[i] for i in missing})
-        at[missing] = [self.known[words[i]] for i in missing]
+        place[missing] = [self.known[words[i]] for i in missing]
+        at = place[coded.indices.to_numpy()]
         size = self.first[at + 1] - self.first[at]
         ends = np.cumsum(size)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[at] - ends + size, size)]
         if len(self.known) > CACHE:
             self._forget()
-        stops = np.concatenate(([0], ends))[np.cumsum(count)].tolist()
-        return [ids[a:b] for a, b in zip([0, *stops], stops)]  # noqa: B905
+        bounds = np.concatenate(([0], ends))[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]  # noqa: B905
 
 
 # Letters that lower-case and compose one by one and keep their number of bytes, and the
 # ASCII punctuation but for the apostrophe, which the tokenizer's pattern treats apart.
 _EASY = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f!-&(-/:-@\[-`{-~]+")
-# str.split() takes four control characters for white space that the tokenizer does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
-
-
 @lru_cache(maxsize=1)
 def _coder(path: str | None) -> WordCoder:
     if path is None:
@@ -129,12 +127,13 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null or empty text is one piece that holds the end id only.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path)
-        for batch in batches:
+        coder = None
+        for batch in workers.batches("packing", batches, _coder.cache_clear):
+            coder = coder or _coder(path)
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 doc, piece, start, length, ids = [], [], [], [], []
-                for i, made in enumerate(coder.encode(part.column(1).fill_null("").to_pylist())):
+                for i, made in enumerate(coder.encode(part.column(1))):
                     made = np.append(made, end_id).astype("<u4")
                     for k, s in enumerate(range(0, len(made), capacity)):
                         cut = made[s:s + capacity]

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -262,7 +263,7 @@ def test_word_coder_agrees_with_the_library():
     rng = random.Random(1)
     alphabet = "aAbé' .,|#-_'s\n\t12漢ªßÀÿĀİ🙂\x1ćΣ"
     some = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(4000)] + ["<|startoftext|> x"]
-    assert [m.tolist() for m in packing.WordCoder(path).encode(some)] == [e.ids for e in other.encode_batch(some, add_special_tokens=False)]
+    assert [m.tolist() for m in packing.WordCoder(path).encode(pa.array(some))] == [e.ids for e in other.encode_batch(some, add_special_tokens=False)]
 
 
 def test_genetic_packing_beats_or_equals_best_fit():

@@ -17,14 +17,17 @@ import base64
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import workers
+
 #: Most segments that a task keeps.
-CACHE = 400_000
+CACHE = 300_000
 # The characters with the Unicode property White_Space.
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SEGMENT = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -63,12 +66,16 @@ class ByteBPE:
             pre_tokenizers.Split(Regex(pattern), "removed", invert=True),
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def _forget(self) -> None:
+        """Keep the segments learnt first, most of which are the frequent ones."""
+        kept = min(len(self.known), CACHE // 4)
+        self.known = dict(islice(self.known.items(), kept))
+        self.first = self.first[:kept + 1].copy()
+        self.flat = self.flat[:self.first[-1]].copy()
+
     def _learn(self, segments: list[str]) -> None:
         """Append the ids of new segments. Those that start with white space and end
         otherwise are encoded many at a time, as one text, and told apart by their bytes."""
@@ -90,16 +97,18 @@ class ByteBPE:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         cut = [_SEGMENT.findall(t) for t in texts]
-        new = set().union(*cut) - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
-            self._forget()
-            new = set().union(*cut)
-        self._learn(sorted(new))
-        at = np.fromiter((self.known[s] for c in cut for s in c), np.int64)
+        segments = list(chain.from_iterable(cut))
+        at = np.fromiter(map(self.known.get, segments, repeat(-1)), np.int64, len(segments))
+        missing = np.flatnonzero(at < 0).tolist()
+        self._learn(list({segments[i] for i in missing}))
+        at[missing] = [self.known[segments[i]] for i in missing]
         size = self.first[at + 1] - self.first[at]
         ends = np.cumsum(size)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[at] - ends + size, size)]
-        return np.split(ids, np.concatenate(([0], ends))[np.cumsum([len(c) for c in cut])][:-1]) if texts else []
+        if len(self.known) > CACHE:
+            self._forget()
+        stops = np.concatenate(([0], ends))[np.cumsum([len(c) for c in cut], dtype=np.int64)].tolist()
+        return [ids[a:b] for a, b in zip([0, *stops], stops)]  # noqa: B905
 
     def byte_starts(self, ids: np.ndarray) -> np.ndarray:
         """Where each token starts in the bytes of the text."""
@@ -139,8 +148,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     has no tokens. Repeated rows give equal rows; other columns are not used.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path, pattern)
-        for batch in batches:
+        coder = None
+        for batch in workers.batches("byte_bpe", batches, load.cache_clear):
+            coder = coder or _coder(path, pattern)
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 made = coder.encode(part.column(1).fill_null("").to_pylist())
@@ -162,8 +172,9 @@ def decode(coded: DataFrame, ids_col: str = "ids", path: str | None = None, patt
     at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path, pattern)
-        for batch in batches:
+        coder = None
+        for batch in workers.batches("byte_bpe", batches, load.cache_clear):
+            coder = coder or _coder(path, pattern)
             ids = batch.column(at)
             bounds, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
             gone = ids.is_null().to_pylist()

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import workers
 from marlstone.llm.shingles import as_bytes, mix64, slices, words
 from marlstone.plans.materialize import materialize
 
@@ -91,14 +92,14 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     raw, offsets = as_bytes(column)
-    return np.concatenate([statistics(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in slices(offsets, 2 << 20)]
+    return np.concatenate([statistics(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in slices(offsets, 1 << 19)]
                           or [np.zeros((0, len(FEATURES)))])
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, stats array<double>) of every row; a null text counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in workers.batches("quality", batches):
             x = _matrix(batch.column(1))
             offsets = np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["doc_id", "stats"])
@@ -157,21 +158,13 @@ def fit_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
     labelled = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
     rows = stats.filter(~held_out(F.col("doc_id"))).join(labelled, "doc_id").select("y", "stats")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, d + 1, d + 1))
-        for batch in batches:
-            if batch.num_rows:
-                x = np.column_stack([np.ones(batch.num_rows), batch.column(1).flatten().to_numpy().reshape(-1, d)])
-                y = batch.column(0).to_numpy()
-                for c in (0, 1):
-                    held[c] += x[y == c].T @ x[y == c]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(held.size, dtype=np.int32)), pa.array(held.ravel())], names=["cell", "value"])
-
-    cells = rows.mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
-    held = np.zeros(2 * (d + 1) * (d + 1))
-    for cell, value in cells:
-        held[cell] = value
-    held = held.reshape(2, d + 1, d + 1)
+    # sums of products of (1, statistics), in the JVM, as a second Python stage would double the workers
+    cell = lambda i: F.lit(1.0) if i == 0 else F.col("stats")[i - 1]
+    upper = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
+    held = np.zeros((2, d + 1, d + 1))
+    for row in rows.groupBy("y").agg(*[F.sum(cell(i) * cell(j)).alias(f"s{i}_{j}") for i, j in upper]).collect():
+        for (i, j), value in zip(upper, row[1:], strict=True):
+            held[row["y"], i, j] = held[row["y"], j, i] = value
     return Discriminant.fit(held[:, 0, 0], held[:, 0, 1:], held[:, 1:, 1:])
 
 
@@ -198,10 +191,12 @@ def quality_filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """The documents, all columns, that the classifier predicts as 1. Texts are scored
     where they are read, so no text is shuffled."""
     model = fit_quality(document_statistics(docs, id_col, text_col), labels, id_col, label_col)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = model.score(_matrix(batch.column(batch.schema.get_field_index(text_col)))) >= THRESHOLD
-            yield batch.filter(pa.array(keep))
+        for batch in workers.batches("quality", batches):
+            for a in range(0, batch.num_rows, 512):  # small pieces, as whole rows are copied here
+                part = batch.slice(a, 512)
+                yield part.filter(pa.array(model.score(_matrix(part.column(at))) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.jaccard_join import near_duplicates_removed
-from marlstone.llm.line_dedup import line_dedup
+from marlstone.llm.line_dedup import passages_removed
 from marlstone.llm.packing import pack_documents
 from marlstone.llm.quality import quality_filtered
 from marlstone.llm.substring_dedup import substring_dedup
@@ -27,9 +27,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut chunks of lines that occurred before; no document goes."""
+    """Cut runs of two lines or more that occurred before; no document goes."""
     ship(spark)
-    return _measured(docs, line_dedup(docs))
+    return _measured(docs, passages_removed(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

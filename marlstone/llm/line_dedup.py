@@ -5,6 +5,9 @@ in one of `SPACING` residues, so chunk borders depend on near lines only and an
 line moves no border further away. Chunks of two lines or more that occur more than once
 in all documents are removed, but for the first occurrence (least doc_id, then position).
 
+`passages_removed`, which the pipeline uses, has no chunks: two line hashes roll over every
+position, so that all repeated runs of two lines or more go, wherever they start and end.
+
 Counting moves hashes only; the texts of chunks whose hash repeats are then fetched and
 grouped by their bytes, so a clash of hashes removes nothing. Only DataFrame functions
 are used; groups are counted with map-side combine and joins spread hot chunks over tasks.
@@ -76,6 +79,47 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
 
 
+def _pairs(text: Column) -> Column:
+    """array<struct<pos int, h binary>>: the digest of each two adjacent lines of a text."""
+    digest = lambda a, b: F.unhex(F.sha2(F.concat_ws("\n", a, b), 256))
+    return _let(F.split(text, "\n", -1), lambda lines: F.transform(
+        F.slice(lines, 2, F.size(lines)), lambda line, i: F.struct(i.alias("pos"), digest(lines[i], line).alias("h"))))
+
+
+def passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, without the runs of two lines or more that occurred before
+    (by doc_id, then position), and `n_removed`, the number of lines cut (an existing column
+    of that name is replaced).
+
+    A line goes where it and a line next to it stood next to each other before, so a passage
+    goes whole whatever surrounds it, and the first occurrence of every line stays. Of a pair
+    that overlaps its own first occurrence only the second line goes. Pairs are compared by
+    256-bit digest. A text that repeats in full is left empty. Null texts, texts of one line
+    and rows with a null id are left as they are. Rows of one id and text count as one
+    document. Empty input gives an empty result.
+    """
+    named = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("_body"))
+    seen = (named.filter(F.col("_id").isNotNull() & F.col("_body").contains("\n"))
+            .select("_id", "_text", F.explode(_pairs(F.col("_body"))).alias("c")).select("_id", "_text", "c.pos", "c.h"))
+    firsts = materialize(seen.groupBy("h").agg(F.min(F.struct("_id", "_text", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
+    again = salted_join(seen, firsts, ["h"], "n", total_of(firsts, "n"), ["_id", "_text", "pos"]).filter(F.struct("_id", "_text", "pos") != F.col("first"))
+    overlaps = F.struct("_id", "_text", (F.col("pos") - 1).alias("pos")) == F.col("first")
+    at = F.when(overlaps, F.array(F.col("pos") + 1)).otherwise(F.array(F.col("pos"), F.col("pos") + 1))
+    gone = (again.select(F.col("_id").alias("_cut"), F.col("_text").alias("_cut_text"), F.explode(at).alias("line"))
+            .groupBy("_cut", "_cut_text").agg(F.collect_set("line").alias("_gone")))
+    base = docs.drop("n_removed")
+    joined = base.join(gone, (base[id_col] == F.col("_cut")) & (F.xxhash64(base[text_col]) == F.col("_cut_text")), "left")
+    # a mark sorts just before the line that it removes
+    item = lambda pos, kind, line: F.struct(pos.alias("pos"), F.lit(kind).alias("kind"), line.alias("line"))
+    items = F.array_sort(F.concat(
+        F.transform(F.split(text_col, "\n", -1), lambda line, i: item(i, 1, line)),
+        F.transform("_gone", lambda i: item(i, 0, F.lit("")))))
+    kept = _let(items, lambda all_: F.array_join(F.transform(F.filter(
+        all_, lambda e, k: (e["kind"] == 1) & (F.coalesce(F.get(all_, k - 1)["kind"], F.lit(1)) == 1)), lambda e: e["line"]), "\n"))
+    columns = [F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept).alias(text_col) if c == text_col else F.col(c) for c in base.columns]
+    return joined.select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+
+
 def oracle_sql(spacing: int = SPACING, least_lines: int = LEAST_LINES) -> str:
     """doc_id, text, n_removed over the view `documents`, for DuckDB."""
     return f"""

@@ -2,7 +2,7 @@
 
 import random
 
-from marlstone.llm import line_dedup
+from marlstone.llm import line_dedup, page_diff
 
 DOCS = "doc_id long, text string"
 
@@ -35,3 +35,11 @@ def test_the_pipeline_removes_whole_runs(spark):
     text = "\n".join(f"shared {i}" for i in range(3))
     df = spark.createDataFrame([(1, f"{text}\nown one"), (2, f"own two\n{text}\nown three")], DOCS)
     assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, df, "").collect()}[2] == "own two\nown three"
+
+
+def test_cards_do_not_switch_off_the_body():
+    html = "<body><div><p>Body</p></div><aside><article><p>teaser</p></article></aside><article class='comment'><p>c</p></article><p>End</p></body>"
+    assert [t for t, kind in page_diff.page_lines(html) if kind == page_diff.PLAIN] == ["Body", "End"]
+    assert all(kind != page_diff.ARTICLE for _, kind in page_diff.page_lines(html))
+    left_open = "<nav>n<article><p>Text</p></article><article class='comment'><p>c</p></article>"
+    assert [t for t, kind in page_diff.page_lines(left_open) if kind == page_diff.ARTICLE] == ["Text"]

@@ -52,7 +52,7 @@ def least_matches(threshold: float, size: int) -> int:
 def _sign(width: int, depth: int):
     hasher = MinHash(TREES * DEPTH)
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int32()),
-                        ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
+                        ("sig", pa.binary()), ("keys", pa.list_(pa.int64())), ("mark", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in workers.batches("jaccard", batches):
@@ -76,15 +76,21 @@ def _sign(width: int, depth: int):
                     pa.array(counts.astype(np.int32)),
                     pa.array([low[i].tobytes() for i in range(b - a)], pa.binary()),
                     pa.ListArray.from_arrays(np.arange(0, (b - a + 1) * TREES, TREES, dtype=np.int32), pa.array(keys.view(np.int64).ravel())),
+                    batch.column(2).slice(a, b - a),
                 ], schema=schema)
 
     return run
 
 
+def _mark(text_col: str) -> Column:
+    return F.unhex(F.md5(text_col)).alias("mark")
+
+
 def sign(docs: DataFrame, id_col: str, text_col: str, width: int, depth: int) -> DataFrame:
-    """(doc_id, node: digest of the text or null, n_shingles, sig, keys: a key per tree)."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _sign(width, depth), "doc_id long, node binary, n_shingles int, sig binary, keys array<long>")
+    """(doc_id, node: digest of the text or null, n_shingles, sig, keys: a key per tree,
+    mark: a digest of the text that Spark can compute)."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _mark(text_col)).mapInArrow(
+        _sign(width, depth), "doc_id long, node binary, n_shingles int, sig binary, keys array<long>, mark binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -249,12 +255,26 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     class_id is null if all of its class lack one. Empty input gives an empty result.
     Other columns are not used, whatever their names.
     """
+    signed, placed = _classes(docs, id_col, text_col, threshold, width, recall)
+    heads = placed.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
+    placed = placed.join(heads, "component").select(
+        "node", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"))
+    return signed.select("doc_id", "node").join(placed, "node", "left").select(
+        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and a row for each text: node, mark, rep (its least doc_id), copies,
+    component (of its class), texts and links."""
     depth = prefix_depth(threshold, TREES, DEPTH, recall)
     signed = materialize(sign(docs, id_col, text_col, width, depth), "signed")
     texts = materialize(
         signed.filter("node is not null").groupBy("node")
         .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"),
-             F.first("sig").alias("sig"), F.first("keys").alias("keys")), "texts")
+             F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.first("mark").alias("mark")), "texts")
 
     spots = texts.filter("n_shingles > 0").select("node", F.explode("keys").alias("key"))
     shared = materialize(spots.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n")), "shared")
@@ -281,16 +301,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     classes = connected_components(checked.select(F.col("node").alias("u"), F.col("root").alias("v")))
     totals = checked.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("links").alias("links"))
-    placed = (texts.select("node", "rep", "copies").join(classes, "node", "left").join(totals, "node", "left")
+    placed = (texts.select("node", "mark", "rep", "copies").join(classes, "node", "left").join(totals, "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
-    heads = placed.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    placed = placed.join(heads, "component").select(
-        "node", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"))
-    return signed.select("doc_id", "node").join(placed, "node", "left").select(
-        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    return signed, placed
 
 
 def oracle_sql(threshold: float = THRESHOLD, width: int = WIDTH) -> str:
@@ -339,10 +352,14 @@ def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: s
                             threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """The documents, all columns, with one of each class of near duplicates left.
 
-    The one with the least doc_id stays; documents without text stay. Of repeated rows
-    of one doc_id one stays.
+    The one with the least doc_id stays, and of texts that share it one; a null doc_id comes
+    last, so a row without one goes only if its class has another that stays. Rows without
+    text stay. Of repeated rows of one doc_id and text one stays; rows of one doc_id with
+    texts of different classes are judged each by its own class.
     """
-    found = jaccard_join(docs, id_col, text_col, threshold, width)
-    keep = found.filter("doc_id = class_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["_kept"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    placed = _classes(docs, id_col, text_col, threshold, width, RECALL)[1]
+    order = F.struct(F.col("rep").isNull().alias("last"), "rep", "mark")
+    heads = placed.groupBy("component").agg(F.min(order).alias("head")).select(F.col("head.rep").alias("_rep"), F.col("head.mark").alias("_head"))
+    worded = docs.filter(F.col(text_col).isNotNull()).withColumn("_mark", _mark(text_col))
+    kept = worded.join(heads, worded[id_col].cast("long").eqNullSafe(heads["_rep"]) & (worded["_mark"] == heads["_head"]), "left_semi")
+    return kept.dropDuplicates([id_col, "_mark"]).drop("_mark").unionByName(docs.filter(F.col(text_col).isNull()))

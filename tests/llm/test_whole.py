@@ -2,7 +2,7 @@
 
 import random
 
-from marlstone.llm import line_dedup, page_diff
+from marlstone.llm import jaccard_join, line_dedup, page_diff
 
 DOCS = "doc_id long, text string"
 
@@ -37,6 +37,15 @@ def test_the_pipeline_removes_whole_runs(spark):
     assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, df, "").collect()}[2] == "own two\nown three"
 
 
+def test_rows_without_an_id_are_judged_by_their_texts(spark):
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (None, None), (None, None), (3, words[2]), (3, words[3]), (3, words[3]),
+            (None, words[2]), (2, words[4]), (7, words[4] + " more"), (7, None), (None, words[4])]
+    kept = jaccard_join.near_duplicates_removed(spark.createDataFrame(rows, DOCS)).collect()
+    want = [(None, words[0]), (None, words[1]), (None, None), (None, None), (3, words[2]), (3, words[3]), (2, words[4]), (7, None)]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+
+
 def test_cards_do_not_switch_off_the_body():
     html = "<body><div><p>Body</p></div><aside><article><p>teaser</p></article></aside><article class='comment'><p>c</p></article><p>End</p></body>"
     assert [t for t, kind in page_diff.page_lines(html) if kind == page_diff.PLAIN] == ["Body", "End"]

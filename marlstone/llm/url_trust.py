@@ -20,6 +20,8 @@ from marlstone.plans.materialize import materialize
 #: (verdict, rule): a rule is a host and a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 0.5
+#: Share of a host's mass by which a round may still change it when the rounds end.
+TOLERANCE = 1e-6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _HREF = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
@@ -61,7 +63,9 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     """(host, trust, distrust) from edges (src, dst, links) and seeds (host, good, bad).
 
     Mass at hosts without links to follow is not handed on. A host that no mass reaches
-    has no row. Ranks are written out every fourth round to keep plans short.
+    has no row. After `rounds` rounds at least, they end once a round reaches no new host
+    and changes no host's mass by more than `TOLERANCE` of it. Ranks are written out every
+    fourth round to keep plans short.
     """
     out = edges.groupBy("src").agg(F.sum("links").alias("all"))
     back = edges.groupBy("dst").agg(F.sum("links").alias("all"))
@@ -71,14 +75,21 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     start = materialize(seeds.select("host", (F.col("good") * (1 - damping)).alias("trust"), (F.col("bad") * (1 - damping)).alias("distrust")), "seeds")
     if steps.isEmpty():
         return start
-    rank = start
-    for k in range(rounds):
+    rank, before, k = start, None, 0
+    while True:
+        if k >= rounds and k % 4 == 3:
+            rank = before = materialize(rank, "ranks")
         moved = steps.join(rank, "host").groupBy(F.col("to").alias("host")).agg(
             (F.sum(F.col("t") * F.col("trust")) * damping).alias("trust"), (F.sum(F.col("d") * F.col("distrust")) * damping).alias("distrust"))
         rank = moved.unionByName(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if k % 4 == 3:
+        k += 1
+        if k % 4 == 0:
             rank = materialize(rank, "ranks")
-    return rank
+            if before is not None:
+                old = before.select("host", (F.col("trust") + F.col("distrust")).alias("old"))
+                mass = F.col("trust") + F.col("distrust")
+                if rank.join(old, "host", "left").filter(mass - F.coalesce("old", F.lit(0.0)) > TOLERANCE * mass).isEmpty():
+                    return rank
 
 
 def url_verdicts(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",

@@ -2,7 +2,7 @@
 
 import random
 
-from marlstone.llm import jaccard_join, line_dedup, page_diff
+from marlstone.llm import jaccard_join, line_dedup, page_diff, url_trust
 
 DOCS = "doc_id long, text string"
 
@@ -46,6 +46,21 @@ def test_rows_without_an_id_are_judged_by_their_texts(spark):
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    n = 14
+    pages = [(k, f"http://h{k}.net/x", f'<a href="http://h{k + 1}.net/">') for k in range(n - 1)] + [(n - 1, f"http://h{n - 1}.net/", '<a href="http://bad.com/">'), (n, "http://bad.com/de/1", "")]
+    out = {r.page_id: r.verdict for r in url_trust.url_verdicts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert set(out.values()) == {"block"} and len(out) == n + 1
+
+
+def test_ranks_of_a_cycle_converge(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, links double")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0)], "host string, good double, bad double")
+    got = {r.host: r.trust for r in url_trust.spread(edges, seeds).collect()}
+    d = url_trust.DAMPING
+    assert abs(got["a"] - (1 - d) / (1 - d * d)) < 1e-5 and abs(got["b"] - d * (1 - d) / (1 - d * d)) < 1e-5
+
+
 def test_cards_do_not_switch_off_the_body():
     html = "<body><div><p>Body</p></div><aside><article><p>teaser</p></article></aside><article class='comment'><p>c</p></article><p>End</p></body>"
     assert [t for t, kind in page_diff.page_lines(html) if kind == page_diff.PLAIN] == ["Body", "End"]

@@ -67,3 +67,10 @@ def test_cards_do_not_switch_off_the_body():
     assert all(kind != page_diff.ARTICLE for _, kind in page_diff.page_lines(html))
     left_open = "<nav>n<article><p>Text</p></article><article class='comment'><p>c</p></article>"
     assert [t for t, kind in page_diff.page_lines(left_open) if kind == page_diff.ARTICLE] == ["Text"]
+
+
+def test_copies_are_no_neighbours(spark):
+    page = "<body><p>Welcome to the site</p><p>{0}</p><p>Imprint and contact</p></body>"
+    rows = [(k, f"http://a.com/{k:02}", page.format("the same words " * 3 if 2 <= k < 9 else f"unique words of page number {k} " * 3)) for k in range(12)]
+    out = {r.page_id: r.text for r in page_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[k] for k in range(2, 9)] == [("the same words " * 3).strip()] * 7

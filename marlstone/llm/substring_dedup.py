@@ -1,8 +1,8 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 The gear hash of the last `WINDOW` bytes is looked at where a word starts; in one of
-`SPACING` cases (and, for text without white space, at one of `RARE` characters) a chunk
-ends there, but no chunk is shorter than `LEAST` bytes. Borders depend on near bytes
+`SPACING` cases (and at one of `DENSE` characters where the window holds no white space, at
+one of `RARE` elsewhere) a chunk ends there, but no chunk is shorter than `LEAST` bytes. Borders depend on near bytes
 only, so after an insertion they fall into step again. Chunks are compared by 128-bit
 digest over all documents. All occurrences but the first (least doc_id, then position)
 repeat; repeated chunks that follow each other form a run, and runs of `LEAST_RUN` bytes
@@ -27,6 +27,7 @@ from marlstone.operators.skew import salted_join, total_of
 from marlstone.plans.materialize import materialize
 
 WINDOW, SPACING, RARE, LEAST, LEAST_RUN = 16, 5, 256, 16, 100
+DENSE = 16
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -50,7 +51,10 @@ def chunk_starts(data: bytes) -> list[int]:
     raw = np.frombuffer(data, np.uint8)
     value = gear(raw)[:-1] >> np.uint32(7)
     word = ~_SPACE[raw[1:]] & _SPACE[raw[:-1]]
-    rare = (value % np.uint32(RARE) == 1) & ((raw[1:] & 0xC0) != 0x80)
+    spaces = np.concatenate((np.ones(WINDOW, np.int64), np.cumsum(_SPACE[raw[:-1]]) + 1))
+    solid = spaces[WINDOW:] == spaces[:-WINDOW]
+    solid[:WINDOW - 1] = False
+    rare = ((value % np.uint32(RARE) == 1) | (solid & (value % np.uint32(DENSE) == 1))) & ((raw[1:] & 0xC0) != 0x80)
     out, last = [0], 0
     for at in (np.flatnonzero((word & (value % np.uint32(SPACING) == 0)) | rare) + 1).tolist():
         if at - last >= LEAST:

@@ -2,7 +2,7 @@
 
 import random
 
-from marlstone.llm import jaccard_join, line_dedup, page_diff, url_trust
+from marlstone.llm import jaccard_join, line_dedup, page_diff, substring_dedup, url_trust
 
 DOCS = "doc_id long, text string"
 
@@ -74,3 +74,15 @@ def test_copies_are_no_neighbours(spark):
     rows = [(k, f"http://a.com/{k:02}", page.format("the same words " * 3 if 2 <= k < 9 else f"unique words of page number {k} " * 3)) for k in range(12)]
     out = {r.page_id: r.text for r in page_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [out[k] for k in range(2, 9)] == [("the same words " * 3).strip()] * 7
+
+
+def test_passages_without_white_space_are_cut(spark):
+    rng = random.Random(13)
+    signs = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    rows, passages = [], [signs(300) for _ in range(40)]
+    for copy in range(2):
+        rows += [(1000 * copy + k, signs(200) + p + signs(200)) for k, p in enumerate(passages)]
+    out = substring_dedup.substring_dedup(spark.createDataFrame(rows, DOCS)).collect()
+    cut = [r.cut_chars for r in out if r.doc_id >= 1000]
+    assert all(c > 150 for c in cut) and sum(cut) > 0.8 * 300 * 40
+    assert all(r.cut_chars == 0 for r in out if r.doc_id < 1000)

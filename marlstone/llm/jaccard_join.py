@@ -11,6 +11,9 @@ within a cluster every pair of texts is compared exactly on its sets of shingles
 Bounds: only one text of a group of equal texts takes part. Buckets and clusters above a
 fixed size are cut into blocks and dealt out as pairs of blocks, so that no task holds a
 whole hot group, and the kernels return one row per text and block pair, never pairs of texts.
+
+The forest is banding of fixed depth: `prefix_depth` sets one prefix length from the
+threshold, before any row is read, and no sorted tries are walked or shortened.
 """
 
 from __future__ import annotations

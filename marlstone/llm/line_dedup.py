@@ -20,6 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.names import fresh, without
 from marlstone.operators.skew import salted_join, total_of
 from marlstone.plans.materialize import materialize
 
@@ -48,8 +49,8 @@ def line_chunks(text: Column, spacing: int = SPACING) -> Column:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spacing: int = SPACING,
-               least_lines: int = LEAST_LINES) -> DataFrame:
-    """The documents, all columns, with repeated chunks cut from the text, and `n_removed`,
+               least_lines: int = LEAST_LINES, count_col: str = "n_removed") -> DataFrame:
+    """The documents, all columns, with repeated chunks cut from the text, and `count_col`,
     the number of chunks cut (an existing column of that name is replaced).
 
     A text that repeats in full is left empty. Null texts and rows with a null id are left
@@ -57,6 +58,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     it holds the first occurrence. Chunks of one line always stay. Empty input gives an
     empty result.
     """
+    kept_columns = without(docs.columns, count_col)
+    marks, cut_id = fresh(docs.columns, "gone", "cut_id")
     named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     cut = F.explode(F.filter(line_chunks(F.col("_text"), spacing), lambda c: c["lines"] >= least_lines)).alias("c")
     seen = (named.filter("_id is not null and _text is not null").select("_id", cut)
@@ -69,14 +72,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter(F.array_contains("hits", F.struct("pos", "h"))).select("_id", "pos", "h", "body"), "chunks")
     groups = materialize(bodies.groupBy("h", "body").agg(F.min(F.struct("_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "groups")
     gone = (salted_join(bodies, groups, ["h", "body"], "n", total_of(groups, "n"), ["_id", "pos"]).filter(F.struct("_id", "pos") != F.col("first"))
-            .groupBy("_id").agg(F.collect_set(F.struct("pos", "h")).alias("_gone")))
-    joined = docs.drop("n_removed").join(gone.withColumnRenamed("_id", "_cut"), docs[id_col] == F.col("_cut"), "left")
+            .groupBy(F.col("_id").alias(cut_id)).agg(F.collect_set(F.struct("pos", "h")).alias(marks)))
+    base = docs.select(*kept_columns)
+    joined = base.join(gone, base[id_col] == F.col(cut_id), "left")
     chunks = line_chunks(F.col(text_col), spacing)
-    left = _let(chunks, lambda all_: F.filter(all_, lambda c: ~F.array_contains("_gone", F.struct(c["pos"], F.xxhash64(c["body"]).alias("h")))))
+    left = _let(chunks, lambda all_: F.filter(all_, lambda c: ~F.array_contains(marks, F.struct(c["pos"], F.xxhash64(c["body"]).alias("h")))))
     kept = _let(left, lambda some: F.array_join(F.transform(some, lambda c: c["body"]), "\n"))
-    columns = [F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept).alias(text_col) if c == text_col else F.col(c)
-               for c in docs.columns if c != "n_removed"]
-    return joined.select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    columns = [F.when(F.col(marks).isNull(), F.col(c)).otherwise(kept).alias(c) if c.lower() == text_col.lower() else F.col(c) for c in kept_columns]
+    return joined.select(*columns, F.coalesce(F.size(marks), F.lit(0)).alias(count_col))
 
 
 def _pairs(text: Column) -> Column:
@@ -86,9 +89,9 @@ def _pairs(text: Column) -> Column:
         F.slice(lines, 2, F.size(lines)), lambda line, i: F.struct(i.alias("pos"), digest(lines[i], line).alias("h"))))
 
 
-def passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_removed") -> DataFrame:
     """The documents, all columns, without the runs of two lines or more that occurred before
-    (by doc_id, then position), and `n_removed`, the number of lines cut (an existing column
+    (by doc_id, then position), and `count_col`, the number of lines cut (an existing column
     of that name is replaced).
 
     A line goes where it and a line next to it stood next to each other before, so a passage
@@ -98,6 +101,8 @@ def passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     and rows with a null id are left as they are. Rows of one id and text count as one
     document. Empty input gives an empty result.
     """
+    kept_columns = without(docs.columns, count_col)
+    marks, cut_id, cut_text = fresh(docs.columns, "gone", "cut_id", "cut_text")
     named = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("_body"))
     seen = (named.filter(F.col("_id").isNotNull() & F.col("_body").contains("\n"))
             .select("_id", "_text", F.explode(_pairs(F.col("_body"))).alias("c")).select("_id", "_text", "c.pos", "c.h"))
@@ -105,19 +110,19 @@ def passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     again = salted_join(seen, firsts, ["h"], "n", total_of(firsts, "n"), ["_id", "_text", "pos"]).filter(F.struct("_id", "_text", "pos") != F.col("first"))
     overlaps = F.struct("_id", "_text", (F.col("pos") - 1).alias("pos")) == F.col("first")
     at = F.when(overlaps, F.array(F.col("pos") + 1)).otherwise(F.array(F.col("pos"), F.col("pos") + 1))
-    gone = (again.select(F.col("_id").alias("_cut"), F.col("_text").alias("_cut_text"), F.explode(at).alias("line"))
-            .groupBy("_cut", "_cut_text").agg(F.collect_set("line").alias("_gone")))
-    base = docs.drop("n_removed")
-    joined = base.join(gone, (base[id_col] == F.col("_cut")) & (F.xxhash64(base[text_col]) == F.col("_cut_text")), "left")
+    gone = (again.select(F.col("_id").alias(cut_id), F.col("_text").alias(cut_text), F.explode(at).alias("line"))
+            .groupBy(cut_id, cut_text).agg(F.collect_set("line").alias(marks)))
+    base = docs.select(*kept_columns)
+    joined = base.join(gone, (base[id_col] == F.col(cut_id)) & (F.xxhash64(base[text_col]) == F.col(cut_text)), "left")
     # a mark sorts just before the line that it removes
     item = lambda pos, kind, line: F.struct(pos.alias("pos"), F.lit(kind).alias("kind"), line.alias("line"))
     items = F.array_sort(F.concat(
         F.transform(F.split(text_col, "\n", -1), lambda line, i: item(i, 1, line)),
-        F.transform("_gone", lambda i: item(i, 0, F.lit("")))))
+        F.transform(marks, lambda i: item(i, 0, F.lit("")))))
     kept = _let(items, lambda all_: F.array_join(F.transform(F.filter(
         all_, lambda e, k: (e["kind"] == 1) & (F.coalesce(F.get(all_, k - 1)["kind"], F.lit(1)) == 1)), lambda e: e["line"]), "\n"))
-    columns = [F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept).alias(text_col) if c == text_col else F.col(c) for c in base.columns]
-    return joined.select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    columns = [F.when(F.col(marks).isNull(), F.col(c)).otherwise(kept).alias(c) if c.lower() == text_col.lower() else F.col(c) for c in kept_columns]
+    return joined.select(*columns, F.coalesce(F.size(marks), F.lit(0)).alias(count_col))
 
 
 def oracle_sql(spacing: int = SPACING, least_lines: int = LEAST_LINES) -> str:

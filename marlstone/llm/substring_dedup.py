@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import workers
+from marlstone.llm.names import fresh, without
 from marlstone.operators.skew import salted_join, total_of
 from marlstone.plans.materialize import materialize
 
@@ -118,21 +119,23 @@ def cut_runs(data: bytes, spans: list[tuple[int, int, int, int]], least_run: int
     return [(a, b) for a, b in runs if b - a >= least_run]
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_run: int = LEAST_RUN) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_run: int = LEAST_RUN,
+                    count_col: str = "cut_chars") -> DataFrame:
     """The documents, all columns, with repeated passages cut from the text, and
-    `cut_chars`, the number of characters cut (an existing column of that name is replaced).
+    `count_col`, the number of characters cut (an existing column of that name is replaced).
 
     A text that repeats in full is left empty. Null texts and rows with a null id are left
     as they are; empty texts have no chunks. Rows of one id count as one document, so a
     repeated row keeps the first occurrences that its twin keeps. Empty input gives an
     empty result.
     """
-    spans = repeated_chunks(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set(F.struct("start", "size", "hi", "lo")).alias("_spans"))
-    base = docs.drop("cut_chars", "_spans")
-    joined = base.join(spans.withColumnRenamed("doc_id", "_spanned"), base[id_col].cast("long") == F.col("_spanned"), "left").drop("_spanned")
-    schema = base.withColumn("cut_chars", F.lit(0)).schema
-    names = [*base.columns, "cut_chars"]
-    at, last = names.index(text_col), len(names) - 1
+    base = docs.select(*without(docs.columns, count_col))
+    held, spanned = fresh(docs.columns, "spans", "spanned")
+    spans = repeated_chunks(docs, id_col, text_col).groupBy(F.col("doc_id").alias(spanned)).agg(F.collect_set(F.struct("start", "size", "hi", "lo")).alias(held))
+    joined = base.join(spans, base[id_col].cast("long") == F.col(spanned), "left").drop(spanned)
+    schema = base.withColumn(count_col, F.lit(0)).schema
+    names = [*base.columns, count_col]
+    at, last = [n.lower() for n in names].index(text_col.lower()), len(names) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in workers.batches("substring", batches):

@@ -1,19 +1,23 @@
 """N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
 
-Each text gets `trees` labels of `depth` MinHash values. A tree is a prefix trie of the
-sorted labels. Matching starts at the whole label and the matched prefix is shortened
-level by level until the chance that a pair at the threshold shares a prefix in some
-tree reaches the target recall; at that depth the texts of one prefix form a bucket.
-Within a bucket (rows arrive sorted by label, so deeper prefixes are runs) texts are
-linked if their signatures agree often enough. Connected candidates form a cluster, and
-within a cluster every pair of texts is compared exactly on its sets of shingles.
+Each text gets `trees` labels of `depth` MinHash values. A tree is a prefix trie: its
+labels in sorted order, where a node of the trie is a run of labels with a common prefix.
+Matching starts at whole labels, and matched prefixes are shortened level by level:
+
+* The least level is the longest prefix that reaches the target recall twice: by the chance
+  that a pair at the threshold shares it in some tree, and as measured on the data, for
+  `SAMPLE` texts (by a hash) against all texts, with signatures as the truth (`least_level`).
+* Each node of that level arrives in one task (or its blocks do), sorted by label. The trie
+  is walked from the deepest runs upwards: at each level the texts of a run that are not yet
+  connected are linked where their signatures agree often enough. A prefix is shortened no
+  further once all of its texts are connected (`_candidates`).
+
+Connected candidates form a cluster, and within a cluster every pair of texts is compared
+exactly on its sets of shingles.
 
 Bounds: only one text of a group of equal texts takes part. Buckets and clusters above a
 fixed size are cut into blocks and dealt out as pairs of blocks, so that no task holds a
 whole hot group, and the kernels return one row per text and block pair, never pairs of texts.
-
-The forest is banding of fixed depth: `prefix_depth` sets one prefix length from the
-threshold, before any row is read, and no sorted tries are walked or shortened.
 """
 
 from __future__ import annotations
@@ -27,24 +31,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import workers
+from marlstone.llm.names import fresh
 from marlstone.llm.shingles import MinHash, as_bytes, mix64, shingle_hashes, slices
 from marlstone.operators.components import connected_components
 from marlstone.operators.skew import salted_join, total_of
-from marlstone.plans.materialize import materialize
+from marlstone.plans.materialize import discard, materialize
 
 TREES, DEPTH, WIDTH, THRESHOLD, RECALL = 16, 8, 5, 0.8, 0.999
 #: Rows of a block of a bucket or cluster, and shingles of a block of a cluster.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 500_000
 #: Standard deviations under the threshold at which a signature still passes.
 SLACK = 4.0
+#: Texts whose matches among all texts measure the recall of a level.
+SAMPLE = 128
 
 
-def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix that reaches the recall for pairs at the threshold, else 1."""
-    for k in range(depth, 1, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
-            return k
-    return 1
+def expected_recall(similarity: float, level: int, trees: int = TREES) -> float:
+    """The chance that a pair of this similarity shares a prefix of `level` values in some tree."""
+    return 1 - (1 - similarity**level) ** trees
 
 
 def least_matches(threshold: float, size: int) -> int:
@@ -52,10 +56,9 @@ def least_matches(threshold: float, size: int) -> int:
     return int(np.floor(size * threshold - SLACK * np.sqrt(size * threshold * (1 - threshold))))
 
 
-def _sign(width: int, depth: int):
+def _sign(width: int):
     hasher = MinHash(TREES * DEPTH)
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int32()),
-                        ("sig", pa.binary()), ("keys", pa.list_(pa.int64())), ("mark", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int32()), ("sig", pa.binary()), ("mark", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in workers.batches("jaccard", batches):
@@ -65,20 +68,14 @@ def _sign(width: int, depth: int):
                 own = offsets[a:b + 1] - offsets[a]
                 part = raw[offsets[a]:offsets[b]]
                 hashes, bounds = shingle_hashes(part, own, width)
-                signature = hasher.signatures(hashes, bounds)
-                labels = signature.reshape(b - a, TREES, DEPTH)
-                keys = np.zeros((b - a, TREES), np.uint64) + np.arange(1, TREES + 1, dtype=np.uint64)
-                for k in range(depth):
-                    keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + labels[:, :, k])
+                low = (hasher.signatures(hashes, bounds) & 0xFF).astype(np.uint8)
                 text, counts = part.tobytes(), np.diff(bounds)
-                low = (signature & 0xFF).astype(np.uint8)
                 gone = missing[a:b]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a),
                     pa.array([None if gone[i] else xxhash.xxh3_128_digest(text[own[i]:own[i + 1]]) for i in range(b - a)], pa.binary()),
                     pa.array(counts.astype(np.int32)),
                     pa.array([low[i].tobytes() for i in range(b - a)], pa.binary()),
-                    pa.ListArray.from_arrays(np.arange(0, (b - a + 1) * TREES, TREES, dtype=np.int32), pa.array(keys.view(np.int64).ravel())),
                     batch.column(2).slice(a, b - a),
                 ], schema=schema)
 
@@ -86,14 +83,61 @@ def _sign(width: int, depth: int):
 
 
 def _mark(text_col: str) -> Column:
-    return F.unhex(F.md5(text_col)).alias("mark")
+    return F.unhex(F.md5(text_col))
+
+
+def sign(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc_id, node: digest of the text or null, n_shingles, sig: the low bytes of the
+    labels of all trees, one after another, mark: a digest of the text that Spark can compute)."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _mark(text_col).alias("mark")).mapInArrow(
+        _sign(width), "doc_id long, node binary, n_shingles int, sig binary, mark binary")
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def sign(docs: DataFrame, id_col: str, text_col: str, width: int, depth: int) -> DataFrame:
-    """(doc_id, node: digest of the text or null, n_shingles, sig, keys: a key per tree,
-    mark: a digest of the text that Spark can compute)."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _mark(text_col)).mapInArrow(
-        _sign(width, depth), "doc_id long, node binary, n_shingles int, sig binary, keys array<long>, mark binary")
+def shared_levels(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """For each signature of `many`, the longest prefix that it shares with `one` in any tree."""
+    same = (many == one).reshape(len(many), TREES, DEPTH)
+    return np.logical_and.accumulate(same, axis=2).sum(axis=2).max(axis=1, initial=0)
+
+
+def measured_recall(texts: DataFrame, threshold: float, sample: int = SAMPLE) -> tuple[int, list[float]]:
+    """(pairs, recall of levels 1 to DEPTH): of all pairs of one of `sample` texts (the first
+    by a hash) and any other text whose signatures agree in the threshold's share, how many
+    share a prefix of that level. The sample is a stated query set against all rows."""
+    worded = texts.filter("n_shingles > 0")
+    asked = worded.select("node", "sig", F.xxhash64("node").alias("h")).orderBy("h", "node").limit(sample).collect()
+    nodes, sigs = [bytes(r["node"]) for r in asked], [np.frombuffer(bytes(r["sig"]), np.uint8) for r in asked]
+    least = threshold * TREES * DEPTH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(DEPTH + 1, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                many, node = _signatures(batch.column(1)), np.array(batch.column(0).to_pylist(), object)
+                for own, sig in zip(nodes, sigs, strict=True):
+                    near = np.flatnonzero(((many == sig).sum(axis=1, dtype=np.int32) >= least) & (node != own))
+                    if len(near):
+                        total += np.bincount(shared_levels(sig, many[near]), minlength=DEPTH + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DEPTH + 1), pa.int32()), pa.array(total)], names=["level", "n"])
+
+    found = worded.select("node", "sig").mapInArrow(run, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
+    count = np.zeros(DEPTH + 1, np.int64)
+    for r in found:
+        count[r["level"]] = r["n"]
+    pairs = int(count.sum())
+    return pairs, [float(count[k:].sum() / pairs) if pairs else 1.0 for k in range(1, DEPTH + 1)]
+
+
+def least_level(threshold: float, recall: float, measured: list[float]) -> int:
+    """The longest prefix, shortened from whole labels, at which both the expected recall at
+    the threshold and the measured one reach the target; 1 if none does."""
+    for level in range(DEPTH, 1, -1):
+        if expected_recall(threshold, level) >= recall and measured[level - 1] >= recall:
+            return level
+    return 1
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -131,29 +175,51 @@ def _spread(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _candidates(least: int):
+def trie_links(sig: np.ndarray, label: np.ndarray, level: int, least: int) -> list[tuple[int, int]]:
+    """Links (row, row) of one trie node's texts, whose labels are sorted: runs of a common
+    prefix are walked from whole labels up to `level`. In each run, texts are compared with
+    those that nothing connects them to yet; a run whose texts are all connected is done."""
+    n = len(sig)
+    group = np.arange(n)
+    common = np.logical_and.accumulate(label[1:] == label[:-1], axis=1).sum(axis=1)
+    links: list[tuple[int, int]] = []
+    done: set[tuple[int, int]] = set()
+    for depth in range(label.shape[1], level - 1, -1):
+        cuts = [0, *(np.flatnonzero(common < depth) + 1).tolist(), n] if depth > level else [0, n]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a < 2 or (a, b) in done:
+                continue
+            done.add((a, b))
+            rest = np.arange(a, b)
+            while len(rest) and (group[rest] != group[rest[0]]).any():
+                front = rest[group[rest] == group[rest[0]]].tolist()
+                rest = rest[group[rest] != group[rest[0]]]
+                while front and len(rest):
+                    at = front.pop()
+                    near = rest[(sig[rest] == sig[at]).sum(axis=1, dtype=np.int32) >= least]
+                    if len(near):
+                        old, first = np.unique(group[near], return_index=True)
+                        links += [(at, i) for i in near[first].tolist()]
+                        joined = np.isin(group[rest], old)
+                        front += rest[joined].tolist()
+                        group[np.isin(group, old)] = group[at]
+                        rest = rest[~joined]
+    return links
+
+
+def _candidates(level: int, least: int):
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[bytes] = []
         right: list[bytes] = []
         for group in _groups(workers.batches("jaccard", batches), 3):
-            node = group.column(3).to_pylist()
+            node = group.column("node").to_pylist()
             if len(node) < 2:
                 continue
-            sig = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint8).reshape(len(node), -1)
-            rest = np.arange(len(node))
-            while len(rest):  # a walk over the links; every step compares with what it has not reached
-                front = [rest[0]]
-                rest = rest[1:]
-                while front and len(rest):
-                    at = front.pop()
-                    near = (sig[rest] == sig[at]).sum(axis=1, dtype=np.int32) >= least
-                    got = rest[near]
-                    left += [node[i] for i in got]
-                    right += [node[at]] * len(got)
-                    front += got.tolist()
-                    rest = rest[~near]
+            for i, j in trie_links(_signatures(group.column("sig")), _signatures(group.column("label")), level, least):
+                left.append(node[i])
+                right.append(node[j])
             if len(left) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], schema=schema)
                 left, right = [], []
@@ -173,7 +239,7 @@ def _block_pairs(df: DataFrame, blocks: Column) -> DataFrame:
 
 def _shingle_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in workers.batches("jaccard", batches):
             raw, offsets = as_bytes(batch.column("text"))
             for a, b in slices(offsets, 1 << 20):
                 hashes, bounds = shingle_hashes(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], width)
@@ -259,8 +325,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns are not used, whatever their names.
     """
     signed, placed = _classes(docs, id_col, text_col, threshold, width, recall)
-    heads = placed.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    placed = placed.join(heads, "component").select(
+    placed = materialize(placed, "placed")
+    heads = materialize(placed.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n")), "heads")
+    placed = salted_join(placed, heads, ["component"], "n", total_of(heads, "n"), ["node"]).select(
         "node", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"))
     return signed.select("doc_id", "node").join(placed, "node", "left").select(
@@ -272,35 +339,38 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int, recall: float) -> tuple[DataFrame, DataFrame]:
     """The signed rows, and a row for each text: node, mark, rep (its least doc_id), copies,
     component (of its class), texts and links."""
-    depth = prefix_depth(threshold, TREES, DEPTH, recall)
-    signed = materialize(sign(docs, id_col, text_col, width, depth), "signed")
+    signed = materialize(sign(docs, id_col, text_col, width), "signed")
     texts = materialize(
         signed.filter("node is not null").groupBy("node")
         .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"),
-             F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.first("mark").alias("mark")), "texts")
+             F.first("sig").alias("sig"), F.first("mark").alias("mark")), "texts")
+    level = least_level(threshold, recall, measured_recall(texts, threshold)[1])
 
-    spots = texts.filter("n_shingles > 0").select("node", F.explode("keys").alias("key"))
+    label = lambda size: F.expr(f"substring(sig, tree * {DEPTH} + 1, {size})")
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    spots = texts.filter("n_shingles > 0").select("node", "sig", trees).select("node", "tree", F.xxhash64("tree", label(level)).alias("key"))
     shared = materialize(spots.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n")), "shared")
     hits = salted_join(spots, shared, ["key"], "n", total_of(shared, "n"), ["node"]).join(texts.select("node", "sig"), "node")
-    dealt = _block_pairs(hits, F.ceil(F.col("size") / BLOCK_ROWS)).select("key", "lo", "hi", "node", "sig")
-    candidates = (dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "sig")
-                  .mapInArrow(_candidates(least_matches(threshold, TREES * DEPTH)), "u binary, v binary").distinct())
+    hits = hits.withColumn("label", label(DEPTH)).drop("tree")
+    dealt = _block_pairs(hits, F.ceil(F.col("size") / BLOCK_ROWS)).select("key", "lo", "hi", "node", "sig", "label")
+    candidates = (dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "label")
+                  .mapInArrow(_candidates(level, least_matches(threshold, TREES * DEPTH)), "u binary, v binary").distinct())
     clusters = materialize(connected_components(candidates).withColumnRenamed("component", "cluster"), "clusters")
-
-    members = clusters.join(texts.select("node", "rep", "copies", "n_shingles"), "node")
-    weight = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    lots = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    members = members.join(weight, "cluster").select("cluster", "node", "rep", "copies", lots.alias("lots"))
-    # one row of each text: the one with its least doc_id, found again by digest if ids repeat
-    source = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    held = source.join(members, source["rep"].eqNullSafe(members["rep"])).drop(members["rep"])
-    held = held.filter(F.col("text").isNotNull())
-    sets = held.mapInArrow(_owned(width), "cluster binary, node binary, copies long, lots int, shingles binary")
+    discard(shared)
+
+    members = materialize(clusters.join(texts.select("node", "mark", "copies", "n_shingles"), "node"), "members")
+    weight = materialize(members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).withColumn(
+        "lots", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")).drop("s"), "weight")
+    members = salted_join(members, weight, ["cluster"], "n", total_of(weight, "n"), ["node"]).select("cluster", "node", "mark", "copies", "lots")
+    # one row of each text: copies go before the shuffle, whatever their ids
+    source = docs.select(_mark(text_col).alias("mark"), F.col(text_col).alias("text")).filter("text is not null").groupBy("mark").agg(F.first("text").alias("text"))
+    sets = source.join(members, "mark").mapInArrow(_shingle_sets(width), "cluster binary, node binary, copies long, lots int, shingles binary")
     pairs = _block_pairs(sets, F.col("lots")).select(
         F.xxhash64("cluster").alias("c"), "lo", "hi", "own", "node", "copies", "shingles", "cluster")
     checked = materialize(
         pairs.repartition("c", "lo", "hi").sortWithinPartitions("c", "lo", "hi", "node")
         .mapInArrow(_verify(threshold), "node binary, root binary, texts long, links long"), "checked")
+    discard(weight)
 
     classes = connected_components(checked.select(F.col("node").alias("u"), F.col("root").alias("v")))
     totals = checked.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("links").alias("links"))
@@ -329,28 +399,6 @@ def oracle_sql(threshold: float = THRESHOLD, width: int = WIDTH) -> str:
       cast(coalesce(class_size, 1) as bigint) as class_size from documents left join placed using (text)"""
 
 
-def _owned(width: int):
-    """Shingle sets of the rows whose text is the node's own, each node once per task."""
-    inner = _shingle_sets(width)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-
-        def own() -> Iterator[pa.RecordBatch]:
-            for batch in workers.batches("jaccard", batches):
-                keep = []
-                for text, node in zip(batch.column("text").to_pylist(), batch.column("node").to_pylist(), strict=True):
-                    fits = node not in seen and xxhash.xxh3_128_digest(text.encode()) == node
-                    keep.append(fits)
-                    if fits:
-                        seen.add(node)
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        yield from inner(own())
-
-    return run
-
-
 def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """The documents, all columns, with one of each class of near duplicates left.
@@ -362,7 +410,8 @@ def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     placed = _classes(docs, id_col, text_col, threshold, width, RECALL)[1]
     order = F.struct(F.col("rep").isNull().alias("last"), "rep", "mark")
-    heads = placed.groupBy("component").agg(F.min(order).alias("head")).select(F.col("head.rep").alias("_rep"), F.col("head.mark").alias("_head"))
-    worded = docs.filter(F.col(text_col).isNotNull()).withColumn("_mark", _mark(text_col))
-    kept = worded.join(heads, worded[id_col].cast("long").eqNullSafe(heads["_rep"]) & (worded["_mark"] == heads["_head"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_mark"]).drop("_mark").unionByName(docs.filter(F.col(text_col).isNull()))
+    mark, rep, head = fresh(docs.columns, "mark", "rep", "head")
+    heads = placed.groupBy("component").agg(F.min(order).alias("head")).select(F.col("head.rep").alias(rep), F.col("head.mark").alias(head))
+    worded = docs.filter(F.col(text_col).isNotNull()).withColumn(mark, _mark(text_col))
+    kept = worded.join(heads, worded[id_col].cast("long").eqNullSafe(heads[rep]) & (worded[mark] == heads[head]), "left_semi")
+    return kept.dropDuplicates([id_col, mark]).drop(mark).unionByName(docs.filter(F.col(text_col).isNull()))

@@ -3,10 +3,12 @@
 Documents become ids of the tokenizers library with an end id; longer ones are cut into
 pieces of one sequence's length. Whole-length pieces fill a sequence each. The others are
 dealt to shards of bounded size. Every shard is a bin-packing problem that evolves on
-several islands: crossover injects whole well-filled bins of one parent into the other,
-drops the bins that would repeat a piece, and best-fits the displaced pieces; after each
-epoch the islands of a shard pass their elite on in a ring. At the end the shards' poorly
-filled bins are dissolved and their pieces packed again together.
+several islands. An island's first population is packed in random orders, so that its
+members differ; crossover injects whole well-filled bins of one parent into the other, drops
+the bins that would repeat a piece, and best-fits the displaced pieces. After each epoch the
+islands of a shard pass their elite on in a ring; a shard is done once it has the least
+number of bins that any packing can have. At the end the shards' poorly filled bins are
+dissolved and their pieces evolve again together.
 
 Only lengths move in shuffles; ids stay where they were made.
 """
@@ -29,7 +31,7 @@ from marlstone.llm import workers
 from marlstone.plans.materialize import materialize
 
 CAPACITY, END_ID = 4096, 1
-SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 2, 2, 10, 5
+SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 2, 3, 12, 4
 #: Bins filled less than this are dissolved at the end, once.
 DISSOLVE = 0.97
 #: Most words that a task keeps with their ids.
@@ -49,7 +51,9 @@ class WordCoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # the library finds added tokens within texts, so words that may hold one take its own pipeline
+        added = [re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
         self.plain = Tokenizer(Tokenizer.from_file(path).model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Punctuation("contiguous"),
@@ -69,7 +73,7 @@ class WordCoder:
         self.flat = self.flat[:self.first[-1]].copy()
 
     def _learn(self, words: set[str]) -> None:
-        easy = list(filter(_EASY.fullmatch, words))
+        easy = [w for w in filter(_EASY.fullmatch, words) if "<" not in w or not self.added.search(w.lower())]
         other = list(words.difference(easy))
         flat, first, total = [self.flat], [self.first], len(self.flat)
         groups = [" ".join(easy[i:i + 512]).lower() for i in range(0, len(easy), 512)]
@@ -162,11 +166,12 @@ class Packing:
         """Fewer bins first, then more uneven fills, which leave more room to close a bin."""
         return -len(self.bins), sum(f * f for f in self.fills) / capacity**2
 
-    def best_fit(self, items: list[int], sizes: np.ndarray, capacity: int) -> None:
-        """Put the items, largest first, where they leave least room; open bins as needed."""
+    def best_fit(self, items: list[int], sizes: np.ndarray, capacity: int, ordered: bool = True) -> None:
+        """Put the items, largest first if `ordered`, where they leave least room; open bins as needed."""
         room = sorted((capacity - f, i) for i, f in enumerate(self.fills) if f < capacity)
-        for item in sorted(items, key=lambda i: (-sizes[i], i)):
-            size = int(sizes[item])
+        length = sizes.tolist()
+        for item in sorted(items, key=lambda i: (-length[i], i)) if ordered else items:
+            size = length[item]
             k = bisect_left(room, (size, -1))
             if k < len(room):
                 left, at = room.pop(k)
@@ -226,31 +231,38 @@ def mutate(packing: Packing, sizes: np.ndarray, capacity: int, rng: np.random.Ge
     return child
 
 
+def least_bins(sizes: np.ndarray, capacity: int) -> int:
+    """Bins that every packing needs: all lengths together, and those over half a bin."""
+    return max(-(-int(sizes.sum()) // capacity), int((sizes > capacity // 2).sum()))
+
+
+def random_packing(sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> Packing:
+    """The items best-fitted in a random order."""
+    made = Packing([], [])
+    made.best_fit(rng.permutation(len(sizes)).tolist(), sizes, capacity, ordered=False)
+    return made
+
+
 def evolve(sizes: np.ndarray, capacity: int, seeds: list[np.ndarray], seed: int, generations: int = GENERATIONS,
            population: int = POPULATION) -> np.ndarray:
-    """Bin numbers of the best packing found; stops where no packing can have fewer bins."""
-    least = max(-(-int(sizes.sum()) // capacity), int((sizes > capacity // 2).sum()))
+    """Bin numbers of the best packing found; stops where no packing can have fewer bins.
+    `seeds` are packings of earlier epochs; the population is filled up in random orders."""
+    least = least_bins(sizes, capacity)
     rng = np.random.default_rng(seed)
     pool = [Packing.read(s, sizes) for s in seeds]
-    if not pool:
-        first = Packing([], [])
-        first.best_fit(list(range(len(sizes))), sizes, capacity)
-        pool = [first]
     key = lambda p: p.fitness(capacity)
-    best = max(pool, key=key)
-    if len(best.bins) > least:
+    if not pool or min(len(p.bins) for p in pool) > least:
         while len(pool) < population:
-            pool.append(mutate(pool[int(rng.integers(len(pool)))], sizes, capacity, rng))
+            pool.append(random_packing(sizes, capacity, rng))
         for _ in range(generations):
             a, b = rng.choice(len(pool), 2, replace=False)
             child = mutate(crossover(pool[a], pool[b], sizes, capacity, rng), sizes, capacity, rng)
             worst = min(range(len(pool)), key=lambda i: key(pool[i]))
             if key(child) > key(pool[worst]):
                 pool[worst] = child
-            best = max(pool, key=key)
-            if len(best.bins) <= least:
+            if len(child.bins) <= least:
                 break
-    return best.labels(len(sizes))
+    return max(pool, key=key).labels(len(sizes))
 
 
 def _evolve_shards(capacity: int, epoch: int):

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators.skew import LEAST_ROWS, MOST_HOT, salted_join
 from marlstone.plans.materialize import materialize
 
 #: (verdict, rule): a rule is a host and a path.
@@ -46,7 +47,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(the longest rule that fits, its verdict), null where none fits; of equally long
     rules the first in the list wins. `rules` is configuration, compiled into the plan."""
     found = verdict = F.lit(None).cast("string")
-    for kind, rule in sorted(rules, key=lambda r: len(r[1]))[::1]:
+    for kind, rule in sorted(reversed(rules), key=lambda r: len(r[1])):  # the last that fits stays
         fits = _fits(rule, host, path)
         found, verdict = F.when(fits, F.lit(rule)).otherwise(found), F.when(fits, F.lit(kind)).otherwise(verdict)
     return found, verdict
@@ -67,11 +68,21 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     and changes no host's mass by more than `TOLERANCE` of it. Ranks are written out every
     fourth round to keep plans short.
     """
-    out = edges.groupBy("src").agg(F.sum("links").alias("all"))
-    back = edges.groupBy("dst").agg(F.sum("links").alias("all"))
-    ahead = edges.join(out, "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("links") / F.col("all")).alias("t"), F.lit(0.0).alias("d"))
-    behind = edges.join(back, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("links") / F.col("all")).alias("d"))
-    steps = materialize(ahead.unionByName(behind), "steps")
+    edges = materialize(edges, "edges")
+    count = edges.count()
+    degree = lambda side: materialize(edges.groupBy(side).agg(F.sum("links").alias("all"), F.count("*").alias("n")), "degrees")
+    part = (F.col("links") / F.col("all"))
+    ahead = salted_join(edges, degree("src"), ["src"], "n", count, ["dst"]).select(
+        F.col("src").alias("host"), F.col("dst").alias("to"), part.alias("t"), F.lit(0.0).alias("d"))
+    behind = salted_join(edges, degree("dst"), ["dst"], "n", count, ["src"]).select(
+        F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("t"), part.alias("d"))
+    steps = ahead.unionByName(behind)
+    # a hub's steps are dealt to several parts once; each round copies its one rank to them
+    per = max(LEAST_ROWS, -(-2 * count // MOST_HOT))
+    hubs = steps.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > per).select("host", F.ceil(F.col("n") / per).cast("int").alias("parts"))
+    hubs = materialize(hubs, "hubs")  # at most MOST_HOT rows, as each has more than a MOST_HOT-th of all steps
+    steps = materialize(steps.join(F.broadcast(hubs), "host", "left").withColumn(
+        "part", F.pmod(F.xxhash64("to"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts"), "steps")
     start = materialize(seeds.select("host", (F.col("good") * (1 - damping)).alias("trust"), (F.col("bad") * (1 - damping)).alias("distrust")), "seeds")
     if steps.isEmpty():
         return start
@@ -79,7 +90,8 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     while True:
         if k >= rounds and k % 4 == 3:
             rank = before = materialize(rank, "ranks")
-        moved = steps.join(rank, "host").groupBy(F.col("to").alias("host")).agg(
+        copied = rank.join(F.broadcast(hubs), "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        moved = steps.join(copied, ["host", "part"]).groupBy(F.col("to").alias("host")).agg(
             (F.sum(F.col("t") * F.col("trust")) * damping).alias("trust"), (F.sum(F.col("d") * F.col("distrust")) * damping).alias("distrust"))
         rank = moved.unionByName(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
         k += 1

@@ -8,8 +8,9 @@ the weighted least squares that the loss implies. A search adds up four-bit tabl
 codes to a byte, and scores the best of each block again on the original vectors.
 
 All rows are indexed. Only the centres are fitted on a sample of at most `TRAIN_ROWS`
-rows, the first by a hash of the id. Rows are packed into blocks of bounded size, and
-queries in blocks meet the blocks of rows through an equi-join on the block's number.
+rows, the first by a hash of the id. Equal rows of one id are one entry with a count. Rows
+are packed into blocks of bounded size, and queries in blocks meet the blocks of rows
+through an equi-join on the block's number.
 """
 
 from __future__ import annotations
@@ -19,15 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.plans.materialize import materialize
 
 TRAIN_ROWS, ROUNDS, SWEEPS, CENTRES, WIDTH = 20_000, 8, 2, 16, 2
-#: Rows and queries of a block; rows of a block that are scored again, per query.
-BLOCK, QUERIES, RERANK = 16_384, 512, 512
+#: Most rows and queries of a block, and the least rows where there are few.
+BLOCK, QUERIES, LEAST_BLOCK = 16_384, 512, 2_048
+#: One in so many rows of a block is scored again, per query, and `AGAIN` times the wanted number at least.
+RERANK, AGAIN = 16, 8
+#: What stands for a null id where ids are numbers; null comes after all ids.
+_NO_ID = np.iinfo(np.int64).max
 #: Share of the norm from which an inner product counts as large; sets eta.
 LARGE = 0.2
 TOP = 20
@@ -87,11 +92,13 @@ class Codebook:
                 xm = x[:, m]
                 other = along.sum(1) - along[:, m]
                 right = xm * (1 + lam * (other + (xm**2).sum(1)))[:, None]
-                left = np.eye(WIDTH)[None] + lam[:, None, None] * xm[:, :, None] * xm[:, None, :]
-                for c in range(CENTRES):
-                    own = code[:, m] == c
-                    if own.any():
-                        book.centres[m, c] = np.linalg.solve(left[own].sum(0), right[own].sum(0))
+                total = lambda weights, own=code[:, m]: np.bincount(own, weights, CENTRES)
+                count = total(None)
+                left = count[:, None, None] * np.eye(WIDTH) + np.array(
+                    [[total(lam * xm[:, i] * xm[:, j]) for j in range(WIDTH)] for i in range(WIDTH)]).transpose(2, 0, 1)
+                some = np.flatnonzero(count)
+                wanted = np.stack([total(right[:, i]) for i in range(WIDTH)], axis=1)
+                book.centres[m, some] = np.linalg.solve(left[some], wanted[some][:, :, None])[:, :, 0]
                 along[:, m] = ((xm - book.centres[m, code[:, m]]) * xm).sum(-1)
         return book
 
@@ -116,41 +123,51 @@ def scan(book: Codebook, queries: np.ndarray, packed: np.ndarray) -> Iterator[np
         yield total
 
 
-def best(book: Codebook, ids: np.ndarray, vectors: np.ndarray, packed: np.ndarray, query_ids: np.ndarray, queries: np.ndarray,
-         top: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of the `top` best rows of a block for each query; rows
-    that tie with the last one to be scored again are all scored."""
-    wide = vectors.astype(np.float64)
+def best(book: Codebook, rows: tuple, packed: np.ndarray, queries: tuple, top: int, rerank: int) -> tuple[np.ndarray, ...]:
+    """(number of the query, vec_id, score, times) of the best rows of a block for each query,
+    `top` rows with their repeats at least. rows and queries are (ids, counts, numbers,
+    vectors). Rows that tie with the last one to be scored again are all scored. The row
+    equal to a query (of its number) counts once less: that is the query's own."""
+    ids, counts, numbers, vectors = rows
     out = []
-    for qid, query, rough in zip(query_ids, queries.astype(np.float64), scan(book, queries, packed), strict=True):
-        if len(ids) > rerank + 1:
-            some = np.flatnonzero(rough >= np.partition(rough, len(rough) - rerank - 1)[len(rough) - rerank - 1])
-        else:
-            some = np.arange(len(ids))
-        some = some[ids[some] != qid]
-        score = (wide[some] * query).sum(axis=1)
+    again = max(AGAIN * top, len(ids) // rerank) + 1
+    for number, query, rough in zip(queries[2], queries[3], scan(book, queries[3], packed), strict=True):
+        some = np.arange(len(ids))
+        if len(ids) > again:
+            some = np.flatnonzero(rough >= np.partition(rough, len(rough) - again)[len(rough) - again])
+        times = counts[some] - (numbers[some] == number)
+        some, times = some[times > 0], times[times > 0]
+        score = (vectors[some] * query).sum(axis=1)
         first = np.lexsort((ids[some], -score))[:top]
-        out.append((np.full(len(first), qid), ids[some][first], score[first]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        out.append((np.full(len(first), number), ids[some][first], score[first], times[first]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def usable(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v array<double>): one row per id, without vectors that are null, empty, zero
-    or hold null or non-finite components, and without null ids."""
+    """(vec_id, v array<double>, copies): the different rows, without vectors that are null,
+    empty, zero or hold null or non-finite components."""
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     kept = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    kept = kept.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
-    return kept.groupBy("vec_id").agg(F.min("v").alias("v"))
+    kept = kept.filter(F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
+    return kept.groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
+
+
+def _number(*columns: str) -> Column:
+    """A row's number: equal for equal ids and vectors, else different but for a clash of 64 bits."""
+    return F.xxhash64(*columns)
 
 
 def _pack(book: Codebook | None):
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
+        ids = table.column("vec_id").fill_null(int(_NO_ID)).to_numpy()
+        number = table.column("number").to_numpy()
+        order = np.lexsort((number, ids))
         vectors = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
         code = pack_codes(book.codes(vectors)).tobytes() if book else b""
-        return pa.table({"block": table.column("block")[:1], "ids": pa.array([ids[order].tobytes()], pa.binary()),
-                         "vectors": pa.array([vectors.astype(np.float64).tobytes()], pa.binary()), "codes": pa.array([code], pa.binary())})
+        data = [ids[order], table.column("copies").to_numpy()[order], number[order], vectors.astype(np.float64)]
+        made = {"block": table.column("block")[:1]}
+        made |= {name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("ids", "copies", "numbers", "vectors"), data, strict=True)}
+        return pa.table(made | {"codes": pa.array([code], pa.binary())})
 
     return run
 
@@ -158,39 +175,55 @@ def _pack(book: Codebook | None):
 def search(embeddings: DataFrame, queries: DataFrame, top: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding",
            rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` its `top` nearest rows of
-    `embeddings` by inner product, nearest first, ties to the smaller vec_id; a row of the
-    query's own id is left out. Fewer candidates than `top` give all of them.
-
-    Vectors that are null, empty, zero or not finite take no part, nor do vectors of
-    another dimension than most of the sample. Rows of one id count once (the least
-    vector). Without usable vectors the result is empty. Other columns are not used.
+    `embeddings` by inner product, nearest first, ties to the smaller vec_id, null last.
+
+    Every row of `embeddings` is a candidate but the query's own: one row of its id and
+    vector. Rows that share an id are candidates and queries each on their own; equal query
+    rows have equal results, each once a row. Fewer candidates than `top` give all of them.
+    Vectors that are null, empty, zero or not finite take no part. An inner product needs
+    equal dimensions: a query meets the candidates of its own. Without usable vectors the
+    result is empty. Other columns are not used.
     """
-    spark = embeddings.sparkSession
-    rows = materialize(usable(embeddings, id_col, vector_col), "vectors")
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).toPandas()
+    rows = materialize(usable(embeddings, id_col, vector_col).withColumn("number", _number("vec_id", "v")), "vectors")
+    asked = materialize(usable(queries, id_col, vector_col).withColumn("number", _number("vec_id", "v")), "queries")
+    found = None
+    for row in asked.groupBy(F.size("v").alias("d")).count().orderBy("d").collect():  # one row a dimension
+        one = _search(rows.filter(F.size("v") == row["d"]), asked.filter(F.size("v") == row["d"]), row["d"], row["count"], top, rerank, block)
+        if one is not None:
+            found = one if found is None else found.unionByName(one)
+    return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
+
+
+def _search(rows: DataFrame, asked: DataFrame, d: int, n_asked: int, top: int, rerank: int, block: int) -> DataFrame | None:
+    sample = rows.select("vec_id", "v", F.xxhash64("vec_id", "number").alias("h")).orderBy("h").limit(TRAIN_ROWS).select("v").toPandas()
     if not len(sample):
-        return empty
-    size = sample["v"].map(len)
-    d = int(size.mode().iloc[0])
-    book = Codebook.fit(np.stack(sample["v"][size == d].to_list()))
-    rows = rows.filter(F.size("v") == d)
-    asked = usable(queries, id_col, vector_col).filter(F.size("v") == d)
-    blocks, groups = max(1, -(-rows.count() // block)), max(1, -(-asked.count() // QUERIES))
-    schema = "block long, ids binary, vectors binary, codes binary"
-    index = materialize(rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").applyInArrow(_pack(book), schema), "index")
-    grouped = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).groupBy("block").applyInArrow(_pack(None), schema)
-    sent = grouped.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+        return None
+    book = Codebook.fit(np.stack(sample["v"].to_list()))
+    count = rows.count()
+    size = min(block, max(LEAST_BLOCK, count // 64))
+    blocks, groups = -(-count // size), -(-n_asked // QUERIES)
+    schema = "block long, ids binary, copies binary, numbers binary, vectors binary, codes binary"
+    dealt = lambda df, n: df.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(n))).groupBy("block")
+    index = materialize(dealt(rows, blocks).applyInArrow(_pack(book), schema), "index")
+    grouped = dealt(asked, groups).applyInArrow(_pack(None), schema)
+    sent = grouped.select(F.col("numbers").alias("asked"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, vectors, codes, qids, qs = (batch.column(c)[i].as_buffer() for c in ("ids", "vectors", "codes", "query_ids", "queries"))
-                found = best(book, np.frombuffer(ids, np.int64), np.frombuffer(vectors).reshape(-1, d),
-                             np.frombuffer(codes, np.uint8).reshape(-1, len(ids) // 8), np.frombuffer(qids, np.int64),
-                             np.frombuffer(qs).reshape(-1, d), top, rerank)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
-
-    near = index.join(sent, "block").select("ids", "vectors", "codes", "query_ids", "queries").mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+                ids, copies, numbers, vectors, codes, asked, queries = (batch.column(c)[i].as_buffer() for c in names)
+                block = (*(np.frombuffer(x, np.int64) for x in (ids, copies, numbers)), np.frombuffer(vectors).reshape(-1, d))
+                found = best(book, block, np.frombuffer(codes, np.uint8).reshape(-1, len(block[0])),
+                             (None, None, np.frombuffer(asked, np.int64), np.frombuffer(queries).reshape(-1, d)), top, rerank)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["number", "vec_id", "score", "times"])
+
+    names = ("ids", "copies", "numbers", "vectors", "codes", "asked", "queries")
+    near = index.join(sent, "block").select(*names).mapInArrow(run, "number long, vec_id long, score double, times long")
+    order = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
+    near = near.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= top)
+    # a row that stands for several equal ones takes that many places
+    before = F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spread = near.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < top).select(
+        "number", "vec_id", "score", F.explode(F.sequence(F.col("_before") + 1, F.least(F.col("_before") + F.col("times"), F.lit(top)))).alias("_rank")).withColumn("rank", F.col("_rank").cast("int"))
+    once = asked.select("number", F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
+    return spread.join(once, "number").select("query_id", "rank", F.nullif("vec_id", F.lit(int(_NO_ID))).alias("vec_id"), "score")

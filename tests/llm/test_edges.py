@@ -132,12 +132,66 @@ def test_vectors(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, block string")
     out = anisotropic.search(table, table.filter("vec_id % 20 = 0"), top=5).orderBy("query_id", "rank").collect()
     assert {r.query_id for r in out} == {0, 20}
-    # all scores tie for the query (0, 1), so the smallest ids win, without its own
-    assert [r.vec_id for r in out if r.query_id == 0] == [1, 2, 3, 4, 5]
+    # all scores tie for the two equal rows (0, 1) of id 0, so the smallest ids win; each has the other as a candidate
+    assert [r.vec_id for r in out if r.query_id == 0] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
     assert [(r.vec_id, r.score) for r in out if r.query_id == 20] == [(2, 5.0), (5, 5.0), (8, 5.0), (11, 5.0), (14, 5.0)]
     assert anisotropic.search(table.limit(0), table).isEmpty()
-    assert anisotropic.search(table.filter("vec_id < 3"), table.filter("vec_id = 0"), top=5).count() == 2
-
-
-def test_columns_may_clash(docs):
-    assert docs.filter(F.col("item").isNotNull()).isEmpty()
+    assert anisotropic.search(table.filter("vec_id < 3"), table.filter("vec_id = 0"), top=5).count() == 6
+
+
+#: Names that the operators use inside, in other cases too.
+CLASHES = ("_gone _cut _cut_text _spans _spanned _mark _rep _head gone cut_id cut_text spans spanned mark rep head N_Removed CUT_CHARS c i_ line pos first _part _hot _parts n "
+           "size start hi lo copies cluster component tree label sig piece length sequence_id offset word stats y held_out number block rank times_").split()
+
+
+def _widened(df):
+    for k, name in enumerate(CLASHES):
+        df = df.withColumn(name, F.lit(f"user {k}"))
+    return df
+
+
+def test_columns_may_clash(spark, docs, labels):
+    wide = _widened(docs.select("doc_id", "text").withColumn("n_chars", F.char_length("text")))
+    own = {name: f"user {k}" for k, name in enumerate(CLASHES)}
+    plain = docs.select("doc_id", "text")
+    rows = lambda df: sorted(map(repr, map(tuple, df.select("doc_id", "text").collect())))
+    for made, replaced, same in ((line_dedup.line_dedup(wide, least_lines=1), "n_removed", line_dedup.line_dedup(plain, least_lines=1)),
+                                 (line_dedup.passages_removed(wide), "n_removed", line_dedup.passages_removed(plain)),
+                                 (substring_dedup.substring_dedup(wide), "cut_chars", substring_dedup.substring_dedup(plain)),
+                                 (jaccard_join.near_duplicates_removed(wide), None, jaccard_join.near_duplicates_removed(plain)),
+                                 (quality.quality_filtered(wide, labels), None, quality.quality_filtered(plain, labels))):
+        assert rows(made) == rows(same)
+        first = made.collect()[:3]
+        for name, value in own.items():
+            if name.lower() != replaced:
+                assert name in made.columns and all(r[name] == value for r in first)
+    count = len(ROWS)
+    assert jaccard_join.jaccard_join(wide).count() == quality.quality_scores(wide, _widened(labels.drop("score"))).count() == count
+    assert byte_bpe.encode(wide).count() == png_media.to_media(wide).count() == packing.pack_documents(wide).filter("piece = 0").count() == count
+    pages = _widened(spark.createDataFrame(PAGES, "page_id long, url string, html string"))
+    assert page_diff.main_text(pages).count() == url_trust.url_verdicts(pages).count() == len(PAGES)
+    vectors = _widened(spark.createDataFrame([(k, [1.0, float(k)]) for k in range(5)], "vec_id long, embedding array<double>"))
+    assert anisotropic.search(vectors, vectors).count() == 20
+
+
+def test_pipeline_stages_on_edges(spark, docs, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns and empty tables in every stage."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(k % 7, k % 2, 0) for k in range(14)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    wide = _widened(docs.select("doc_id", "text").withColumn("n_chars", F.char_length("text").cast("long")))
+    given = {(r.doc_id, r.text) for r in wide.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert all(r["_gone"] == "user 0" and r["CUT_CHARS"] == f"user {CLASHES.index('CUT_CHARS')}" for r in rows), name
+        if name in ("line dedup", "substring dedup"):  # no document goes; null texts stay null
+            assert len(rows) == len(ROWS) and sum(r.text is None for r in rows) == 2
+            assert all(r.n_chars == len(r.text or "") for r in rows)
+        else:
+            assert {(r.doc_id, r.text) for r in rows} <= given
+        assert stage(spark, wide.limit(0), str(tmp_path)).isEmpty(), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, wide, str(tmp_path))
+    assert packed.filter("piece = 0").count() == len(ROWS)
+    assert corpus_pipeline.STAGES[-1][1](spark, wide.limit(0), str(tmp_path)).isEmpty()

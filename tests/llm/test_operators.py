@@ -120,9 +120,13 @@ def test_jaccard_join_in_small_blocks(spark, monkeypatch):
 
 
 def test_prefix_is_shortened_until_the_recall():
-    assert jaccard_join.prefix_depth(0.8) == 4
-    assert jaccard_join.prefix_depth(0.95) == 8
-    assert 1 - (1 - 0.8**4) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8**5) ** jaccard_join.TREES
+    full, recall = [1.0] * jaccard_join.DEPTH, jaccard_join.RECALL
+    assert jaccard_join.least_level(0.8, recall, full) == 4
+    assert jaccard_join.least_level(0.95, recall, full) == 8
+    assert jaccard_join.expected_recall(0.8, 4) >= recall > jaccard_join.expected_recall(0.8, 5)
+    # what is measured on the data shortens prefixes further
+    assert jaccard_join.least_level(0.8, recall, [1.0, 1.0, 0.9995, 0.99, 0.9, 0.8, 0.7, 0.6]) == 3
+    assert jaccard_join.least_level(0.8, recall, [0.9] * 8) == 1
 
 
 def test_shingles_match_a_plain_loop():
@@ -233,7 +237,6 @@ def test_packing_query(spark, texts):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(public.path("word_bpe_49k.json"))
-    coder.encode_special_tokens = True
     pieces, fill = {}, defaultdict(list)
     for r in QUERIES["op10_packing"](spark, SF).collect():
         pieces[r.doc_id, r.piece] = r
@@ -259,10 +262,10 @@ def test_word_coder_agrees_with_the_library():
 
     path = public.path("word_bpe_49k.json")
     other = Tokenizer.from_file(path)
-    other.encode_special_tokens = True
     rng = random.Random(1)
     alphabet = "aAbé' .,|#-_'s\n\t12漢ªßÀÿĀİ🙂\x1ćΣ"
-    some = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(4000)] + ["<|startoftext|> x"]
+    some = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(4000)] + [
+        "<|startoftext|> x", "a<|endoftext|>b", "<|STARTOFTEXT|> < |endoftext|> <|endoftext|", "x <|startoftext|><|endoftext|>'s 1"]
     assert [m.tolist() for m in packing.WordCoder(path).encode(pa.array(some))] == [e.ids for e in other.encode_batch(some, add_special_tokens=False)]
 
 

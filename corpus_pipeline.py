@@ -1,4 +1,11 @@
-"""The corpus pipeline: STAGES of (name, function), each (spark, docs, sf_dir) -> DataFrame."""
+"""The corpus pipeline: STAGES of (name, function), each (spark, docs, sf_dir) -> DataFrame.
+
+All stages but the last keep the columns of `docs`, whatever their names, and give an empty
+table for an empty one. Null texts count as empty for the classifier and the packing, and
+pass the other stages unchanged, as rows with a null doc_id pass the two that cut texts.
+Repeated rows are scored and packed each; of near duplicates, which they are, one stays.
+n_chars, where there is one, is counted again after a text was cut.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +14,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.jaccard_join import near_duplicates_removed
 from marlstone.llm.line_dedup import passages_removed
+from marlstone.llm.names import fresh
 from marlstone.llm.packing import pack_documents
 from marlstone.llm.quality import quality_filtered
 from marlstone.llm.substring_dedup import substring_dedup
@@ -29,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut runs of two lines or more that occurred before; no document goes."""
     ship(spark)
-    return _measured(docs, passages_removed(docs))
+    return _measured(docs, passages_removed(docs, count_col=fresh(docs.columns, "n_removed")[0]))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that occurred before; no document goes."""
     ship(spark)
-    return _measured(docs, substring_dedup(docs))
+    return _measured(docs, substring_dedup(docs, count_col=fresh(docs.columns, "cut_chars")[0]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

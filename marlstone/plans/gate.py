@@ -2,15 +2,17 @@
 
 Two layers. `assess` reads any dialect's text with a lexer and classifies it; it needs no
 session. `assess_spark` is authoritative for statements that run here: it takes Spark's
-own parse of the text and walks the plan, so side channels that look like a plain
-projection (path tables, reflection, TRANSFORM) are seen as well.
+own parse of the text and walks all that the plan holds, so side channels that look like a
+plain projection (path tables, reflection, TRANSFORM, options) are seen as well.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+from py4j.java_gateway import JavaObject, is_instance_of
 from pyspark.errors import ParseException
 from pyspark.sql import SparkSession
 
@@ -182,47 +184,89 @@ _SPARK_OPERATIONS = {
     "insert": "InsertIntoStatement AppendData OverwriteByExpression", "update": "UpdateTable", "delete": "DeleteFromTable", "merge": "MergeIntoTable",
     "ddl": "CreateTable CreateTableAsSelect ReplaceTable ReplaceTableAsSelect DropTable DropView TruncateTable TruncatePartition CreateViewCommand "
            "CreateView AlterViewAs CreateNamespace DropNamespace RenameTable AddColumns DropColumns RenameColumn AlterColumns ReplaceColumns "
-           "SetTableProperties UnsetTableProperties CreateTempViewUsing DropTempViewCommand",
+           "SetTableProperties UnsetTableProperties DropTempViewCommand",
     "procedure": "Call", "maintenance": "SetCommand ResetCommand AnalyzeTable AnalyzeColumn AnalyzeTables CacheTable UncacheTable CacheTableAsSelect RefreshTable"}
 _SPARK_KIND = {node: op for op, nodes in _SPARK_OPERATIONS.items() for node in nodes.split()}
 _HOST_FUNCTIONS = frozenset("reflect java_method try_reflect".split())
-_SOURCES = frozenset("parquet csv json orc text binaryfile avro xml jdbc image delta".split())
+#: Keys of options and properties that name a place outside the catalog.
+_PLACES = frozenset("path paths location url dbtable".split())
+#: First parts of a two-part table name that are no schema of the current catalog.
+_ALWAYS_THERE = frozenset("session system global_temp spark_catalog builtin".split())
+_MOST_PARTS = 100_000
+
+
+def _parts(spark: SparkSession, plan) -> Iterator[tuple[str, object, bool]]:
+    """(class name, object, whether it is a plan) of everything that a parsed plan holds:
+    plans, expressions, table specifications and pairs of options, wherever they are kept -
+    inside commands, subqueries and common table expressions too."""
+    gateway = spark.sparkContext._gateway
+    is_a = lambda x, name: is_instance_of(gateway, x, name)
+    queue, seen = [plan], 0
+    while queue:
+        part = queue.pop()
+        if not isinstance(part, JavaObject):
+            continue
+        seen += 1
+        if seen > _MOST_PARTS:
+            raise Refused("The statement is too large to be checked.")
+        if is_a(part, "org.apache.spark.sql.types.DataType"):
+            continue
+        product = is_a(part, "scala.Product")
+        if product and not is_a(part, "scala.Option") and not is_a(part, "scala.collection.immutable.$colon$colon"):
+            yield part.getClass().getSimpleName().removesuffix("$"), part, is_a(part, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
+            inner = part.productIterator()
+        elif is_a(part, "scala.collection.IterableOnce"):
+            inner = part.iterator()
+        else:
+            continue
+        while inner.hasNext():
+            queue.append(inner.next())
 
 
-def _nodes(plan) -> list:
-    """The plan, its children, and the plans inside its expressions."""
-    out, queue = [], [plan]
-    while queue:
-        node = queue.pop()
-        out.append(node)
-        for group in (node.children(), node.innerChildren(), node.subqueries()):
-            queue += [group.apply(i) for i in range(group.size()) if hasattr(group.apply(i), "nodeName")]
-    return out
+def _known_schema(spark: SparkSession, name: str) -> bool:
+    return name.lower() in _ALWAYS_THERE or spark.catalog.databaseExists(f"`{name.replace('`', '``')}`") or name in {c.name for c in spark.catalog.listCatalogs()}
 
 
 def assess_spark(spark: SparkSession, sql: str, allow_writes: bool = False) -> Assessment:
-    """Classify one Spark statement by its plan; Refused if it may not run."""
-    words = _single(lex(sql, "spark"))
+    """Classify one Spark statement by its plan; Refused if it may not run.
+
+    Spark's parser decides what the statement is, so comments, quotes and case hide nothing.
+    Refused under any profile: plan nodes that are not listed, functions that call into the
+    host, names that are only known when the statement runs, files in place of tables, and
+    tables, views or schemas that name a place of their own.
+    """
+    _single(lex(sql, "spark"))
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";"))
     except ParseException as error:
         raise Refused(f"Spark cannot parse the statement: {str(error).splitlines()[0]}") from None
     kinds = set()
-    for node in _nodes(plan):
-        name = node.getClass().getSimpleName().removesuffix("$")
-        if name not in _SPARK_KIND:
-            raise Refused(f"The plan node {name} is not recognized and remains blocked.")
-        kinds.add(_SPARK_KIND[name])
-        if name == "UnresolvedRelation":
-            parts = node.multipartIdentifier()
-            if parts.size() == 2 and parts.apply(0).lower() in _SOURCES:
-                raise Refused("Reading a path as a table is blocked.")
-    lowered = {w.lower() for w in words}
-    called = set(re.findall(r"([a-z_]\w*)\s*`?\s*\(", re.sub(r"'[^']*'", "", sql.lower())))
-    if not _HOST_FUNCTIONS.isdisjoint(called) or {"transform", "using"} <= lowered and "transform" in called and "SELECT" in words:
-        raise Refused("Functions that call into the host are blocked.")
-    if not {"location", "directory"}.isdisjoint(lowered) and kinds != {"read"}:
-        raise Refused("Statements that name a path are blocked.")
+    for name, part, is_plan in _parts(spark, plan):
+        if is_plan:
+            if name not in _SPARK_KIND:
+                raise Refused(f"The plan node {name} is not recognized and remains blocked.")
+            kinds.add(_SPARK_KIND[name])
+        match name:
+            case "UnresolvedFunction":
+                names = part.nameParts()
+                if names.apply(names.size() - 1).lower() in _HOST_FUNCTIONS:
+                    raise Refused("Functions that call into the host are blocked.")
+            case "ExpressionWithUnresolvedIdentifier" | "PlanWithUnresolvedIdentifier":
+                raise Refused("Names that are computed when the statement runs are blocked.")
+            case "UnresolvedRelation" | "UnresolvedTable" | "UnresolvedTableOrView" | "UnresolvedIdentifier" | "UnresolvedView":
+                names = part.nameParts() if name == "UnresolvedIdentifier" else part.multipartIdentifier()
+                if names.size() == 2 and not _known_schema(spark, names.apply(0)):
+                    raise Refused("Reading a path as a table is blocked, and so are unknown schemas.")
+                if name == "UnresolvedRelation" and any(not k.startswith("__") for k in part.options().asCaseSensitiveMap()):  # the parser's own marks
+                    raise Refused("Options of a table are blocked.")
+            case "UnresolvedTableSpec" | "TableSpec":
+                if part.location().isDefined():
+                    raise Refused("Statements that name a path are blocked.")
+            case "Tuple2":
+                key, value = part._1(), part._2()
+                plain = not isinstance(value, JavaObject) or value.getClass().getSimpleName() == "Literal"
+                if isinstance(key, str) and plain and key.lower() in _PLACES:
+                    raise Refused("Statements that name a path are blocked.")
     kinds.discard("read")
     if not kinds:
         return Assessment.of("read")

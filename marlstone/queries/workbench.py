@@ -44,6 +44,31 @@ def gate_classification(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, dialect string, writes boolean, outcome string")
 
 
+#: (statement, what the gate says of it with writes allowed), told from Spark's own plans
+SPARK_STATEMENTS = [
+    ("select * from gate_orders", "read"), ("with a as (select 1 as x) select x from a", "read"), ("explain select 1", "read"), ("show tables", "read"),
+    ("select 'reflect(1)' as x", "read"), ("select (select max(o_orderkey) from gate_orders) as x", "read"),
+    ("insert into gate_orders select 1", "insert"), ("update gate_orders set o_orderkey = 1", "update"), ("delete from gate_orders", "delete"),
+    ("create table gate_new (a int) using parquet", "ddl"), ("create view gate_new as select 1 as x", "ddl"), ("drop table gate_orders", "ddl"), ("set spark.x = 1", "maintenance"),
+    ("select reflect/**/('java.lang.System', 'getProperty', 'user.home')", "refused"), ("select \"'\" as a, reflect('a', 'b') as b, \"'\" as c", "refused"),
+    ("select `JAVA_METHOD` ('a', 'b')", "refused"), ("select identifier('reflect')('a', 'b')", "refused"), ("explain select reflect('a', 'b')", "refused"),
+    ("create temporary view v using text options (path '/etc/passwd')", "refused"), ("create table v using text options (path '/etc/passwd')", "refused"),
+    ("create table v (a int) using parquet location '/x'", "refused"), ("select * from text.`/etc/passwd`", "refused"), ("insert into parquet.`/x` select 1", "refused"),
+    ("select transform(o_orderkey) using 'cat' from gate_orders", "refused"), ("execute immediate 'select 1'", "refused"), ("select 1; select 2", "refused")]
+
+
+def spark_gate(spark: SparkSession, d: str) -> DataFrame:
+    """What the gate says about Spark statements, by their parsed plans."""
+    rows = []
+    for sql, _ in SPARK_STATEMENTS:
+        try:
+            outcome = gate.assess_spark(spark, sql, allow_writes=True).operation
+        except gate.Refused:
+            outcome = "refused"
+        rows.append((sql, outcome))
+    return spark.createDataFrame(rows, "statement string, outcome string")
+
+
 def gate_flags(spark: SparkSession, d: str) -> DataFrame:
     """Label and flags of every operation."""
     rows = [(a.operation, a.label, a.read_only, a.destructive, a.requires_confirmation) for a in map(gate.Assessment.of, gate.LABELS)]
@@ -197,7 +222,7 @@ def help_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    gate_classification, gate_flags, inferred_columns, catalog_pk_exists, catalog_nested, upsert_merge, insert_ignore, conditional_update, cascade_delete, status_audit,
+    gate_classification, spark_gate, gate_flags, inferred_columns, catalog_pk_exists, catalog_nested, upsert_merge, insert_ignore, conditional_update, cascade_delete, status_audit,
     manifest_statistics, manifest_merge, manifest_unavailable, manifest_coverage, integrity_verify, link_reach, git_blob_names, history_listing, help_search)}
 
 
@@ -226,6 +251,7 @@ _TITLED = "regexp_replace(regexp_replace(regexp_replace(arg_min(text, turn), '[
 
 ORACLE_SQL = {
     "gate_classification": _rows([(n, dialect, w, o) for n, dialect, w, _, o in STATEMENTS], "name, dialect, writes, outcome"),
+    "spark_gate": _rows(SPARK_STATEMENTS, "statement, outcome"),
     "gate_flags": _rows(_FLAGS, "operation, label, read_only, destructive, requires_confirmation"),
     "inferred_columns": _rows(_INFERRED, "schema_name, table_name, kind, position, column_name, data_type, nullable, key, path"),
     "catalog_pk_exists": f"""select table_name, column_name, case when exists (select 1 from (values {', '.join(f"('{t}', '{c}')" for t, cs in _PRIMARY.items() for c in cs)}) as u(t, c)

@@ -36,10 +36,29 @@ def test_spark_operations(spark, sql, outcome):
             assess_spark(spark, sql)
 
 
+@pytest.mark.parametrize("sql", [
+    "select 'reflect(1)' as x", "select id as reflect from gate_t -- reflect('a')", "with path as (select 1 as location) select location from path", "select sum(id) over path from gate_t window path as (order by id)",
+    "explain extended select id from gate_t", "select * from (values (1, 'a')) as t(path, url)", "select explode(array(1, 2))", "select * from default.gate_x", "show columns in gate_t",
+    "describe gate_t", "select * from range(3)", "select * from gate_t lateral view explode(array(id)) e as x", "select id in (select 1) from gate_t", "select * from gate_t tablesample (10 percent)"])
+def test_spark_reads(spark, sql):
+    assert assess_spark(spark, sql).operation == "read"
+
+
 @pytest.mark.parametrize("sql", [
     "select * from parquet.`/tmp/x`", "select (select max(id) from csv.`/x`)", "select reflect('java.lang.Math', 'random')", "select `java_method`('a', 'b')",
     "select transform(id) using 'cat' from gate_t", "execute immediate 'select 1'", "load data inpath '/x' into table t", "add jar '/x'",
-    "insert overwrite directory '/x' select 1", "begin select 1; end", "select 1; select 2", "", "grant select on t to u"])
+    "insert overwrite directory '/x' select 1", "begin select 1; end", "select 1; select 2", "", "grant select on t to u",
+    "select reflect/**/('java.lang.System','getProperty','user.home')", "select \"'\" as a, reflect('java.lang.System','getProperty','x') as b, \"'\" as c",
+    "select ReFlEcT\n('a', 'b')", "select `reflect` ('a', 'b')", "select system.builtin.reflect('a', 'b')", "select * from gate_t where (select max(java_method('a', 'b')) from gate_t) is null",
+    "with a as (select try_reflect('a', 'b') as x) select x from a", "select 1 order by reflect('a', 'b')", "select count(*) filter (where reflect('a', 'b') = '') over () from gate_t",
+    "select * from gate_t a join gate_t b on a.id = reflect('a', 'b')", "select identifier('reflect')('a', 'b')", "select * from identifier('gate_t')",
+    "explain select reflect('a', 'b')", "explain insert into parquet.`/x` select 1", "describe query select reflect('a', 'b')", "values (reflect('a', 'b'))",
+    "create temporary view v as select reflect('a', 'b') as x", "create table v using parquet as select reflect('a', 'b') as x",
+    "create temporary view v using text options (path '/etc/passwd')", "create table v using text options (path '/etc/passwd')", "create table v (a int) using parquet location '/x'",
+    "create table v (a int) using csv options ('PATH' = '/x')", "create table v using jdbc options (url 'jdbc:x', dbtable 'y')", "create schema s location '/x'",
+    "insert into parquet.`/x` select 1", "select * from Text.`/etc/passwd`", "select * from `org.apache.spark.sql.parquet`.`/x`", "select * from gate_t with (path '/x')",
+    "update parquet.`/x` set a = 1", "delete from json.`/x`", "drop table csv.`/x`", "create function f as 'x.Y' using jar '/x'", "alter table gate_t set location '/x'",
+    "create table x like gate_t location '/x'", "analyze table gate_t compute statistics; select 1", "refresh '/x'"])
 def test_spark_refusals(spark, sql):
     with pytest.raises(Refused):
         assess_spark(spark, sql, allow_writes=True)

@@ -6,8 +6,10 @@ pooled covariance and then towards a multiple of the identity, are fitted; a sco
 the logistic of the difference of log densities, computed from Mahalanobis distances
 with Cholesky factors that are made once and kept in the model.
 
-The fit uses sums and sums of products over all labelled rows, added up in Spark, so
-neither rows nor features meet on the driver.
+The fit uses sums and sums of products over labelled rows, added up in Spark, so neither
+rows nor features meet on the driver. At most about `FIT_IDS` labelled ids, by a hash, are
+fitted on: their table is small enough to be sent to every task, so only the texts that the
+fit needs are read in Python before the scores, and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from marlstone.llm.shingles import as_bytes, mix64, slices, words
 from marlstone.plans.materialize import materialize
 
 THRESHOLD = 0.7
+#: Labelled ids that the fit looks at; beyond it, the share of ids (by hash) that gives about as many.
+FIT_IDS = 50_000
 POOLING, RIDGE = 0.5, 0.02
 #: The posterior odds count this much evidence for each nat of density difference.
 TEMPER = 0.5
@@ -126,7 +130,9 @@ class Discriminant:
     def fit(n: np.ndarray, total: np.ndarray, product: np.ndarray, pooling: float = POOLING, ridge: float = RIDGE) -> Discriminant:
         """From counts (2), sums (2, d) and sums of products (2, d, d) of the classes.
 
-        A class without rows borrows the other's moments, so its scores say the prior.
+        A class counts as n / (n + 2 * pooling * d) of its own covariance and leans on the
+        pooled one for the rest, so a class of few rows moves to it without a step. A class
+        without rows borrows the other's moments, so its scores say the prior.
         """
         d = total.shape[1]
         m = np.maximum(n, 1)
@@ -137,8 +143,8 @@ class Discriminant:
         scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
         factors, logdets = [], []
         for c in range(2):
-            own = scatter[c] / m[c] if n[c] > d else pooled
-            cov = ((1 - pooling) * own + pooling * pooled) / np.outer(scale, scale)
+            weight = (1 - pooling) * n[c] / max(n[c] + 2 * pooling * d, 1)
+            cov = (weight * scatter[c] / m[c] + (1 - weight) * pooled) / np.outer(scale, scale)
             cov = (1 - ridge) * cov + ridge * np.eye(d) * max(np.trace(cov) / d, 1e-3)
             factor = np.linalg.cholesky(cov * np.outer(scale, scale))
             factors.append(np.linalg.inv(factor))
@@ -152,17 +158,32 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(TEMPER * (log[1] - log[0]) + self.log_odds, -60, 60)))
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant:
-    """Fit on the labelled rows that are not held out; other labels than 0 and 1 are skipped."""
+def fit_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", fit_ids: int = FIT_IDS) -> DataFrame:
+    """(doc_id, n0, n1): how often each id to fit on has label 0 and 1; other labels, null
+    ids and held out ids are skipped. About `fit_ids` rows at most."""
+    y = F.col(label_col).cast("int")
+    counted = (labels.select(F.col(id_col).cast("long").alias("doc_id"), y.alias("y")).filter("y in (0, 1) and doc_id is not null")
+               .filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")))
+    counted = materialize(counted, "labels")
+    share, whole = fit_ids / max(counted.count(), 1), 1 << 30
+    return counted if share >= 1 else counted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < int(share * whole))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+                fit_ids: int = FIT_IDS) -> Discriminant:
+    """Fit on the texts of labelled ids that are not held out."""
     d = len(FEATURES)
-    labelled = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
-    rows = stats.filter(~held_out(F.col("doc_id"))).join(labelled, "doc_id").select("y", "stats")
+    chosen = fit_labels(labels, id_col, label_col, fit_ids)
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # both broadcasts hold about fit_ids rows of three numbers at most
+    rows = document_statistics(named.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id")
 
     # sums of products of (1, statistics), in the JVM, as a second Python stage would double the workers
     cell = lambda i: F.lit(1.0) if i == 0 else F.col("stats")[i - 1]
     upper = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
     held = np.zeros((2, d + 1, d + 1))
-    for row in rows.groupBy("y").agg(*[F.sum(cell(i) * cell(j)).alias(f"s{i}_{j}") for i, j in upper]).collect():
+    weighed = rows.select("stats", F.inline(F.array(*[F.struct(F.lit(c).alias("y"), F.col(f"n{c}").alias("w")) for c in (0, 1)]))).filter("w > 0")
+    for row in weighed.groupBy("y").agg(*[F.sum(cell(i) * cell(j) * F.col("w")).alias(f"s{i}_{j}") for i, j in upper]).collect():
         for (i, j), value in zip(upper, row[1:], strict=True):
             held[row["y"], i, j] = held[row["y"], j, i] = value
     return Discriminant.fit(held[:, 0, 0], held[:, 0, 1:], held[:, 1:, 1:])
@@ -175,22 +196,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     labelled. Without any labels every score is 0.5 and nothing is predicted 1. Repeated
     rows get equal scores; repeated labels count each time. Other columns are not used.
     """
-    stats = materialize(document_statistics(docs, id_col, text_col), "stats")
-    model = fit_quality(stats, labels, id_col, label_col)
+    model = fit_quality(docs, labels, id_col, text_col, label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
+        for batch in workers.batches("quality", batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))], names=["doc_id", "score"])
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def quality_filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The documents, all columns, that the classifier predicts as 1. Texts are scored
-    where they are read, so no text is shuffled."""
-    model = fit_quality(document_statistics(docs, id_col, text_col), labels, id_col, label_col)
+    where they are read, so no text is shuffled. Null and empty texts, repeated rows, null
+    ids and missing labels are judged as in `quality_scores`; empty input stays empty."""
+    model = fit_quality(docs, labels, id_col, text_col, label_col)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,6 @@ import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +27,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import workers
+from marlstone.llm.shingles import power_tables, as_bytes, mix64
 from marlstone.plans.materialize import materialize
 
 CAPACITY, END_ID = 4096, 1
 SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 2, 3, 12, 4
 #: Bins filled less than this are dissolved at the end, once.
 DISSOLVE = 0.97
-#: Most words that a task keeps with their ids.
-CACHE = 500_000
+#: Most words that a task keeps with their ids, and the bytes of the longest one kept.
+CACHE, LONGEST = 500_000, 64
+_BYTES = np.random.default_rng(17).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 
 
 class WordCoder:
     """Ids of texts by a tokenizers file that drops white space and lower-cases.
 
-    Words between ASCII white space are looked up in a bounded table of the worker. New
-    words of common letters and punctuation are encoded many at a time by the file's model
+    Words between ASCII white space are looked up in a bounded table of the worker, by two
+    64-bit hashes of their bytes and without making Python strings of known words; words of
+    more than `LONGEST` bytes are encoded each time. New words of common letters and punctuation are encoded many at a time by the file's model
     behind a shorter pipeline that splits them in the same places, and told apart by their
     bytes; other words go through the file's own pipeline.
     """
@@ -62,19 +64,46 @@ class WordCoder:
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.sizes[i] = len(token.removesuffix("</w>"))
-        self.known: dict[str, int] = {}
+        # of known words, sorted by the first hash: both hashes and the place of the ids
+        self.one, self.two, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _forget(self) -> None:
         """Keep the words learnt first, most of which are the frequent ones."""
-        kept = min(len(self.known), CACHE * 3 // 4)
-        self.known = dict(islice(self.known.items(), kept))
+        kept = min(len(self.first) - 1, CACHE * 3 // 4)
+        some = self.slot < kept
+        self.one, self.two, self.slot = self.one[some], self.two[some], self.slot[some]
         self.first = self.first[:kept + 1].copy()
         self.flat = self.flat[:self.first[-1]].copy()
 
-    def _learn(self, words: set[str]) -> None:
-        easy = [w for w in filter(_EASY.fullmatch, words) if "<" not in w or not self.added.search(w.lower())]
-        other = list(words.difference(easy))
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of each of these different words are; new ones are learnt."""
+        raw, offsets = as_bytes(words)
+        one, two = _word_hashes(raw, offsets)
+        place = np.full(len(words), -1)
+        if len(self.one):
+            at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
+            known = (self.one[at] == one) & (self.two[at] == two)
+            place[known] = self.slot[at[known]]
+        short = np.diff(offsets) <= LONGEST
+        place[~short] = -1
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            place[missing] = self._learn(words.take(pa.array(missing)).to_pylist())
+            new = missing[short[missing]]
+            self.one, self.two = np.concatenate([self.one, one[new]]), np.concatenate([self.two, two[new]])
+            self.slot = np.concatenate([self.slot, place[new]])
+            order = np.argsort(self.one, kind="stable")
+            self.one, self.two, self.slot = self.one[order], self.two[order], self.slot[order]
+        return place
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Encode the words and keep their ids; returns where."""
+        plain = np.array([bool(_EASY.fullmatch(w)) and ("<" not in w or not self.added.search(w.lower())) for w in words])
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        spots = np.empty(len(words), np.int64)
+        spots[order] = np.arange(len(words)) + len(self.first) - 1
+        easy, other = [words[i] for i in np.flatnonzero(plain)], [words[i] for i in np.flatnonzero(~plain)]
         flat, first, total = [self.flat], [self.first], len(self.flat)
         groups = [" ".join(easy[i:i + 512]).lower() for i in range(0, len(easy), 512)]
         for a in range(0, len(groups), 32):
@@ -90,28 +119,34 @@ class WordCoder:
                 flat.append(np.array(made.ids, np.int32))
                 total += len(flat[-1])
                 first.append(np.array([total]))
-        self.known.update(zip(chain(easy, other), range(len(self.known), len(self.known) + len(words)), strict=True))
         self.flat, self.first = np.concatenate(flat), np.concatenate(first)
+        return spots
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a string array, without special tokens; none for a null."""
         cut = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = cut.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(place < 0).tolist()
-        self._learn({words[i] for i in missing})
-        place[missing] = [self.known[words[i]] for i in missing]
-        at = place[coded.indices.to_numpy()]
+        at = self._places(coded.dictionary)[coded.indices.to_numpy()]
         size = self.first[at + 1] - self.first[at]
         ends = np.cumsum(size)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[at] - ends + size, size)]
-        if len(self.known) > CACHE:
+        if len(self.first) > CACHE:
             self._forget()
         bounds = np.concatenate(([0], ends))[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
         return [ids[a:b] for a, b in zip(bounds, bounds[1:])]  # noqa: B905
 
 
+def _word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word: polynomials over two random tables of the byte values."""
+    power, inverse = power_tables(len(raw) + 1)
+    out = []
+    for table in _BYTES:
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(table[raw] * power[:-1], out=total[1:])
+        out.append(mix64((total[offsets[1:]] - total[offsets[:-1]]) * inverse[offsets[:-1]]))
+    return out[0], out[1]
+
+
 # Letters that lower-case and compose one by one and keep their number of bytes, and the
 # ASCII punctuation but for the apostrophe, which the tokenizer's pattern treats apart.
 _EASY = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f!-&(-/:-@\[-`{-~]+")
@@ -296,7 +331,7 @@ def _pack_once(items: DataFrame, count: int, capacity: int, shard_size: int, isl
         else:
             guests = state.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("own").alias("guest"))
             ready = isles.join(state.select("shard", "island", "own"), ["shard", "island"]).join(guests, ["shard", "island"])
-        ready = ready.repartition(F.col("shard"), F.col("island"))
+        ready = ready.repartition(-(-shards * islands // 8), "shard", "island")  # a task evolves about eight
         state = materialize(ready.mapInArrow(_evolve_shards(capacity, epoch), "shard long, island int, own binary, bins int"), "islands")
     best = state.groupBy("shard").agg(F.min_by("own", F.struct("bins", "island")).alias("own"))
 

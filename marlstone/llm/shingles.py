@@ -18,7 +18,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, _INVERSE)):
             grown = np.full(n, base, _U)
@@ -68,7 +68,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     starts = np.flatnonzero(inside & (~before | edge[:-1]))
     after = np.concatenate((inside[1:], [False]))
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    power, inverse = _power_tables(len(raw) + 1)
+    power, inverse = power_tables(len(raw) + 1)
     total = np.zeros(len(raw) + 1, _U)
     np.cumsum((raw.astype(_U) + _U(1)) * power[:-1], out=total[1:])
     hashes = mix64((total[ends] - total[starts]) * inverse[starts])

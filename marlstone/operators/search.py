@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.functions import text as T
+from marlstone.plans.materialize import materialize
+from marlstone.sources.sinks import read_index, write_index
 
 K1, B = 1.2, 0.75
 _MARKS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -54,11 +56,9 @@ def bm25(docs: DataFrame, query: str, id_col: str, limit: int = 5, where: Column
     1e-6. Higher scores are better; ties go by id. Counts of documents are over all of
     `docs`; `where` filters what is returned. Words are literal, never operators.
     """
-    spark = docs.sparkSession
     phrases = query_phrases(query)
     if not phrases:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
-    sides = [p for p in phrases]
     scan = docs.select(F.col(id_col).alias("id"), tokens(F.col("text")).alias("t"), (F.lit(True) if where is None else where).alias("wanted"))
 
     def frequency(phrase: list[str]) -> Column:
@@ -68,19 +68,52 @@ def bm25(docs: DataFrame, query: str, id_col: str, limit: int = 5, where: Column
         fits = lambda i: F.array_join(F.slice("t", i + 1, len(phrase)), " ") == " ".join(phrase)
         return F.when(F.size("t") >= len(phrase), F.size(F.filter(spots, fits))).otherwise(0)
 
-    counted = scan.select("id", "wanted", F.size("t").alias("dl"), *[frequency(p).alias(f"f{k}") for k, p in enumerate(sides)])
-    total = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(sides))])
+    names = [f"f{k}" for k in range(len(phrases))]
+    # texts are read and split once: a few numbers a document are kept
+    counted = materialize(scan.select("id", "wanted", F.size("t").alias("dl"), *[frequency(p).alias(f) for p, f in zip(phrases, names, strict=True)]), "counts")
     # one row of totals, so its broadcast is of a fixed size
-    joined = counted.filter(" and ".join(f"f{k} > 0" for k in range(len(sides))) + " and wanted").join(F.broadcast(total))
+    total = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f) > 0).alias(f"n_{f}") for f in names])
+    joined = counted.filter(" and ".join(f"{f} > 0" for f in names) + " and wanted").join(F.broadcast(total))
+    return _ranked(joined, names, limit)
+
+
+def _ranked(joined: DataFrame, names: list[str], limit: int) -> DataFrame:
+    """The best rows (id, dl, n, avgdl, and of each word its count f and its documents n_f)."""
     score = F.lit(0.0)
-    for k in range(len(sides)):
-        idf = F.ln((F.col("n") - F.col(f"n{k}") + 0.5) / (F.col(f"n{k}") + 0.5))
+    for f in names:
+        idf = F.ln((F.col("n") - F.col(f"n_{f}") + 0.5) / (F.col(f"n_{f}") + 0.5))
         idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-        score = score + idf * F.col(f"f{k}") * (K1 + 1) / (F.col(f"f{k}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    del spark
+        score = score + idf * F.col(f) * (K1 + 1) / (F.col(f) + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return joined.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
+def build_index(docs: DataFrame, id_col: str, target: str) -> None:
+    """Write an index that queries read without the texts: postings in folders by a hash of
+    the token, and one row of totals (documents, and their mean number of tokens)."""
+    write_index(postings(docs, id_col), f"{target}/postings")
+    docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{target}/totals")
+
+
+def search_index(spark: SparkSession, target: str, query: str, limit: int = 5) -> DataFrame:
+    """(id, score): what `bm25` returns, from an index that `build_index` wrote. Only the
+    folders of the query's words are read. The index keeps no positions: ValueError for a
+    phrase (a word with underscores)."""
+    phrases = query_phrases(query)
+    if any(len(p) > 1 for p in phrases):
+        raise ValueError("the index keeps no positions, so it cannot find phrases")
+    words = [p[0] for p in phrases]
+    totals = spark.read.parquet(f"{target}/totals")
+    if not words:
+        return spark.read.parquet(f"{target}/postings").select("id", F.lit(0.0).alias("score")).limit(0)
+    hits = read_index(spark, f"{target}/postings", sorted(set(words)))
+    names = {w: f"f{k}" for k, w in enumerate(sorted(set(words)))}
+    counts = [F.sum(F.when(F.col("token") == w, F.col("tf")).otherwise(0)).alias(f) for w, f in names.items()]
+    df = hits.agg(*[F.count_if(F.col("token") == w).alias(f"n_{f}") for w, f in names.items()])
+    each = hits.groupBy("id").agg(F.first("length").alias("dl"), *counts).filter(" and ".join(f"{f} > 0" for f in names.values()))
+    # two tables of one row each
+    return _ranked(each.join(F.broadcast(totals)).join(F.broadcast(df)), [names[w] for w in words], limit)
+
+
 def shared_terms(text: Column, question: str) -> Column:
     """How many distinct terms of the question the text holds."""
     wanted = F.array(*[F.lit(w) for w in sorted({w for w in re.split(r"[^\w]+", question.lower()) if len(w.encode()) > 2})] or [F.lit("")])

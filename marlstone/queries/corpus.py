@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.functions import text as T
-from marlstone.operators import corpus, ledger, search
-from marlstone.sources import web
+from marlstone.operators import corpus, inventory, search
+from marlstone.plans.materialize import materialize, shared_dir
+from marlstone.sources import files, web
 from marlstone.session import table
 
 _SEARCH, _PHRASE_LIMIT = "the and that", 20
@@ -105,7 +108,116 @@ def corpus_validation(spark: SparkSession, d: str) -> DataFrame:
     texts = _texts(spark, d).filter("text <> ''")
     made = corpus.chunks(texts, "id")
     groups = corpus.grouped(texts, corpus.shared_chunk_edges(made))
-    return corpus.violations(texts, made, groups)
+    return corpus.violations(texts.select("id", "text"), made, groups)
+
+
+def corpus_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Violations of a corpus that was damaged on purpose, every rule in some rows."""
+    first = _docs(spark, d).filter("text <> ''").groupBy(T.digest(F.col("text")).alias("id")).agg(F.min("doc_id").alias("f"), F.min("text").alias("text"))
+    every = lambda k: F.col("f") % k == 0
+    whole = first.select(F.when(every(11), F.concat("id", F.lit("x"))).otherwise(F.col("id")).alias("id"), "text", "f",
+                         F.when(every(19), F.array().cast("array<string>")).otherwise(F.array(F.lit("src"))).alias("sources"))
+    made = corpus.chunks(first, "id").join(first.select(F.col("id").alias("doc_id"), "f"), "doc_id")
+    made = made.withColumns({"chunk": F.when(F.col("index") % 5 == 3, F.concat(F.lit("#"), "chunk")).otherwise(F.col("chunk")), "training_eligible": F.col("index") % 2 == 0,
+                             "quality_flags": F.when(every(13), F.array(F.lit("loud"))).otherwise(F.array().cast("array<string>"))})
+    groups = first.select("id", F.floor(F.col("f") / 50).cast("string").alias("group_id"), F.when(F.col("f") % 50 == 7, "test").otherwise("train").alias("split"))
+    return corpus.violations(whole.unionByName(whole.filter(every(17))), made, groups)
+
+
+def chunk_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where each chunk text occurs, a row a span."""
+    made = corpus.chunk_spans(corpus.chunks(_docs(spark, d)))
+    return made.select("id", "doc_id", *[F.col(c).cast("long").alias(c) for c in ("index", "start_char", "end_char")])
+
+
+def _prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and rolled up chunks, with flags and groups that SQL can tell as well."""
+    flags = F.array_compact(F.array(F.when(F.col("text").contains("!! "), "loud"), F.when(F.col("text").contains("| "), "table-like")))
+    group = F.substring("id", 1, 2)
+    docs = materialize(_texts(spark, d).filter("text <> ''").select(
+        "id", "text", "sources", F.col("langs").alias("dialects"), F.col("sources").alias("source_ids"), flags.alias("quality_flags"), group.alias("group_id"),
+        T.split_of(group, corpus.SEED).alias("split")).withColumn("training_eligible", F.size("quality_flags") == 0), "documents")
+    made = corpus.chunks(docs, "id")
+    return docs, materialize(corpus.chunk_rollup(made, docs.drop("text", "sources")), "rolled")
+
+
+def chunk_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with what their documents bring."""
+    return _prepared(spark, d)[1].select("id", "spans", "group_id", "split", *[F.array_join(c, ",").alias(c) for c in ("dialects", "source_ids", "quality_flags")], "training_eligible")
+
+
+def _published(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    docs, rolled = _prepared(spark, d)
+    audit = materialize(corpus.screened(_docs(spark, d)).select("doc_id", "status", "reason"), "audit")
+    return docs, rolled, audit, materialize(corpus.shared_chunk_edges(corpus.chunks(docs, "id")), "near")
+
+
+def full_report(spark: SparkSession, d: str) -> DataFrame:
+    """All counts of a prepared corpus: totals, sources, dialects, splits, flags, statuses, reasons."""
+    return corpus.report(*_published(spark, d))
+
+
+def export_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The sets that a corpus is published as, with their rows."""
+    out = None
+    for name, df in corpus.export_sets(*_published(spark, d)).items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Include patterns by source, in the order of sources.
+_INCLUDE = {"src1": ("*",), "src0": ("en/*", "*/1*.txt"), "src3": ("fr/*",), "src2": ("*.txt",)}
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files: some links, some in a vendor folder, some binary."""
+    k = F.col("doc_id")
+    path = F.concat(F.when(k % 83 == 0, "vendor/").otherwise(""), "lang", F.lit("/"), k.cast("string"), F.when(k % 10 == 0, ".bin").otherwise(".txt"))
+    body = F.encode(F.concat("text", F.when(k % 89 == 0, F.lit("\0")).otherwise("")), "utf-8")
+    return _docs(spark, d).select(F.col("source").alias("source_id"), path.alias("path"), body.alias("content"), (k % 97 == 0).alias("is_link"))
+
+
+def inventory_audit(spark: SparkSession, d: str) -> DataFrame:
+    """A row for every file that is considered, with its status and reason."""
+    audit = inventory.inventory(_files(spark, d), _INCLUDE, most_bytes=50_000)[0]
+    return audit.select("source_id", "path", "status", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("document_id", F.lit("")).alias("document_id"))
+
+
+def repository_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of a source tree made from the documents' ids, and which are its documentation."""
+    k = F.col("doc_id")
+    folder = F.element_at(F.array(*map(F.lit, ("", "docs/", "src/", "docs/examples/data/", "samples/a/", "build/"))), (k % 6 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, ("README", "guide.MD", "LICENSE-MIT", "main.sql", "agents.md", "notes.txt", "image.png"))), (k % 7 + 1).cast("int"))
+    tree = _docs(spark, d).select(F.concat(folder, name).alias("path"), "doc_id")
+    chosen = inventory.repository_selected(F.col("path"), ("docs", "samples"), (".md", ".txt"), (".sql",), ("build",))
+    return tree.groupBy("path", chosen.alias("selected")).agg(F.count("*").alias("n"))
+
+
+def file_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as bytes behind several signatures, by the kind that is found."""
+    k = F.col("page_id") % 4
+    head = F.when(k == 0, F.unhex(F.lit("0A20255044462D"))).when(k == 1, F.unhex(F.lit("504B0304"))).when(k == 2, F.unhex(F.lit(""))).otherwise(F.unhex(F.lit("00FF")))
+    mime = F.when(F.col("page_id") % 8 == 3, "text/html; charset=utf-8").otherwise("application/octet-stream")
+    return table(spark, d, "pages").groupBy(files.file_kind(F.concat(head, F.encode("html", "utf-8")), mime).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def citations_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """Citations of answers that no evidence supplies: a set difference."""
+    cite = lambda c: F.concat(F.lit("[evidence:"), c.cast("string"), F.lit("@1]")).alias("citation")
+    return search.uncited(table(spark, d, "conversations").select(cite(F.col("conv_id") % 60)), table(spark, d, "benchmark").select(cite(F.col("item_id"))))
+
+
+def bm25_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """What `bm25_search` finds, from a written index: only its words' folders are read."""
+    target = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    search.build_index(_docs(spark, d), "doc_id", target)
+    return search.search_index(spark, target, _SEARCH, _PHRASE_LIMIT).select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
+
+
+def page_main_text(spark: SparkSession, d: str) -> DataFrame:
+    """The main part of every page without markup, by patterns."""
+    return web.page_check(table(spark, d, "pages"), "page_id").select("page_id", F.col("body").alias("text"))
 
 
 def contamination_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -188,7 +300,8 @@ def page_titles(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     doc_tidy_hash, exact_dedup, secret_screen, license_screen, skip_reasons, quality_flags, chunk_windows, chunk_dedup, shingle_signature, near_dup_pairs,
     dup_components, split_assign, split_leakage, corpus_validation, contamination_overlap, corpus_report, search_postings, bm25_search, bm25_filtered,
-    evidence_top4, schema_context_select, history_last12, message_titles, fence_suppress, page_links, page_titles)}
+    evidence_top4, schema_context_select, history_last12, message_titles, fence_suppress, page_links, page_titles, corpus_faults, chunk_spans, chunk_rollup, full_report,
+    export_counts, inventory_audit, repository_files, file_kinds, citations_rejected, bm25_indexed, page_main_text)}
 
 _S = "[ \\t\\n\\r\\f\\v]"
 _STRIP = "regexp_replace(regexp_replace({0}, '^" + _S + "+', ''), '" + _S + "+$', '')"
@@ -236,7 +349,71 @@ def _bm25(words: list[str], where: str, limit: int) -> str:
 _CATALOG_SQL = ", ".join(f"({i}, '{t}', '{c}')" for i, (t, cs) in enumerate(_CATALOG) for c in cs)
 _WANTED = "[" + ", ".join(f"'{w}'" for w in sorted({w for w in "".join(ch if ch.isalnum() else " " for ch in _QUESTION.lower()).split() if len(w) > 2})) + "]"
 
+_TEXT_CHUNKS = _CHUNKS.replace("select doc_id, text, length(text), 0::bigint, 0::bigint, least(3000, length(text)) from documents where", "select id, text, length(text), 0::bigint, 0::bigint, least(3000, length(text)) from {0} where")
+_PREPARED = f"""docs as materialized (select *, langs as dialects, substr(id, 1, 2) as group_id, {_SPLIT.format('substr(id, 1, 2)')} as split, list_filter([
+      case when contains(text, '!! ') then 'loud' end, case when contains(text, '| ') then 'table-like' end], lambda x: x is not null) as flags from {_TEXTS} where text <> ''),
+    {_TEXT_CHUNKS.replace('{0}', 'docs')},
+    held as (select sha256(chunk) as cid, c.doc_id, group_id, split, dialects, sources, flags from chunked c join docs on docs.id = c.doc_id),
+    rolled as materialized (select cid as id, count(*) as spans, arg_min(group_id, doc_id) as group_id, arg_min(split, doc_id) as split,
+      list_sort(list_distinct(flatten(list(dialects)))) as dialects, list_sort(list_distinct(flatten(list(sources)))) as source_ids, list_sort(list_distinct(flatten(list(flags)))) as quality_flags,
+      bool_and(len(flags) = 0) as training_eligible from held group by 1),
+    audit as (select case when reason = '' then 'included' else 'skipped' end as status, reason from (
+        select case when text = '' then 'empty' when contains(text, chr(65533)) then 'invalid characters' when {_SECRETS} then 'possible secret'
+          when length(text) < 120 then 'too short' else '' end as reason from (select {_TIDY.format("coalesce(text, '')")} as text from documents))),
+    near as (select cid, doc_id from (select distinct cid, doc_id from held) qualify row_number() over (partition by cid order by doc_id) > 1)"""
+_ONE = "select '{0}' as section, '{1}' as key, cast(coalesce({2}, 0) as bigint) as n from {3}"
+_RANK = "case source " + " ".join(f"when '{s}' then {i}" for i, s in enumerate(_INCLUDE)) + " end"
+_SCOPE = " or ".join(f"(source = '{s}' and path like '{g.replace('*', '%')}')" for s, gs in _INCLUDE.items() for g in gs)
+
 ORACLE_SQL = {
+    "corpus_faults": f"""with recursive first as materialized (select sha256(text) as id, min(doc_id) as f, min(text) as text from documents where text <> '' group by 1),
+        {_TEXT_CHUNKS.replace('{0}', 'first')},
+        made as (select c.doc_id, index, start_char, end_char, f, case when index % 5 = 3 then '#' || chunk else chunk end as chunk from chunked c join first on first.id = c.doc_id),
+        docs as (select case when f % 11 = 0 then id || 'x' else id end as id, text, f from first), every_ as (select * from docs union all select * from docs where f % 17 = 0),
+        joined as (select made.*, e.text from made left join every_ e on e.id = made.doc_id)
+        select 'document identity' as rule, count(*) filter (where sha256(text) <> id) as violations from every_
+        union all select 'document uniqueness', count(*) from (select id from every_ group by 1 having count(*) > 1)
+        union all select 'chunk length', count(*) filter (where length(chunk) > 3000 or length(chunk) = 0) from made
+        union all select 'span document', count(*) filter (where text is null) from joined
+        union all select 'span text', count(*) filter (where substr(text, start_char + 1, end_char - start_char) <> chunk) from joined
+        union all select 'split leakage', count(*) from (select f // 50 as g from first group by 1 having count(distinct f % 50 = 7) > 1)
+        union all select 'group document', count(*) filter (where id not in (select id from every_)) from first
+        union all select 'document provenance', count(*) filter (where f % 19 = 0) from every_
+        union all select 'flagged in training', count(*) filter (where f % 13 = 0 and index % 2 = 0) from made""",
+    "chunk_spans": f"with {_CHUNKS} select sha256(chunk) as id, doc_id, index, start_char, end_char from chunked",
+    "chunk_rollup": f"""with recursive {_PREPARED} select id, spans, group_id, split, array_to_string(dialects, ',') as dialects, array_to_string(source_ids, ',') as source_ids,
+        array_to_string(quality_flags, ',') as quality_flags, training_eligible from rolled""",
+    "full_report": f"with recursive {_PREPARED} " + " union all ".join([
+        _ONE.format("totals", "documents", "count(*)", "docs"), _ONE.format("totals", "characters", "sum(length(text))", "docs"), _ONE.format("totals", "chunks", "count(*)", "rolled"),
+        _ONE.format("totals", "near pairs", "count(*)", "near"), _ONE.format("totals", "review documents", "count(*) filter (where len(flags) > 0)", "docs"),
+        _ONE.format("totals", "largest group", "max(c)", "(select count(*) as c from docs group by group_id)"),
+        *[f"select '{section}', {key}, count(*) from {source} group by 2" for section, key, source in (
+            ("documents by source", "k", "(select unnest(sources) as k from docs)"), ("chunks by dialect", "k", "(select unnest(dialects) as k from rolled)"),
+            ("training chunks by split", "split", "rolled where training_eligible"), ("quality flags", "k", "(select unnest(flags) as k from docs)"),
+            ("inventory status", "status", "audit"), ("skip reasons", "reason", "audit where reason <> ''"))]]),
+    "export_counts": f"with recursive {_PREPARED} " + " union all ".join(f"select '{name}' as name, count(*) as n from {source}" for name, source in (
+        ("documents", "docs"), ("chunks", "rolled"), ("inventory", "audit"), ("near_duplicates", "near"), ("review", "docs where len(flags) > 0"),
+        *[(x, f"rolled where training_eligible and split = '{x}'") for x in ("train", "validation", "test")])),
+    "inventory_audit": f"""with f as (select source, {_RANK} as rank, doc_id, {_TIDY.format('text')} as text, strlen(text) as bytes,
+          case when doc_id % 83 = 0 then 'vendor/' else '' end || lang || '/' || doc_id || case when doc_id % 10 = 0 then '.bin' else '.txt' end as path from documents),
+        s as (select *, case when doc_id % 97 = 0 then 'symlink' when not ({_SCOPE}) then 'outside content allowlist' when bytes + (doc_id % 89 = 0)::int > 50000 then 'oversize'
+            when bytes + (doc_id % 89 = 0)::int = 0 then 'empty' when doc_id % 89 = 0 then 'error' when length(text) < 120 then 'too little extracted text'
+            when {' or '.join("regexp_matches(text, '" + p + "')" for p in T.SECRET_PATTERNS)} then 'credential_pattern_requires_review' else '' end as reason
+          from f where rank is not null and doc_id % 83 <> 0),
+        k as (select *, case when reason = '' then row_number() over (partition by reason, sha256(text) order by rank, path) end as n from s)
+        select source as source_id, path, case when reason = 'error' then 'extraction-error' when reason <> '' then 'skipped' when n = 1 then 'included' else 'exact-document-duplicate' end as status,
+          case when reason = 'error' then '' else reason end as reason, case when reason = '' then sha256(text) else '' end as document_id from k""",
+    "repository_files": """select path, (name ~ '^LICENSE.*' and not bad) or (not bad and (folder = '' or folder in ('docs/', 'samples/a/')) and (
+            name in ('README', 'guide.MD', 'notes.txt') or (name = 'main.sql' and folder <> ''))) as selected, count(*) as n from (
+          select folder || name as path, folder, name, folder in ('docs/examples/data/', 'build/') or name = 'agents.md' as bad from (
+            select ['', 'docs/', 'src/', 'docs/examples/data/', 'samples/a/', 'build/'][doc_id % 6 + 1] as folder,
+              ['README', 'guide.MD', 'LICENSE-MIT', 'main.sql', 'agents.md', 'notes.txt', 'image.png'][doc_id % 7 + 1] as name from documents)) group by 1, 2""",
+    "file_kinds": """select case when page_id % 4 = 0 then 'pdf' when page_id % 4 = 1 then 'zip' when page_id % 8 = 3 or (page_id % 4 = 2 and regexp_matches(html, '(?i)^[ \t\n\r\f\v]*<(!doctype html|html)'))
+        then 'html' else 'binary' end as kind, count(*) as n from pages group by 1""",
+    "citations_rejected": """select distinct '[evidence:' || (conv_id % 60) || '@1]' as citation from conversations where conv_id % 60 not in (select item_id from benchmark)""",
+    "bm25_indexed": _bm25(_SEARCH.split(), "true", _PHRASE_LIMIT),
+    "page_main_text": """select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '<[^>]*>', ' ', 'g'),
+        '[ \t\n\r\f\v]+', ' ', 'g'), '^ ', ''), ' $', '') as text from pages""",
     "doc_tidy_hash": f"select doc_id, sha256(t) as id, length(t) as chars from (select doc_id, {_TIDY.format('text')} as t from documents)",
     "exact_dedup": f"select id, first_id, copies, array_to_string(sources, ',') as sources, array_to_string(langs, ',') as langs from {_TEXTS}",
     "secret_screen": f"select doc_id, source from documents where {_SECRETS}",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,17 +60,18 @@ def coverage(resources: DataFrame, releases: Sequence[str], subjects: dict[str,
     return wanted.join(found, ["release", "subject"], "left").withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_nodes: int = 300, max_rounds: int = 30) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, max_nodes: int | None = 300, max_rounds: int | None = 30) -> DataFrame:
     """(node, depth) within reach of the seeds (node) along edges (src, dst), by frontier
-    joins; stops once more than `max_nodes` are known, as a crawl would."""
+    joins. As a crawl would, it stops once more than `max_nodes` are known or `max_rounds`
+    links were followed; with None for both it goes on until nothing new is reached."""
     seen = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "reach")
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1) if max_rounds is None else range(1, max_rounds + 1):
         front = seen.filter(F.col("depth") == depth - 1)
         step = edges.join(front, edges["src"] == front["node"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         grown = materialize(seen.unionByName(step.withColumn("depth", F.lit(depth))), "reach")
         before, after = seen.count(), grown.count()
         seen = grown
-        if after == before or after > max_nodes:
+        if after == before or (max_nodes is not None and after > max_nodes):
             break
     return seen
 
@@ -87,3 +89,37 @@ def metadata_errors(snapshots: DataFrame) -> DataFrame:
 def seed_missing(existing: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
     """The existing rows and those seeds whose key is missing; nothing is overwritten."""
     return existing.unionByName(seeds.join(existing.select(key), key, "left_anti").select(*existing.columns))
+
+
+def union_statistics(files: DataFrame, by: str) -> DataFrame:
+    """Records and distinct contents (sha256) of each collection, and of 'all' together: a
+    content that several collections hold counts once there."""
+    counts = [F.count("*").alias("records"), F.count_distinct("sha256").alias("hashes")]
+    return files.groupBy(by).agg(*counts).unionByName(files.agg(*counts).withColumn(by, F.lit("all")))
+
+
+def collection_gaps(repositories: DataFrame, files: DataFrame) -> DataFrame:
+    """(collection, kind, name, error): what a collection lacks. repositories (collection,
+    repository, status, url, license_files), files (collection, url, status, document_status,
+    error): repositories without license files, placeholders, and what was not downloaded."""
+    row = lambda df, kind, name, error: df.select("collection", F.lit(kind).alias("kind"), name.alias("name"), error.alias("error"))
+    none, late = F.lit(None).cast("string"), F.coalesce(F.col("status"), F.lit("")) != "downloaded"
+    return (row(repositories.filter(F.coalesce(F.size("license_files"), F.lit(0)) <= 0), "missing license", F.col("repository"), none)
+            .unionByName(row(files.filter(~late & (F.col("document_status") == "publisher_placeholder")), "placeholder", F.col("url"), none))
+            .unionByName(row(files.filter(late), "unavailable", F.col("url"), F.col("error")))
+            .unionByName(row(repositories.filter(late), "unavailable", F.col("url"), F.lit("Incomplete repository snapshot"))))
+
+
+class Incomplete(ValueError):
+    """A listing holds fewer entries than it must."""
+
+
+def library_resources(anchors: DataFrame, least: int = 200) -> DataFrame:
+    """(url, references): the resources of a library's tables, from anchors (version, language,
+    title, publication, url), each reference once, in order. Incomplete if there are fewer than `least`."""
+    ref = F.struct("version", "language", "title", "publication")
+    found = materialize(anchors.filter("url is not null").groupBy("url").agg(F.array_sort(F.collect_set(ref)).alias("references")), "library")
+    number = found.count()
+    if number < least:
+        raise Incomplete(f"only {number} resources were found")
+    return found

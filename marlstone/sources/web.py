@@ -73,3 +73,18 @@ def discovered(pages: DataFrame, base_col: str, title_col: str, html_col: str =
     each = pages.select(F.regexp_extract(base_col, r"^(https?://[^/?#]+)", 1).alias("site"), F.col(title_col).alias("parent_title"), href)
     whole = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat("site", "href"))
     return each.select(canonical(whole).alias("url"), "parent_title").filter("url is not null").groupBy("url").agg(F.min("parent_title").alias("parent_title"))
+
+
+def topic_entries(pages: DataFrame, order_col: str, selected: tuple[str, ...], url_col: str = "url", html_col: str = "html", heading: str = "h3") -> DataFrame:
+    """(repository, description, source_page, selected) of listing pages: each article whose
+    heading links to a name of two parts. Of one that several pages list the last page counts."""
+    flat = lambda c: collapse(F.regexp_replace(c, "<[^>]*>", " "))
+    each = pages.select(F.col(order_col).alias("page"), F.col(url_col).alias("source_page"), F.posexplode(
+        F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<article[^>]*>(.*?)</article>"), F.lit(1))).alias("at", "article"))
+    names = F.filter(F.transform(F.regexp_extract_all(section(F.col("article"), heading), F.lit(_HREF), F.lit(1)), lambda h: F.regexp_replace(h, "^/+|/+$", "")),
+                     lambda h: h.rlike("^[^/]+/[^/]+$"))
+    described = F.array_join(F.transform(F.regexp_extract_all("article", F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), flat), " ")
+    found = each.select("page", "at", "source_page", F.try_element_at(names, F.lit(-1)).alias("repository"),
+                        described.alias("description")).filter("repository is not null")
+    last = found.groupBy("repository").agg(F.max_by(F.struct("description", "source_page"), F.struct("page", "at")).alias("e"))
+    return last.select("repository", "e.description", "e.source_page", F.col("repository").isin(*selected).alias("selected"))

@@ -72,3 +72,15 @@ def status_audit(old: DataFrame, new: DataFrame, key: str, status: str, entity:
     both = old.select(key, F.col(status).alias("_old")).join(new.select(key, F.col(status).alias("_new")), key).filter(F.col("_old") != F.col("_new"))
     changes = F.to_json(F.struct(F.col("_new").alias("new"), F.col("_old").alias("old")))
     return both.select(F.lit(entity).alias("entity_type"), F.col(key).alias("entity_id"), F.lit("STATUS_CHANGED").alias("action"), changes.alias("changes_json"))
+
+
+def touched(table: DataFrame, where: Column, values: dict[str, Column], stamp: str, now: Column | None = None, immutable: bool = False) -> DataFrame:
+    """An update that also sets the rows' time stamp, by default the present time in UTC."""
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'") if now is None else now
+    return update(table, where, values | {stamp: now}, immutable)
+
+
+def inserted(table: DataFrame, new: DataFrame, keys: Sequence[str], operation: str = "insert") -> DataFrame:
+    """(operation, affected_rows): how many rows `insert_ignore` adds to the table."""
+    return new.dropDuplicates(list(keys)).join(table.select(*keys), list(keys), "left_anti").agg(F.count("*").alias("affected_rows")).select(
+        F.lit(operation).alias("operation"), "affected_rows")

@@ -137,3 +137,16 @@ def nearest_rank(df: DataFrame, by: Sequence[str], value: str, percent: int = 95
     """Per group: n, mean_value and the nearest-rank percentile `p_value`."""
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean_value"),
                                F.expr(f"percentile_disc({percent / 100}) within group (order by {value})").alias("p_value"))
+
+
+def throughput(df: DataFrame, by: Sequence[str], value: str, at: str, percent: int = 95) -> DataFrame:
+    """`nearest_rank` and `per_second`: the rows over the seconds that they span; null for no span."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    span = micros(F.max(at)) - micros(F.min(at))
+    speed = df.groupBy(*by).agg(F.round(F.count("*") / F.nullif(span, F.lit(0)) * 1_000_000, 9).alias("per_second"))
+    return nearest_rank(df, by, value, percent).join(speed, list(by))
+
+
+def request_counters(df: DataFrame, by: Sequence[str], failed: Column, seconds: Column) -> DataFrame:
+    """Per group: how many requests, how many failed, and the seconds they took together."""
+    return df.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(failed).alias("failed"), F.round(F.sum(seconds), 6).alias("seconds"))

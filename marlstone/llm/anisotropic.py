@@ -7,10 +7,15 @@ changes the large inner products; codes are found by coordinate descent and cent
 the weighted least squares that the loss implies. A search adds up four-bit tables, two
 codes to a byte, and scores the best of each block again on the original vectors.
 
-All rows are indexed. Only the centres are fitted on a sample of at most `TRAIN_ROWS`
-rows, the first by a hash of the id. Equal rows of one id are one entry with a count. Rows
-are packed into blocks of bounded size, and queries in blocks meet the blocks of rows
-through an equi-join on the block's number.
+Rows are parted by the nearest of a few hundred coarse centres, and a query is sent to the
+parts whose centres have the largest inner product with it: as many as it takes, measured on
+the sample, for `PROBED` of the nearest rows to lie in them. Parts are packed into blocks of
+bounded size, a large one into several, and queries in blocks meet the blocks of rows through
+an equi-join on the block's number.
+
+All rows are indexed. Only the centres and the number of parts to look into are fitted on a
+sample of at most `TRAIN_ROWS` rows, the first by a hash of the id. Equal rows of one id are
+one entry with a count.
 """
 
 from __future__ import annotations
@@ -24,11 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.plans.materialize import materialize
+from marlstone.plans.materialize import discard, materialize
 
 TRAIN_ROWS, ROUNDS, SWEEPS, CENTRES, WIDTH = 20_000, 8, 2, 16, 2
-#: Most rows and queries of a block, and the least rows where there are few.
-BLOCK, QUERIES, LEAST_BLOCK = 16_384, 512, 2_048
+#: Most rows of a block, and queries of one.
+BLOCK, QUERIES = 16_384, 512
+#: Most parts, and the rows that a part has on the average where there are fewer of them.
+PARTS, PART_ROWS = 512, 4_096
+#: Share of the sample's nearest rows that must lie in the parts looked into, and the sample's rows that are asked.
+PROBED, ASKED = 0.99, 256
 #: One in so many rows of a block is scored again, per query, and `AGAIN` times the wanted number at least.
 RERANK, AGAIN = 16, 8
 #: What stands for a null id where ids are numbers; null comes after all ids.
@@ -103,6 +112,37 @@ class Codebook:
         return book
 
 
+def nearest_centre(centres: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """For each vector the number of the centre at the least distance."""
+    return np.argmax(vectors @ centres.T - 0.5 * (centres**2).sum(axis=1), axis=1).astype(np.int32)
+
+
+def coarse_centres(vectors: np.ndarray, parts: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """`parts` centres by Lloyd's rounds; one that loses its vectors stays where it was."""
+    rng = np.random.default_rng(seed)
+    centres = vectors[rng.choice(len(vectors), min(parts, len(vectors)), replace=False)].copy()
+    for _ in range(rounds):
+        own = nearest_centre(centres, vectors)
+        count = np.bincount(own, minlength=len(centres))
+        total = np.stack([np.bincount(own, vectors[:, i], len(centres)) for i in range(vectors.shape[1])], axis=1)
+        centres[count > 0] = total[count > 0] / count[count > 0, None]
+    return centres
+
+
+def probes(centres: np.ndarray, vectors: np.ndarray, top: int, share: float = PROBED) -> int:
+    """In how many parts, by the inner product with the centre, a query has to look so that
+    they hold `share` of its nearest rows, measured on the first `ASKED` vectors."""
+    asked = vectors[:ASKED]
+    score = asked @ vectors.T
+    score[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    near = np.argsort(-score, axis=1, kind="stable")[:, :min(top, len(vectors) - 1)]
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1, kind="stable")
+    found = np.take_along_axis(place, nearest_centre(centres, vectors)[near], axis=1)
+    if not found.size:
+        return len(centres)
+    return int(np.searchsorted(np.cumsum(np.bincount(found.ravel(), minlength=len(centres))), share * found.size)) + 1
+
+
 def pack_codes(code: np.ndarray) -> np.ndarray:
     """Two four-bit codes to a byte; (bytes, rows), so that a table is read row by row."""
     if code.shape[1] % 2:
@@ -125,16 +165,18 @@ def scan(book: Codebook, queries: np.ndarray, packed: np.ndarray) -> Iterator[np
 
 def best(book: Codebook, rows: tuple, packed: np.ndarray, queries: tuple, top: int, rerank: int) -> tuple[np.ndarray, ...]:
     """(number of the query, vec_id, score, times) of the best rows of a block for each query,
-    `top` rows with their repeats at least. rows and queries are (ids, counts, numbers,
-    vectors). Rows that tie with the last one to be scored again are all scored. The row
-    equal to a query (of its number) counts once less: that is the query's own."""
-    ids, counts, numbers, vectors = rows
+    `top` rows with their repeats at least. rows are (ids, counts, numbers, vectors, and the
+    place of their vector among the different ones), queries the first four. Different vectors
+    are ranked by their codes, so that many rows of one vector take one place; those that tie
+    with the last one to be scored again are all scored. The row equal to a query (of its
+    number) counts once less: that is the query's own."""
+    ids, counts, numbers, vectors, which = rows
     out = []
-    again = max(AGAIN * top, len(ids) // rerank) + 1
+    again = max(AGAIN * top, packed.shape[1] // rerank) + 1
     for number, query, rough in zip(queries[2], queries[3], scan(book, queries[3], packed), strict=True):
         some = np.arange(len(ids))
-        if len(ids) > again:
-            some = np.flatnonzero(rough >= np.partition(rough, len(rough) - again)[len(rough) - again])
+        if len(rough) > again:
+            some = np.flatnonzero((rough >= np.partition(rough, len(rough) - again)[len(rough) - again])[which])
         times = counts[some] - (numbers[some] == number)
         some, times = some[times > 0], times[times > 0]
         score = (vectors[some] * query).sum(axis=1)
@@ -163,10 +205,14 @@ def _pack(book: Codebook | None):
         number = table.column("number").to_numpy()
         order = np.lexsort((number, ids))
         vectors = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
-        code = pack_codes(book.codes(vectors)).tobytes() if book else b""
-        data = [ids[order], table.column("copies").to_numpy()[order], number[order], vectors.astype(np.float64)]
+        vectors = np.ascontiguousarray(vectors, np.float64)
+        code, which = b"", np.zeros(0, np.int64)
+        if book:
+            _, first, which = np.unique(vectors.view(f"V{vectors.strides[0]}").ravel(), return_index=True, return_inverse=True)
+            code = pack_codes(book.codes(vectors[first])).tobytes()
+        data = [ids[order], table.column("copies").to_numpy()[order], number[order], vectors, which.astype(np.int64)]
         made = {"block": table.column("block")[:1]}
-        made |= {name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("ids", "copies", "numbers", "vectors"), data, strict=True)}
+        made |= {name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("ids", "copies", "numbers", "vectors", "which"), data, strict=True)}
         return pa.table(made | {"codes": pa.array([code], pa.binary())})
 
     return run
@@ -198,26 +244,51 @@ def _search(rows: DataFrame, asked: DataFrame, d: int, n_asked: int, top: int, r
     sample = rows.select("vec_id", "v", F.xxhash64("vec_id", "number").alias("h")).orderBy("h").limit(TRAIN_ROWS).select("v").toPandas()
     if not len(sample):
         return None
-    book = Codebook.fit(np.stack(sample["v"].to_list()))
-    count = rows.count()
-    size = min(block, max(LEAST_BLOCK, count // 64))
-    blocks, groups = -(-count // size), -(-n_asked // QUERIES)
-    schema = "block long, ids binary, copies binary, numbers binary, vectors binary, codes binary"
-    dealt = lambda df, n: df.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(n))).groupBy("block")
-    index = materialize(dealt(rows, blocks).applyInArrow(_pack(book), schema), "index")
-    grouped = dealt(asked, groups).applyInArrow(_pack(None), schema)
-    sent = grouped.select(F.col("numbers").alias("asked"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    known = np.stack(sample["v"].to_list())
+    book = Codebook.fit(np.unique(known, axis=0))
+    centres = coarse_centres(known, int(np.clip(rows.count() // PART_ROWS, 1, PARTS)))
+    looked = probes(centres, known, top)
+
+    def part(many: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = batch.column("v").flatten().to_numpy().reshape(-1, d)
+                chosen = nearest_centre(centres, v)[:, None] if many == 1 else np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :many].astype(np.int32)
+                made = pa.ListArray.from_arrays(np.arange(0, chosen.size + 1, chosen.shape[1], dtype=np.int32), pa.array(chosen.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "parts"])
+
+        return run
+
+    columns = "vec_id long, v array<double>, copies long, number long, parts array<int>"
+    parted = materialize(rows.select("vec_id", "v", "copies", "number").mapInArrow(part(1), columns).withColumn("part", F.col("parts")[0]).drop("parts"), "parted")
+    sizes = parted.groupBy("part").count().collect()  # a row a part, `PARTS` at most
+    pieces, first = [], 0
+    for row in sizes:
+        n = -(-row["count"] // block)
+        pieces.append((row["part"], first, n))
+        first += n
+    pieces = F.broadcast(rows.sparkSession.createDataFrame(pieces, "part int, first long, pieces long"))
+    schema = "block long, ids binary, copies binary, numbers binary, vectors binary, which binary, codes binary"
+    placed = parted.join(pieces, "part").withColumn("block", F.col("first") + F.pmod(F.xxhash64("number"), F.col("pieces"))).select("vec_id", "v", "copies", "number", "block")
+    index = materialize(placed.groupBy("block").applyInArrow(_pack(book), schema), "index")
+    discard(parted)
+    groups = max(1, -(-n_asked * looked // (len(centres) * QUERIES)))
+    sought = (asked.select("vec_id", "v", "copies", "number").mapInArrow(part(looked), columns).withColumn("part", F.explode("parts")).join(pieces, "part")
+              .withColumn("block", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("pieces") - 1))))
+    grouped = (sought.select("vec_id", "v", "copies", "number", "block").withColumn("group", F.pmod(F.xxhash64("number"), F.lit(groups)))
+               .groupBy("block", "group").applyInArrow(_pack(None), schema))
+    sent = grouped.select("block", F.col("numbers").alias("asked"), F.col("vectors").alias("queries"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, copies, numbers, vectors, codes, asked, queries = (batch.column(c)[i].as_buffer() for c in names)
-                block = (*(np.frombuffer(x, np.int64) for x in (ids, copies, numbers)), np.frombuffer(vectors).reshape(-1, d))
-                found = best(book, block, np.frombuffer(codes, np.uint8).reshape(-1, len(block[0])),
+                ids, copies, numbers, vectors, which, codes, asked, queries = (batch.column(c)[i].as_buffer() for c in names)
+                block = (*(np.frombuffer(x, np.int64) for x in (ids, copies, numbers)), np.frombuffer(vectors).reshape(-1, d), np.frombuffer(which, np.int64))
+                found = best(book, block, np.frombuffer(codes, np.uint8).reshape(-1, int(block[4].max()) + 1),
                              (None, None, np.frombuffer(asked, np.int64), np.frombuffer(queries).reshape(-1, d)), top, rerank)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["number", "vec_id", "score", "times"])
 
-    names = ("ids", "copies", "numbers", "vectors", "codes", "asked", "queries")
+    names = ("ids", "copies", "numbers", "vectors", "which", "codes", "asked", "queries")
     near = index.join(sent, "block").select(*names).mapInArrow(run, "number long, vec_id long, score double, times long")
     order = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     near = near.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= top)

@@ -1,9 +1,12 @@
 """Line dedup: content-defined chunks of lines, removed where they repeat anywhere.
 
-A rolling hash over the hashes of `WINDOW` consecutive lines ends a chunk where it falls
-in one of `SPACING` residues, so chunk borders depend on near lines only and an inserted
-line moves no border further away. Chunks of two lines or more that occur more than once
-in all documents are removed, but for the first occurrence (least doc_id, then position).
+A hash rolls over the hashes of each two consecutive lines, and a chunk ends where it is less
+than before and after, so chunk borders depend on four near lines only and an inserted line
+moves no border further away. No two borders adjoin and none stands next to an end of the
+text, so every chunk has two lines at least, three on the average (a text of one line is one
+chunk). Chunks of two lines or more that occur more than once in all documents are removed,
+but for the first occurrence (least doc_id, then position). The lines between a passage's
+ends and its first and last border belong to chunks with foreign lines and stay.
 
 `passages_removed`, which the pipeline uses, has no chunks: two line hashes roll over every
 position, so that all repeated runs of two lines or more go, wherever they start and end.
@@ -24,7 +27,9 @@ from marlstone.llm.names import fresh, without
 from marlstone.operators.skew import salted_join, total_of
 from marlstone.plans.materialize import materialize
 
-SPACING, LEAST_LINES = 3, 2
+LEAST_LINES = 2
+#: The hash of a line and the one before: code + FACTOR * code before, modulo MODULUS.
+FACTOR, MODULUS = 5, 1 << 32
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -32,36 +37,37 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def line_chunks(text: Column, spacing: int = SPACING) -> Column:
+def line_chunks(text: Column) -> Column:
     """array<struct<pos int, lines int, body string>> of a text; joined by newlines the
     bodies give the text back. Null for a null text."""
     code = lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
-    def cut(lines: Column, codes: Column) -> Column:
+    def cut(lines: Column, rolled: Column) -> Column:
         last = F.size(lines) - 1
         ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (
-            (i > 0) & ((codes[i] + F.lit(3) * codes[F.greatest(i - 1, F.lit(0))]) % spacing == 0)))
+            (i > 0) & (i < last - 1) & (rolled[i] < F.get(rolled, i - 1)) & (rolled[i] < F.get(rolled, i + 1))))
         return _let(ends, lambda e: F.transform(e, lambda end, k: _let(
             F.when(k == 0, F.lit(0)).otherwise(e[F.greatest(k - 1, F.lit(0))] + 1), lambda start: F.struct(
                 k.alias("pos"), (end - start + 1).alias("lines"), F.array_join(F.slice(lines, start + 1, end - start + 1), "\n").alias("body")))))
 
-    return _let(F.split(text, "\n", -1), lambda lines: _let(F.transform(lines, code), lambda codes: cut(lines, codes)))
+    roll = lambda codes: F.transform(codes, lambda c, i: (c + F.lit(FACTOR) * codes[F.greatest(i - 1, F.lit(0))]) % MODULUS)
+    return _let(F.split(text, "\n", -1), lambda lines: _let(F.transform(lines, code), lambda codes: _let(roll(codes), lambda rolled: cut(lines, rolled))))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spacing: int = SPACING,
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                least_lines: int = LEAST_LINES, count_col: str = "n_removed") -> DataFrame:
     """The documents, all columns, with repeated chunks cut from the text, and `count_col`,
     the number of chunks cut (an existing column of that name is replaced).
 
     A text that repeats in full is left empty. Null texts and rows with a null id are left
     as they are. Rows of one id count as one document, so a repeated row stays whole where
-    it holds the first occurrence. Chunks of one line always stay. Empty input gives an
+    it holds the first occurrence. Texts of one line always stay. Empty input gives an
     empty result.
     """
     kept_columns = without(docs.columns, count_col)
     marks, cut_id = fresh(docs.columns, "gone", "cut_id")
     named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    cut = F.explode(F.filter(line_chunks(F.col("_text"), spacing), lambda c: c["lines"] >= least_lines)).alias("c")
+    cut = F.explode(F.filter(line_chunks(F.col("_text")), lambda c: c["lines"] >= least_lines)).alias("c")
     seen = (named.filter("_id is not null and _text is not null").select("_id", cut)
             .select("_id", F.col("c.pos").alias("pos"), F.xxhash64("c.body").alias("h")))
     often = materialize(seen.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "often")
@@ -75,7 +81,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .groupBy(F.col("_id").alias(cut_id)).agg(F.collect_set(F.struct("pos", "h")).alias(marks)))
     base = docs.select(*kept_columns)
     joined = base.join(gone, base[id_col] == F.col(cut_id), "left")
-    chunks = line_chunks(F.col(text_col), spacing)
+    chunks = line_chunks(F.col(text_col))
     left = _let(chunks, lambda all_: F.filter(all_, lambda c: ~F.array_contains(marks, F.struct(c["pos"], F.xxhash64(c["body"]).alias("h")))))
     kept = _let(left, lambda some: F.array_join(F.transform(some, lambda c: c["body"]), "\n"))
     columns = [F.when(F.col(marks).isNull(), F.col(c)).otherwise(kept).alias(c) if c.lower() == text_col.lower() else F.col(c) for c in kept_columns]
@@ -125,12 +131,13 @@ def passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return joined.select(*columns, F.coalesce(F.size(marks), F.lit(0)).alias(count_col))
 
 
-def oracle_sql(spacing: int = SPACING, least_lines: int = LEAST_LINES) -> str:
+def oracle_sql(least_lines: int = LEAST_LINES) -> str:
     """doc_id, text, n_removed over the view `documents`, for DuckDB."""
     return f"""
     with lines as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents),
-      codes as (select *, ('0x' || substr(md5(line), 1, 8))::bigint as code from lines),
-      ends as (select *, case when i > 0 and (code + 3 * lag(code) over w) % {spacing} = 0 then 1 else 0 end as last from codes window w as (partition by doc_id order by i)),
+      codes as (select *, ('0x' || substr(md5(line), 1, 8))::bigint as code, count(*) over (partition by doc_id) as size from lines),
+      rolled as (select *, (code + {FACTOR} * coalesce(lag(code) over w, code)) % {MODULUS} as h from codes window w as (partition by doc_id order by i)),
+      ends as (select *, case when i > 0 and i < size - 2 and h < lag(h) over w and h < lead(h) over w then 1 else 0 end as last from rolled window w as (partition by doc_id order by i)),
       placed as (select *, coalesce(sum(last) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as pos from ends),
       chunks as (select doc_id, pos, count(*) as n, string_agg(line, chr(10) order by i) as body from placed group by 1, 2),
       marked as (select *, n >= {least_lines} and row_number() over (partition by body, n >= {least_lines} order by doc_id, pos) > 1 as gone from chunks)

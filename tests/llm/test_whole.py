@@ -29,6 +29,26 @@ def test_repeated_runs_of_lines_go_whole(spark):
     assert line_dedup.passages_removed(df.limit(0)).isEmpty()
 
 
+def test_chunks_have_two_lines_and_come_back_after_an_insertion(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(14)
+    lines = [f"line {rng.random()}" for _ in range(400)]
+    rows = [(0, "\n".join(lines)), (1, "\n".join(["new", *lines])), (2, "\n".join(lines[:150] + ["new"] + lines[150:])), (3, "one"), (4, "a\nb"), (5, "a\nb\nc")]
+    df = spark.createDataFrame(rows, DOCS).select("doc_id", F.explode(line_dedup.line_chunks(F.col("text"))).alias("c")).select("doc_id", "c.lines", "c.body")
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.doc_id, []).append((r.lines, r.body))
+    assert all(n >= 2 for k, found in got.items() if k != 3 for n, _ in found) and got[3] == [(1, "one")] and len(got[4]) == len(got[5]) == 1
+    assert 110 < len(got[0]) < 160
+    bodies = {k: {b for _, b in found} for k, found in got.items()}
+    assert len(bodies[0] - bodies[1]) <= 2 and len(bodies[0] - bodies[2]) <= 3
+    long_passage = [f"p {k}" for k in range(20)]
+    two = [(k, "\n".join([f"{k} own {i}" for i in range(5)] + long_passage + [f"{k} more {i}" for i in range(5)])) for k in (1, 2)]
+    out = {r.doc_id: r.text.count("\n") for r in line_dedup.line_dedup(spark.createDataFrame(two, DOCS)).collect()}
+    assert out[1] == 29 and out[2] <= 29 - 10
+
+
 def test_the_pipeline_removes_whole_runs(spark):
     import corpus_pipeline
 

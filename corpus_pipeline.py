@@ -18,7 +18,7 @@ from marlstone.llm.names import fresh
 from marlstone.llm.packing import pack_documents
 from marlstone.llm.quality import quality_filtered
 from marlstone.llm.substring_dedup import substring_dedup
-from marlstone.plans.materialize import materialize
+from marlstone.plans.materialize import discard, scratch, written
 from marlstone.session import ship, table
 
 
@@ -68,6 +68,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):  # what a stage wrote on its way goes once its output is there
+            after = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

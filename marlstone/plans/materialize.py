@@ -11,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,16 +44,47 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _held:
+        _held[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are materialised inside are deleted at the end, but for those that are
+    taken off the list; nothing that still reads them may be used after that."""
+    paths: list[str] = []
+    _held.append(paths)
+    try:
+        yield paths
+    finally:
+        _held.remove(paths)
+        for path in paths:
+            _delete(spark, path)
+
+
+def written(df: DataFrame, label: str = "step") -> DataFrame:
+    """`materialize` a frame that has tables of its own behind it, once all its work is done:
+    those made since the enclosing `scratch` began are deleted with it, this one stays."""
+    out = materialize(df, label)
+    if _held:
+        _held[-1].pop()
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame that `materialize` returned, once nothing reads it."""
     spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     root = shared_dir(spark).removeprefix("file://")
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if root in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(spark, folder)

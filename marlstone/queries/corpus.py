@@ -232,8 +232,8 @@ def corpus_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_postings(spark: SparkSession, d: str) -> DataFrame:
-    """The index's totals: postings, tokens and the longest list, over all documents."""
-    return search.postings(_docs(spark, d), "doc_id").groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf")).filter("df >= 20")
+    """The index's totals of every token: documents that hold it, and its occurrences."""
+    return search.postings(_docs(spark, d), "doc_id").groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
 
 
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
@@ -440,7 +440,7 @@ ORACLE_SQL = {
     "corpus_report": f"""select lang, source, {_SPLIT.format('id')} as split, count(*) as documents, cast(sum(n_chars) as bigint) as chars from (
         select *, sha256({_TIDY.format('text')}) as id from documents) group by 1, 2, 3""",
     "search_postings": f"""select token, count(*) as df, cast(sum(tf) as bigint) as cf from (select doc_id, token, count(*) as tf from (
-        select doc_id, unnest({_TOKENS}) as token from documents) group by 1, 2) group by 1 having count(*) >= 20""",
+        select doc_id, unnest({_TOKENS}) as token from documents) group by 1, 2) group by 1""",
     "bm25_search": _bm25(_SEARCH.split(), "true", _PHRASE_LIMIT),
     "bm25_filtered": _bm25(["the"], "lang = 'en' and source = 'src1'", _PHRASE_LIMIT),
     "evidence_top4": f"""select id, score, '[evidence:' || id || '@1]' as citation from (select printf('item-%05d', item_id) as id, item_id % 3 as m,

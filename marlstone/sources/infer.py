@@ -7,6 +7,7 @@ windows. Inferred schemas are bounded and never verified against a database.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from itertools import takewhile
@@ -187,16 +188,20 @@ def collections(files: DataFrame) -> DataFrame:
 
 def inferred_schema(files: DataFrame) -> DataFrame:
     """The columns of all tables and collections; of a table that several places declare,
-    the one in the last file, and there the last, counts."""
+    the one in the last file, and there the last, counts. The first `MAX_TABLES` tables that
+    are met, collections after declared ones, are kept."""
     every = declared_columns(files).unionByName(collections(files))
     place = F.struct("path", "object")
-    last = F.max(place).over(Window.partitionBy("schema_name", "table_name"))
-    return every.withColumn("_last", last).filter(place == F.col("_last")).drop("_last", "object")
+    met = F.struct((F.col("kind") == "collection").alias("late"), "path", "object")
+    names = ["schema_name", "table_name"]
+    known = every.groupBy(*names).agg(F.max(place).alias("_last"), F.min(met).alias("_met")).orderBy("_met", *names).limit(MAX_TABLES).drop("_met")
+    return every.join(known, names).filter(place == F.col("_last")).select(*[c for c in every.columns if c != "object"])
 
 
 def scan_directory(spark: SparkSession, root: str) -> DataFrame:
     """(path, body) of the files under a folder that may declare schemas, within limits on
-    depth, entries, files and bytes. Paths are relative and the limits count in their order."""
+    depth, entries, files and bytes. Paths are relative and the limits count in their order.
+    Links are not followed in local folders."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     prefix = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
@@ -205,6 +210,12 @@ def scan_directory(spark: SparkSession, root: str) -> DataFrame:
     ok = (~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, SKIP_DIRS))) & ~name.startswith(".")
           & ~name.rlike("|".join(SECRETIVE)) & (F.regexp_extract(name, r"\.([^.]+)$", 1).isin(*EXTENSIONS) | name.isin(*MANIFESTS)))
     kept = found.select(relative.alias("relative"), "length", "content").filter(F.size(parts) <= MAX_DEPTH + 1).filter(ok & (F.col("length") <= MAX_FILE_BYTES))
+    if prefix.startswith("file:"):
+        # the driver sees local folders; names are bounded by the number of entries it walks
+        top = re.sub("^file:/*", "/", prefix)
+        linked = [os.path.relpath(os.path.join(at, n), top) for at, dirs, names in os.walk(top) for n in (*dirs, *names) if os.path.islink(os.path.join(at, n))]
+        for link in linked:
+            kept = kept.filter((F.col("relative") != link) & ~F.col("relative").startswith(link + "/"))
     order = Window.orderBy("relative")
     sized = kept.select("relative", "length").orderBy("relative").limit(MAX_ENTRIES).withColumn("n", F.row_number().over(order)).withColumn("total", F.sum("length").over(order))
     wanted = sized.filter((F.col("n") <= MAX_FILES) & (F.col("total") <= MAX_TOTAL_BYTES)).select("relative")

@@ -56,6 +56,7 @@ def test_directory_scan(spark, tmp_path):
     (tmp_path / "node_modules" / "b.sql").write_text("create table u (a int);")
     (tmp_path / "my_secret.sql").write_text("create table v (a int);")
     (tmp_path / "notes.txt").write_text("x")
+    (tmp_path / "db" / "link.sql").symlink_to(tmp_path / "my_secret.sql")
     found = infer.inferred_schema(infer.scan_directory(spark, str(tmp_path))).collect()
     assert [(r.path, r.table_name, r.column_name) for r in found] == [("db/a.sql", "t", "a")]
 
@@ -101,3 +102,10 @@ def test_reachable_handles_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 1)], "src long, dst long")
     found = {r.node: r.depth for r in manifest.reachable(edges, spark.createDataFrame([(1,)], "node long")).collect()}
     assert found == {1: 0, 2: 1, 3: 2}
+
+
+def test_tables_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(infer, "MAX_TABLES", 2)
+    files = [("a.sql", "create table x (a int); create table y (a int);"), ("b.sql", "create table z (a int); create table x (b int);")]
+    got = infer.inferred_schema(spark.createDataFrame(files, "path string, body string")).collect()
+    assert sorted((r.table_name, r.column_name) for r in got) == [("x", "b"), ("y", "a")]

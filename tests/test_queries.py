@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 import compare
-from marlstone.queries import banking, corpus, events, relational, workbench
+from marlstone.queries import banking, checks, corpus, events, relational, workbench
 from marlstone.session import TABLES
 
-QUERIES = banking.QUERIES | relational.QUERIES | corpus.QUERIES | workbench.QUERIES | events.QUERIES
-SQL = banking.ORACLE_SQL | relational.ORACLE_SQL | corpus.ORACLE_SQL | workbench.ORACLE_SQL | events.ORACLE_SQL
+QUERIES = banking.QUERIES | checks.QUERIES | relational.QUERIES | corpus.QUERIES | workbench.QUERIES | events.QUERIES
+SQL = banking.ORACLE_SQL | checks.ORACLE_SQL | relational.ORACLE_SQL | corpus.ORACLE_SQL | workbench.ORACLE_SQL | events.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")

@@ -159,3 +159,43 @@ def first_difference(actual: object, golden: object, path: str = "$") -> str | N
                 return found
         return f"{path}[{min(len(actual), len(golden))}]" if len(actual) != len(golden) else None
     return None if actual == golden else path
+
+
+_SCALED, _SIZED = ("DECIMAL", "NUMERIC"), ("CHAR", "VARCHAR", "NCHAR", "NVARCHAR", "GRAPHIC", "VARGRAPHIC")
+
+
+def exported(objects: DataFrame, columns: DataFrame, keys: DataFrame | None, schemas: Sequence[str], server: dict[str, str], format_tag: str, captured_at: str) -> dict:
+    """An export of the exact schemas from a driver's metadata: objects (schema_name,
+    table_name, kind), columns (schema_name, table_name, position, column_name, type_name,
+    column_size, decimal_digits, nullable) and primary keys (schema_name, table_name,
+    column_name), or None where the driver cannot tell, which is not the same as no keys.
+
+    ValueError for repeated objects, other kinds, too many of anything, or metadata that do
+    not say what a column's type is and whether it may be null.
+    """
+    exact = lambda df: df.filter(F.col("schema_name").isin(*schemas))
+    listed = exact(objects).orderBy("schema_name", "table_name").limit(MAX_TABLES + 1).collect()
+    if not listed or len(listed) > MAX_TABLES:
+        raise ValueError(f"the schemas must hold 1 to {MAX_TABLES} tables and views")
+    if len({(r.schema_name, r.table_name) for r in listed}) < len(listed) or any(r.kind.strip().lower() not in ("table", "view") for r in listed):
+        raise ValueError("repeated objects, or objects of another kind")
+    kind = F.upper("type_name")
+    text = (F.when(kind.isin(*_SCALED) & F.col("column_size").isNotNull() & F.col("decimal_digits").isNotNull(), F.format_string("%s(%d,%d)", "type_name", "column_size", "decimal_digits"))
+            .when(kind.isin(*_SIZED) & F.col("column_size").isNotNull(), F.format_string("%s(%d)", "type_name", "column_size")).otherwise(F.col("type_name")))
+    every = exact(columns).withColumn("data_type", text)
+    names = ["schema_name", "table_name", "column_name"]
+    marked = every.withColumn("key", F.lit(None).cast("string")) if keys is None else every.join(
+        exact(keys).select(*names).distinct().withColumn("key", F.lit("PK")), names, "left")
+    column = F.struct("position", F.col("column_name").alias("name"), F.col("data_type").alias("dataType"), "nullable", "key")
+    folded = marked.groupBy("schema_name", "table_name").agg(F.array_sort(F.collect_list(column)).alias("columns")).filter(F.size("columns") <= MAX_COLUMNS)
+    held = {(r.schema_name, r.table_name): r.columns for r in folded.limit(MAX_TABLES + 1).collect()}
+    tables = []
+    for r in listed:
+        found = held.get((r.schema_name, r.table_name), [])
+        if not found or any(c.nullable is None or not c.dataType for c in found):
+            raise ValueError(f"the metadata of {r.schema_name}.{r.table_name} are not complete")
+        tables.append({"schema": r.schema_name, "name": r.table_name, "kind": r.kind.strip().lower(),
+                       "columns": [{"name": c.name, "dataType": c.dataType, "nullable": c.nullable, "key": c.key} for c in found]})
+    warnings = [] if keys is not None else ["Primary keys are unknown: the driver does not tell them."]
+    return {"format": format_tag, "capturedAt": captured_at, "serverInformation": server, "transportVerification": "not-verified-by-exporter", "readOnlyRequested": True,
+            "schemas": list(schemas), "tables": tables, "warnings": warnings}

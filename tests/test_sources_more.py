@@ -188,3 +188,20 @@ def test_touch_defaults_to_now(spark):
     t = spark.createDataFrame([(1, "a", "t0"), (2, "b", "t0")], "k int, v string, at string")
     got = {r.k: r for r in dml.touched(t, F.col("k") == 1, {"v": F.lit("z")}, "at").collect()}
     assert got[1].v == "z" and got[1].at.endswith("Z") and len(got[1].at) == 20 and got[2].at == "t0"
+
+
+def test_catalog_export(spark):
+    from marlstone.sources import catalog
+
+    objects = spark.createDataFrame([("S", "T", "TABLE "), ("S", "V", "VIEW"), ("SX", "T", "TABLE")], "schema_name string, table_name string, kind string")
+    columns = spark.createDataFrame([("S", "T", 1, "AMOUNT", "DECIMAL", 9, 2, True), ("S", "T", 0, "ID", "INTEGER", 10, 0, False), ("S", "V", 0, "N", "varchar", 20, None, True), ("SX", "T", 0, "A", "DATE", None, None, True)],
+                                    "schema_name string, table_name string, position int, column_name string, type_name string, column_size int, decimal_digits int, nullable boolean")
+    keys = spark.createDataFrame([("S", "T", "ID")], "schema_name string, table_name string, column_name string")
+    made = catalog.exported(objects, columns, keys, ["S"], {}, "f", "2024-01-01T00:00:00+00:00")
+    assert made["tables"] == [
+        {"schema": "S", "name": "T", "kind": "table", "columns": [{"name": "ID", "dataType": "INTEGER", "nullable": False, "key": "PK"}, {"name": "AMOUNT", "dataType": "DECIMAL(9,2)", "nullable": True, "key": None}]},
+        {"schema": "S", "name": "V", "kind": "view", "columns": [{"name": "N", "dataType": "varchar(20)", "nullable": True, "key": None}]}]
+    assert made["warnings"] == [] and catalog.exported(objects, columns, None, ["S"], {}, "f", "t")["warnings"]
+    for bad in (objects.filter("false"), objects.union(objects), objects.withColumn("kind", F.lit("ALIAS")), objects.union(spark.createDataFrame([("S", "W", "TABLE")], objects.schema))):
+        with pytest.raises(ValueError):
+            catalog.exported(bad, columns, keys, ["S"], {}, "f", "t")

@@ -31,9 +31,9 @@ from marlstone.llm.shingles import power_tables, as_bytes, mix64
 from marlstone.plans.materialize import materialize
 
 CAPACITY, END_ID = 4096, 1
-SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 2, 3, 12, 4
-#: Bins filled less than this are dissolved at the end, once.
-DISSOLVE = 0.97
+SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 2, 3, 40, 4
+#: Bins filled less than this are dissolved at the end, once, and their pieces, which are few, evolve longer.
+DISSOLVE, LAST_GENERATIONS = 0.99, 150
 #: Most words that a task keeps with their ids, and the bytes of the longest one kept.
 CACHE, LONGEST = 500_000, 64
 _BYTES = np.random.default_rng(17).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
@@ -280,13 +280,15 @@ def random_packing(sizes: np.ndarray, capacity: int, rng: np.random.Generator) -
 
 def evolve(sizes: np.ndarray, capacity: int, seeds: list[np.ndarray], seed: int, generations: int = GENERATIONS,
            population: int = POPULATION) -> np.ndarray:
-    """Bin numbers of the best packing found; stops where no packing can have fewer bins.
-    `seeds` are packings of earlier epochs; the population is filled up in random orders."""
+    """Bin numbers of the best packing found; stops where no packing can have fewer bins and
+    what room is left lies in one of them. `seeds` are packings of earlier epochs; the
+    population is filled up in random orders."""
     least = least_bins(sizes, capacity)
+    done = lambda p: len(p.bins) <= least and sum(f < DISSOLVE * capacity for f in p.fills) <= 1
     rng = np.random.default_rng(seed)
     pool = [Packing.read(s, sizes) for s in seeds]
     key = lambda p: p.fitness(capacity)
-    if not pool or min(len(p.bins) for p in pool) > least:
+    if not any(map(done, pool)):
         while len(pool) < population:
             pool.append(random_packing(sizes, capacity, rng))
         for _ in range(generations):
@@ -295,19 +297,19 @@ def evolve(sizes: np.ndarray, capacity: int, seeds: list[np.ndarray], seed: int,
             worst = min(range(len(pool)), key=lambda i: key(pool[i]))
             if key(child) > key(pool[worst]):
                 pool[worst] = child
-            if len(child.bins) <= least:
+            if done(child):
                 break
     return max(pool, key=key).labels(len(sizes))
 
 
-def _evolve_shards(capacity: int, epoch: int):
+def _evolve_shards(capacity: int, epoch: int, generations: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for shard, island, sizes, own, guest in zip(*[batch.column(c).to_pylist() for c in ("shard", "island", "sizes", "own", "guest")], strict=True):
                 size = np.array(sizes, np.int64)
                 seeds = [np.frombuffer(s, np.int32) for s in (own, guest) if s]
-                labels = evolve(size, capacity, seeds, seed=(shard * 31 + island) * 31 + epoch)
+                labels = evolve(size, capacity, seeds, (shard * 31 + island) * 31 + epoch, generations)
                 out.append((labels.tobytes(), int(labels.max()) + 1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("shard"), batch.column("island"), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32())],
@@ -316,7 +318,7 @@ def _evolve_shards(capacity: int, epoch: int):
     return run
 
 
-def _pack_once(items: DataFrame, count: int, capacity: int, shard_size: int, islands: int, epochs: int) -> DataFrame:
+def _pack_once(items: DataFrame, count: int, capacity: int, shard_size: int, islands: int, epochs: int, generations: int) -> DataFrame:
     """(item, length, shard, bin) of items (item, length), `count` of them."""
     shards = max(1, -(-count // shard_size))
     dealt = items.select("item", "length", F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard"))
@@ -332,7 +334,7 @@ def _pack_once(items: DataFrame, count: int, capacity: int, shard_size: int, isl
             guests = state.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("own").alias("guest"))
             ready = isles.join(state.select("shard", "island", "own"), ["shard", "island"]).join(guests, ["shard", "island"])
         ready = ready.repartition(-(-shards * islands // 8), "shard", "island")  # a task evolves about eight
-        state = materialize(ready.mapInArrow(_evolve_shards(capacity, epoch), "shard long, island int, own binary, bins int"), "islands")
+        state = materialize(ready.mapInArrow(_evolve_shards(capacity, epoch, generations), "shard long, island int, own binary, bins int"), "islands")
     best = state.groupBy("shard").agg(F.min_by("own", F.struct("bins", "island")).alias("own"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,11 +352,11 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD,
     """(item, sequence_id, offset) for pieces (item: unique long, length: 1 to capacity)."""
     full = pieces.filter(F.col("length") >= capacity).select("item", (-F.col("item") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = pieces.filter(F.col("length") < capacity).select("item", "length")
-    first = _pack_once(items, items.count(), capacity, shard_size, islands, epochs)
+    first = _pack_once(items, items.count(), capacity, shard_size, islands, epochs, GENERATIONS)
     fills = first.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
     poor = fills.filter(F.col("fill") < DISSOLVE * capacity).select("shard", "bin")
     again = first.join(poor, ["shard", "bin"], "left_semi").select("item", "length")
-    second = _pack_once(again, again.count(), capacity, shard_size, islands, epochs)
+    second = _pack_once(again, again.count(), capacity, shard_size, islands, epochs, LAST_GENERATIONS)
     # sequence numbers: shard and bin side by side; those of the second pass are odd
     number = lambda odd: (F.col("shard") * shard_size * 16 + F.col("bin")) * 2 + odd
     bins = (first.join(poor, ["shard", "bin"], "left_anti").select("item", "length", number(0).alias("sequence_id"))

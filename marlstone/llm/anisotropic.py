@@ -241,12 +241,16 @@ def search(embeddings: DataFrame, queries: DataFrame, top: int = TOP, id_col: st
 
 
 def _search(rows: DataFrame, asked: DataFrame, d: int, n_asked: int, top: int, rerank: int, block: int) -> DataFrame | None:
-    sample = rows.select("vec_id", "v", F.xxhash64("vec_id", "number").alias("h")).orderBy("h").limit(TRAIN_ROWS).select("v").toPandas()
+    count = rows.count()
+    # hashes under a bound first, about twice the sample's size, so that no task sends more than its share
+    hashed = rows.select("v", F.xxhash64("vec_id", "number").alias("h"))
+    some = hashed.filter(F.pmod("h", F.lit(1 << 30)) < int(min(1.0, 2 * TRAIN_ROWS / max(count, 1)) * (1 << 30)))
+    sample = some.orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(TRAIN_ROWS).select("v").toPandas()
     if not len(sample):
         return None
     known = np.stack(sample["v"].to_list())
     book = Codebook.fit(np.unique(known, axis=0))
-    centres = coarse_centres(known, int(np.clip(rows.count() // PART_ROWS, 1, PARTS)))
+    centres = coarse_centres(known, int(np.clip(count // PART_ROWS, 1, PARTS)))
     looked = probes(centres, known, top)
 
     def part(many: int):

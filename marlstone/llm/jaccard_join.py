@@ -108,7 +108,9 @@ def measured_recall(texts: DataFrame, threshold: float, sample: int = SAMPLE) ->
     by a hash) and any other text whose signatures agree in the threshold's share, how many
     share a prefix of that level. The sample is a stated query set against all rows."""
     worded = texts.filter("n_shingles > 0")
-    asked = worded.select("node", "sig", F.xxhash64("node").alias("h")).orderBy("h", "node").limit(sample).collect()
+    share = int(min(1.0, 8 * sample / max(worded.count(), 1)) * (1 << 30))  # so that no task sends more than its share
+    hashed = worded.select("node", "sig", F.pmod(F.xxhash64("node"), F.lit(1 << 30)).alias("h"))
+    asked = hashed.filter(F.col("h") < share).orderBy("h", "node").limit(sample).collect()
     nodes, sigs = [bytes(r["node"]) for r in asked], [np.frombuffer(bytes(r["sig"]), np.uint8) for r in asked]
     least = threshold * TREES * DEPTH
 

@@ -235,12 +235,13 @@ def test_recall_is_measured_on_the_data(spark):
     rows = []
     for k in range(400):
         words = list(base[k % 40])
-        for _ in range(rng.randint(0, 9)):
+        for _ in range(rng.randint(3, 9)):
             words[rng.randrange(300)] = f"x{k}"
         rows.append((k, " ".join(words)))
     signed = jaccard_join.sign(spark.createDataFrame(rows, DOCS), "doc_id", "text", 5)
     pairs, recall = jaccard_join.measured_recall(signed, 0.8)
-    assert pairs > 100 and recall == sorted(recall, reverse=True) and recall[3] > 0.99 and recall[7] < recall[3]
+    assert pairs > 50, pairs
+    assert recall == sorted(recall, reverse=True) and recall[3] > 0.99 > recall[7], recall
 
 
 def test_near_copies_without_ids_meet_once(spark):

@@ -96,6 +96,17 @@ def test_copies_are_no_neighbours(spark):
     assert [out[k] for k in range(2, 9)] == [("the same words " * 3).strip()] * 7
 
 
+def test_differencing_decides_pages_without_an_article(spark):
+    page = "<body><p>Welcome to the site</p><p>{0}</p><p>Imprint and contact</p></body>"
+    rows = [(k, f"http://a.com/{k % 3}", page.format(f"unique words of page number {k} " * 3)) for k in range(6)]  # neighbours tie by path
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    on = {r.page_id: r.text for r in page_diff.main_text(pages).collect()}
+    off = {r.page_id: r.text for r in page_diff.main_text(pages, copy=0).collect()}
+    for k in range(6):
+        own = (f"unique words of page number {k} " * 3).strip()
+        assert on[k] == own and off[k] == f"Welcome to the site\n{own}\nImprint and contact"
+
+
 def test_passages_without_white_space_are_cut(spark):
     rng = random.Random(13)
     signs = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))

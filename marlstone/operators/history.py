@@ -4,6 +4,8 @@ readers take the newest. Profiles hold no secrets."""
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import dml
+from marlstone.sources import sinks
 
 SCHEMAS = {
     "profiles": "id string, name string, engine string, path string, allow_writes boolean, tls_mode string, updated_at string",
@@ -110,3 +113,13 @@ class History:
     def outputs(self, session: str) -> DataFrame:
         """Newest first."""
         return self.read("query_outputs").filter(F.col("session_id") == session).orderBy(F.desc("created_at"), "id")
+
+    def export_output(self, output: str, folder: str) -> str:
+        """Write one saved output as JSON to a new file of the driver's folder; its path.
+        KeyError for an unknown output, FileExistsError if the file is there."""
+        row = self.read("query_outputs").filter(F.col("id") == output).first()
+        if row is None:
+            raise KeyError(output)
+        path = os.path.join(folder, f"output-{re.sub(r'[^A-Za-z0-9_-]', '', output)[:8]}.json")
+        sinks.export_json(row.asDict(), path)
+        return path

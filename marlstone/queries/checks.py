@@ -168,9 +168,28 @@ def immutable_ledger(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "operation string, refused boolean")
 
 
+_SNAPSHOT = ("nation", "region", "supplier")
+
+
+def catalog_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The session's own catalog: columns of three views in order, with their keys."""
+    for t in _SNAPSHOT:
+        table(spark, d, t).createOrReplaceTempView(f"snapshot_{t}")
+    found = catalog.snapshot(spark, primary={"snapshot_nation": ("n_nationkey",), "snapshot_region": ("r_regionkey", "r_name")})
+    return found.filter(F.col("table_name").isin(*[f"snapshot_{t}" for t in _SNAPSHOT])).select(
+        "table_name", "kind", F.col("position").cast("long").alias("position"), "column_name", F.coalesce("key", F.lit("")).alias("key"))
+
+
+def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Urls of pages within two domains in canonical form, and how many are refused."""
+    urls = table(spark, d, "pages").select(F.concat("url", F.lit("#part")).alias("url"))
+    made = web.canonical_within(urls, ("example.org", "example.net"))
+    return made.groupBy(F.coalesce("canonical", F.lit("")).alias("canonical"), F.coalesce("error", F.lit("")).alias("error")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
     jsonl_rows, slash_commands, answer_gate, document_titles, license_classes, decoded_files, markdown_pages, docbook_pages, listing_rows, selected_entries, derived_urls, manifest_upsert,
-    snapshot_errors, seeded_rows, bounded_projection, result_sample, running_budget, enforcement, immutable_ledger)}
+    snapshot_errors, seeded_rows, bounded_projection, result_sample, running_budget, enforcement, immutable_ledger, catalog_snapshot, canonical_urls)}
 
 _S = "[ \\t\\n\\r\\f\\v]"
 _STRIP = "regexp_replace(regexp_replace({0}, '^" + _S + "+', ''), '" + _S + "+$', '')"
@@ -209,4 +228,8 @@ ORACLE_SQL = {
     "running_budget": """select * from (select item_id, strlen(text) as bytes, cast(sum(strlen(text)) over (order by item_id) as bigint) as total from benchmark) where total <= 5000""",
     "enforcement": f"""select operation, confirmed, operation = 'read' or confirmed as runs from (values {', '.join(f"('{o}')" for o in gate.LABELS)}) as o(operation), (values (true), (false)) as c(confirmed)""",
     "immutable_ledger": "select * from (values ('update', true), ('delete', true), ('upsert', true), ('insert', false)) as t(operation, refused)",
+    "catalog_snapshot": f"""select 'snapshot_' || table_name as table_name, 'view' as kind, ordinal_position - 1 as position, column_name,
+        case when column_name in ('n_nationkey', 'r_regionkey') then 'PK' else '' end as key from information_schema.columns where table_name in {_SNAPSHOT}""",
+    "canonical_urls": """select case when regexp_matches(url, '^https?://([^/?#]*[.])?example[.](org|net)(/|$)') then regexp_replace(regexp_replace(url, '#.*$', ''), '^http:', 'https:') else '' end as canonical,
+        case when regexp_matches(url, '^https?://([^/?#]*[.])?example[.](org|net)(/|$)') then '' else 'another host' end as error, count(*) as n from pages group by 1, 2""",
 }

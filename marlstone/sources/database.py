@@ -9,18 +9,19 @@ from __future__ import annotations
 
 import sqlite3
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from pathlib import Path
+from typing import Protocol
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from marlstone.plans.execute import ROW_CAP, TIMEOUT_S, Result
+from marlstone.plans.execute import ROW_CAP, TIMEOUT_S, Result, run_sql
 from marlstone.plans.gate import assess, permit
-from marlstone.sources.catalog import jdbc_url
+from marlstone.sources.catalog import candidate_engines, jdbc_url, snapshot
 
 #: Operations of SQLite's virtual machine between two looks at the clock.
 STEPS = 1000
@@ -113,6 +114,47 @@ class SQLite:
             return {"tables": tables, "views": views, "triggers": [{"name": n, "table": t, "sql": sql} for n, t, sql in named("trigger")]}
 
 
+@dataclass(frozen=True)
+class SparkTables:
+    """The session's own tables and views, behind the same boundary."""
+
+    spark: SparkSession
+    allow_writes: bool = False
+
+    def test(self) -> None:
+        self.spark.sql("select 1").collect()
+
+    def introspect(self) -> list[tuple]:
+        """Flat columns (schema, table, kind, position, column, type, nullable, key)."""
+        return [tuple(r) for r in snapshot(self.spark).orderBy("schema_name", "table_name", "position").collect()]
+
+    def execute(self, sql: str, confirmed: bool = False, cap: int = ROW_CAP, timeout_s: float = TIMEOUT_S) -> Result:
+        return run_sql(self.spark, sql, self.allow_writes, confirmed, cap, timeout_s)
+
+
+class Database(Protocol):
+    """What every engine does: say whether it can be reached, list its columns, run a statement."""
+
+    def test(self) -> None: ...
+
+    def introspect(self) -> list[tuple]: ...
+
+    def execute(self, sql: str, confirmed: bool = False, cap: int = ROW_CAP, timeout_s: float = TIMEOUT_S) -> Result: ...
+
+
+def detect_engine(port: int, attempt: Callable[[str], object]) -> str:
+    """The first engine, the likeliest for the port first, for which `attempt` does not raise.
+    ConnectionError with every reason if all fail."""
+    failed = []
+    for engine in candidate_engines(port):
+        try:
+            attempt(engine)
+            return engine
+        except Exception as error:  # noqa: BLE001, a driver may raise anything
+            failed.append(f"{engine}: {str(error).splitlines()[0] if str(error) else type(error).__name__}")
+    raise ConnectionError("; ".join(failed))
+
+
 class _Range(InputPartition):
     def __init__(self, low: int | None, high: int | None):
         self.low, self.high = low, high

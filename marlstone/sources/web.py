@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import quote, urldefrag, urlsplit, urlunsplit
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,9 @@ _HREF = r'(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"'
 LEAST_CHARS = 100
 # Titles of error pages.
 ERROR_TITLES = ("404", "Page not found", "Access Denied", "Error")
+ERROR_TITLE = r"(?i)access denied|page not found|404|just a moment"
+#: Characters that stay as they are in the path and the query of a canonical url.
+SAFE_PATH, SAFE_QUERY = "/%:@&=+$,;()~!*'-._", "/%?:@&=+$,;()~!*'-._"
 
 
 def collapse(text: Column) -> Column:
@@ -33,13 +40,17 @@ def section(html: Column, name: str) -> Column:
     return F.regexp_extract(html, rf"(?is)<{name}[^>]*>(.*?)</{name}>", 1)
 
 
-def page_check(pages: DataFrame, id_col: str, html_col: str = "html", least: int = LEAST_CHARS) -> DataFrame:
+def page_check(pages: DataFrame, id_col: str, html_col: str = "html", least: int = LEAST_CHARS, placeholders: tuple[str, ...] = ()) -> DataFrame:
     """(id, title, body, chars, verdict): the first of article, main and body that is there,
-    without markup; refused as an error page or as too short."""
+    without markup; refused as an error page, as a placeholder (a body that holds one of those
+    texts) or as too short."""
     html = F.col(html_col)
     body = F.coalesce(*[F.when(section(html, n) != "", section(html, n)) for n in ("article", "main", "body")], F.lit(""))
     out = pages.select(id_col, collapse(section(html, "title")).alias("title"), collapse(F.regexp_replace(body, "<[^>]*>", " ")).alias("body"))
-    verdict = F.when(F.col("title").isin(*ERROR_TITLES), "error page").when(F.char_length("body") < least, "too short").otherwise("kept")
+    empty = F.lit(False)
+    for p in placeholders:
+        empty = empty | F.col("body").contains(p)
+    verdict = F.when(F.col("title").isin(*ERROR_TITLES) | F.col("title").rlike(ERROR_TITLE), "error page").when(empty, "placeholder").when(F.char_length("body") < least, "too short").otherwise("kept")
     return out.withColumn("chars", F.char_length("body")).withColumn("verdict", verdict)
 
 
@@ -66,12 +77,16 @@ def derived_urls(urls: DataFrame, pattern: str, template: str, known: DataFrame)
     return made.join(known.select(F.col("url").alias("derived")), "derived", "left_anti").select("url", "derived")
 
 
-def discovered(pages: DataFrame, base_col: str, title_col: str, html_col: str = "html") -> DataFrame:
+def discovered(pages: DataFrame, base_col: str, title_col: str, html_col: str = "html", within: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> DataFrame:
     """(url, parent_title): absolute and host-relative links of pages in canonical form,
-    each url once with the least parent title."""
-    href = F.explode(F.regexp_extract_all(F.col(html_col), F.lit(_HREF), F.lit(1))).alias("href")
+    each url once with the least parent title. `within` names elements, of which the first one
+    that is there is searched (else the whole page); `suffixes` are the only file types wanted."""
+    html = F.coalesce(*[F.when(section(F.col(html_col), n) != "", section(F.col(html_col), n)) for n in within], F.col(html_col))
+    href = F.explode(F.regexp_extract_all(html, F.lit(_HREF), F.lit(1))).alias("href")
     each = pages.select(F.regexp_extract(base_col, r"^(https?://[^/?#]+)", 1).alias("site"), F.col(title_col).alias("parent_title"), href)
     whole = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat("site", "href"))
+    if suffixes:
+        each = each.filter(F.lower(F.regexp_extract("href", r"\.([A-Za-z0-9]+)(?:[?#]|$)", 1)).isin(*suffixes))
     return each.select(canonical(whole).alias("url"), "parent_title").filter("url is not null").groupBy("url").agg(F.min("parent_title").alias("parent_title"))
 
 
@@ -88,3 +103,27 @@ def topic_entries(pages: DataFrame, order_col: str, selected: tuple[str, ...], u
                         described.alias("description")).filter("repository is not null")
     last = found.groupBy("repository").agg(F.max_by(F.struct("description", "source_page"), F.struct("page", "at")).alias("e"))
     return last.select("repository", "e.description", "e.source_page", F.col("repository").isin(*selected).alias("selected"))
+
+
+def _within(url: str | None, hosts: tuple[str, ...]) -> tuple[str | None, str | None]:
+    try:
+        parts = urlsplit(urldefrag((url or "").strip())[0])
+        host = parts.hostname or ""
+    except ValueError:
+        return None, "not a url"
+    if parts.scheme not in ("http", "https"):
+        return None, "another scheme"
+    if not any(host == h or host.endswith(f".{h}") for h in hosts):
+        return None, "another host"
+    return urlunsplit(("https", parts.netloc, quote(parts.path, safe=SAFE_PATH), quote(parts.query, safe=SAFE_QUERY), "")), None
+
+
+def canonical_within(urls: DataFrame, hosts: tuple[str, ...], url_col: str = "url") -> DataFrame:
+    """(url, canonical, error): https, percent-encoded and without the fragment, for urls of
+    the hosts and their subdomains; null with the reason for others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_within(u, hosts) for u in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([m[i] for m in made], pa.string()) for i in (0, 1)]], names=["url", "canonical", "error"])
+
+    return urls.select(F.col(url_col).alias("url")).mapInArrow(run, "url string, canonical string, error string")

@@ -100,6 +100,10 @@ def test_history(spark, tmp_path):
     assert [r.title for r in h.sessions("p1").collect()] == ["how many rows?"]
     assert [r.id for r in h.messages("s1").collect()] == ["m1", "m2", "m3"]
     assert [r.sql for r in h.outputs("s1").collect()] == ["select 1"]
+    exported = json.loads(open(h.export_output(h.outputs("s1").first().id, str(tmp_path))).read())
+    assert exported["sql"] == "select 1" and exported["session_id"] == "s1"
+    with pytest.raises(KeyError):
+        h.export_output("none", str(tmp_path))
     h.delete_profile("p1")
     assert [r.id for r in h.profiles().collect()] == ["p2"]
     assert h.read("chat_messages").isEmpty() and h.read("query_outputs").isEmpty()

@@ -205,3 +205,55 @@ def test_catalog_export(spark):
     for bad in (objects.filter("false"), objects.union(objects), objects.withColumn("kind", F.lit("ALIAS")), objects.union(spark.createDataFrame([("S", "W", "TABLE")], objects.schema))):
         with pytest.raises(ValueError):
             catalog.exported(bad, columns, keys, ["S"], {}, "f", "t")
+
+
+def test_pages_links_and_urls(spark):
+    page = '<title>Guide</title><nav><a href="/menu.pdf">m</a></nav><article><a href="/a.PDF?x">a</a><a href="b">b</a><a href="https://s.org/c.html">c</a> This manual is to come.' + "x" * 200 + "</article>"
+    pages = spark.createDataFrame([("http://s.org/p", "T", page), ("http://s.org/q", "U", "<title>404 - gone</title><body>" + "x" * 300)], "url string, title string, html string")
+    assert [r.url for r in web.discovered(pages, "url", "title", within=("article", "main"), suffixes=("pdf",)).collect()] == ["https://s.org/a.PDF?x"]
+    got = {r.url: r.verdict for r in web.page_check(pages, "url", placeholders=("is to come",)).collect()}
+    assert got == {"http://s.org/p": "placeholder", "http://s.org/q": "error page"}
+    urls = spark.createDataFrame([("http://A.x.org/ä b?q=1#f",), ("https://x.org.evil/",), ("ftp://x.org/",), (None,), ("http://[bad",)], "url string")
+    assert [(r.canonical, r.error) for r in web.canonical_within(urls, ("x.org",)).collect()] == [
+        ("https://A.x.org/%C3%A4%20b?q=1", None), (None, "another host"), (None, "another scheme"), (None, "another scheme"), (None, "not a url")]
+
+
+def test_pdf_by_an_outside_program(spark, tmp_path, monkeypatch):
+    from marlstone.sources import extract
+
+    monkeypatch.setenv("PATH", str(tmp_path))
+    with pytest.raises(OSError):
+        extract.pdf_text(b"%PDF")
+    program = tmp_path / "pdftotext"
+    program.write_text("#!/bin/sh\nread line\n[ \"$line\" = '%PDF' ] || exit 1\nprintf 'page  one\\fpage two\\n'\n")
+    program.chmod(0o755)
+    assert extract.pdf_text(b"%PDF\n") == "page  one\n\npage two"
+    with pytest.raises(ValueError):
+        extract.pdf_text(b"no\n")
+
+
+def test_boundary_and_detection(spark):
+    spark.range(3).createOrReplaceTempView("boundary_rows")
+    db = database.SparkTables(spark)
+    db.test()
+    assert ("session", "boundary_rows", "view", 0, "id", "bigint", False, None) in db.introspect()
+    assert db.execute("select id from boundary_rows order by id").rows == [[0], [1], [2]]
+    with pytest.raises(Refused):
+        db.execute("drop view boundary_rows")
+
+    def attempt(engine):
+        if engine != "mysql":
+            raise OSError(f"no {engine}\nmore")
+
+    assert database.detect_engine(5432, attempt) == "mysql"
+    with pytest.raises(ConnectionError, match="postgres: no postgres; mysql: no mysql"):
+        database.detect_engine(5432, lambda e: (_ for _ in ()).throw(OSError(f"no {e}")))
+
+
+def test_blake_digests(spark):
+    import hashlib
+
+    from marlstone.functions import text as T
+
+    rows = spark.createDataFrame([("",), ("é",), (None,)], "t string").select(T.blake2b_64(F.col("t")).alias("h")).collect()
+    assert [r.h for r in rows] == [hashlib.blake2b(b"", digest_size=8).hexdigest(), hashlib.blake2b("é".encode(), digest_size=8).hexdigest(), None]

@@ -127,3 +127,27 @@ def canonical_within(urls: DataFrame, hosts: tuple[str, ...], url_col: str = "ur
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([m[i] for m in made], pa.string()) for i in (0, 1)]], names=["url", "canonical", "error"])
 
     return urls.select(F.col(url_col).alias("url")).mapInArrow(run, "url string, canonical string, error string")
+
+
+# Marks of a library's rows.
+_JAPANESE, _BUNDLE, _BUNDLE_TITLE = "PDF format - Japanese", ("Download all PDF", "PDF format"), "Complete PDF bundle"
+
+
+def library_anchors(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(version, language, title, publication, url) of every link in the rows of a library's
+    tables. Sections have an id of two digits, their version; the first cell is the title and,
+    of three or more, the second the publication. Links to places of the same page are left out."""
+    found = r'(?is)<div[^>]*\bid="(\d{2})"[^>]*>(.*?)(?=<div[^>]*\bid="\d{2}"|\z)'
+    parts = F.arrays_zip(*[F.regexp_extract_all(F.col(html_col), F.lit(found), F.lit(i)).alias(n) for i, n in ((1, "id"), (2, "body"))])
+    each = pages.select(F.regexp_extract(url_col, r"^(https?://[^/?#]+)", 1).alias("site"), F.explode(parts).alias("s"))
+    rows = each.select("site", F.concat_ws(".", F.substring("s.id", 1, 1), F.substring("s.id", 2, 1)).alias("version"),
+                       F.explode(F.regexp_extract_all("s.body", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row"))
+    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: collapse(F.regexp_replace(c, "<[^>]*>", " ")))
+    links = rows.select("site", "version", cells.alias("cells"), collapse(F.regexp_replace("row", "<[^>]*>", " ")).alias("text"),
+                        F.explode(F.regexp_extract_all("row", F.lit(_HREF), F.lit(1))).alias("href")).filter(~F.col("href").startswith("#"))
+    title = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
+    whole = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat("site", "href"))
+    return links.select(
+        "version", F.when(F.col("text").contains(_JAPANESE), "ja").otherwise("en").alias("language"),
+        F.substring(F.when(title.contains(_BUNDLE[0]) | title.startswith(_BUNDLE[1]), _BUNDLE_TITLE).otherwise(title), 1, 500).alias("title"),
+        F.when(F.size("cells") >= 3, F.get("cells", F.lit(1))).alias("publication"), canonical(whole).alias("url"))

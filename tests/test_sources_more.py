@@ -257,3 +257,13 @@ def test_blake_digests(spark):
 
     rows = spark.createDataFrame([("",), ("é",), (None,)], "t string").select(T.blake2b_64(F.col("t")).alias("h")).collect()
     assert [r.h for r in rows] == [hashlib.blake2b(b"", digest_size=8).hexdigest(), hashlib.blake2b("é".encode(), digest_size=8).hexdigest(), None]
+
+
+def test_library_tables(spark):
+    page = ('<div class="tabs"><div id="75"><table><tr><td><b>Guide</b> one</td><td>SC1</td><td><a href="/a.pdf">PDF</a> <a href="#top">up</a></td></tr>'
+            '<tr><td>PDF format - Japanese</td><td><a href="http://S.org/b.zip#x">all</a></td></tr></table></div><div id="74"><table><tr><td>Guide one</td><td>SC0</td><td><a href="/a.pdf">PDF</a></td></tr></table></div></div>')
+    made = web.library_anchors(spark.createDataFrame([("https://s.org/lib", page)], "url string, html string"))
+    assert sorted(map(tuple, made.collect()), key=repr) == [("7.4", "en", "Guide one", "SC0", "https://s.org/a.pdf"), ("7.5", "en", "Guide one", "SC1", "https://s.org/a.pdf"),
+                                                            ("7.5", "ja", "Complete PDF bundle", None, "https://s.org/b.zip")]
+    found = {r.url: len(r.references) for r in manifest.library_resources(made, 2).collect()}
+    assert found == {"https://s.org/a.pdf": 2, "https://s.org/b.zip": 1}

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.functions import text as T
-from marlstone.plans.materialize import materialize
+from marlstone.plans.materialize import discard, materialize
 from marlstone.sources.sinks import read_index, write_index
 
 K1, B = 1.2, 0.75
+#: Folders of an index, and the postings of one file of them.
+BUCKETS, PART = 64, 5_000_000
 _MARKS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 
 
@@ -90,7 +92,9 @@ def _ranked(joined: DataFrame, names: list[str], limit: int) -> DataFrame:
 def build_index(docs: DataFrame, id_col: str, target: str) -> None:
     """Write an index that queries read without the texts: postings in folders by a hash of
     the token, and one row of totals (documents, and their mean number of tokens)."""
-    write_index(postings(docs, id_col), f"{target}/postings")
+    made = materialize(postings(docs, id_col), "postings")
+    write_index(made, f"{target}/postings", BUCKETS, max(1, -(-made.count() // (BUCKETS * PART))))
+    discard(made)
     docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{target}/totals")
 
 
@@ -105,7 +109,7 @@ def search_index(spark: SparkSession, target: str, query: str, limit: int = 5) -
     totals = spark.read.parquet(f"{target}/totals")
     if not words:
         return spark.read.parquet(f"{target}/postings").select("id", F.lit(0.0).alias("score")).limit(0)
-    hits = read_index(spark, f"{target}/postings", sorted(set(words)))
+    hits = read_index(spark, f"{target}/postings", sorted(set(words)), BUCKETS)
     names = {w: f"f{k}" for k, w in enumerate(sorted(set(words)))}
     counts = [F.sum(F.when(F.col("token") == w, F.col("tf")).otherwise(0)).alias(f) for w, f in names.items()]
     df = hits.agg(*[F.count_if(F.col("token") == w).alias(f"n_{f}") for w, f in names.items()])

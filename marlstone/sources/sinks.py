@@ -65,10 +65,13 @@ def export_json(value: object, path: str) -> None:
         os.unlink(name)
 
 
-def write_index(postings: DataFrame, target: str, buckets: int = 64) -> None:
+def write_index(postings: DataFrame, target: str, buckets: int = 64, parts: int = 1) -> None:
     """A search index: postings (id, token, tf, length) in folders by a hash of the token,
-    so a query reads the folders of its words only."""
-    postings.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(target)
+    so a query reads the folders of its words only, and in them, as files are sorted by token,
+    the parts that may hold them. `parts` tasks write each folder."""
+    part = F.pmod(F.xxhash64("id"), F.lit(parts))
+    placed = postings.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    placed.repartition("bucket", part).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(target)
 
 
 def read_index(spark: SparkSession, target: str, words: list[str], buckets: int = 64) -> DataFrame:

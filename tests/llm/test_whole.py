@@ -117,3 +117,12 @@ def test_passages_without_white_space_are_cut(spark):
     cut = [r.cut_chars for r in out if r.doc_id >= 1000]
     assert all(c > 150 for c in cut) and sum(cut) > 0.8 * 300 * 40
     assert all(r.cut_chars == 0 for r in out if r.doc_id < 1000)
+
+
+def test_native_operators_keep_python_off_their_plans(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, pages = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/pages.parquet")
+    for df in (line_dedup.line_dedup(docs), line_dedup.passages_removed(docs), url_trust.url_verdicts(pages)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"))
+        assert "Scan parquet" in plan

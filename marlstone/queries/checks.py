@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marlstone.functions import text as T
 from marlstone.operators import dml, manifest
+from marlstone.operators.ranges import running_total
 from marlstone.plans import execute, gate
 from marlstone.session import table
 from marlstone.sources import catalog, extract, sinks, web
@@ -135,9 +135,8 @@ def result_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def running_budget(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items in order while their bytes, added up, fit a budget."""
-    order = Window.orderBy("item_id")
     sized = table(spark, d, "benchmark").select("item_id", F.octet_length("text").cast("long").alias("bytes"))
-    return sized.withColumn("total", F.sum("bytes").over(order)).filter(F.col("total") <= 5000)
+    return running_total(sized, "item_id", F.col("bytes"), "total").filter(F.col("total") <= 5000)
 
 
 def enforcement(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.operators import dml, ledger, manifest
+from marlstone.operators.ranges import running_total
 from marlstone.session import table
 
 
@@ -167,7 +168,7 @@ def hash_union(spark: SparkSession, d: str) -> DataFrame:
 def sorted_output(spark: SparkSession, d: str) -> DataFrame:
     """Distinct texts by their digest, each with its place in the stable order of ids."""
     ids = table(spark, d, "benchmark").select(F.sha2("text", 256).alias("id")).distinct()
-    return ids.orderBy("id").withColumn("place", F.row_number().over(Window.orderBy("id")).cast("long"))
+    return running_total(ids, "id", F.lit(1).cast("long"), "place").orderBy("id")
 
 
 QUERIES = {f.__name__: f for f in (

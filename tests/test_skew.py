@@ -13,3 +13,17 @@ def test_salted_join_is_the_plain_join(spark):
     want = rows.join(keys.drop("n"), "k")
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
     assert skew.salted_join(rows, keys.limit(0), ["k"], "n", 0, ["v"]).isEmpty()
+
+
+def test_running_totals_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from marlstone.operators.ranges import running_total
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 13).alias("v")).repartition(8)
+    rows = {r.k: (r.v, r.t) for r in running_total(df, "k", F.col("v"), "t").collect()}
+    total = 0
+    for k in range(1000):
+        total += rows[k][0]
+        assert rows[k][1] == total
+    assert running_total(df.limit(0), "k", F.col("v"), "t").isEmpty()

@@ -70,17 +70,21 @@ class Codebook:
         """(rows, subspaces) codes that reduce the anisotropic loss coordinate by coordinate."""
         x = self.split(vectors)
         n, spaces, _ = x.shape
-        lam = (self.eta - 1) / np.maximum((x**2).sum((1, 2)), 1e-30)
+        squares = (x**2).sum(2)
+        lam = (self.eta - 1) / np.maximum(squares.sum(1), 1e-30)
         code = np.empty((n, spaces), np.uint8)
-        along = np.zeros((n, spaces))
+        along, total = np.zeros((n, spaces)), np.zeros(n)
         for sweep in range(sweeps + 1):
             for m in range(spaces):
-                rest = x[:, m, None, :] - self.centres[m][None]
-                square = (rest**2).sum(-1)
-                own = (rest * x[:, m, None, :]).sum(-1)
-                other = along.sum(1) - along[:, m] if sweep else np.zeros(n)
+                # of x - c: its product with x, and its square, from the products of x and c
+                product = x[:, m] @ self.centres[m].T
+                own = squares[:, m, None] - product
+                square = own - product + (self.centres[m] ** 2).sum(1)
+                other = total - along[:, m] if sweep else np.zeros(n)
                 code[:, m] = np.argmin(square + lam[:, None] * (other[:, None] + own) ** 2, axis=1)
-                along[:, m] = own[np.arange(n), code[:, m]]
+                chosen = own[np.arange(n), code[:, m]]
+                total += chosen - along[:, m]
+                along[:, m] = chosen
         return code
 
     @staticmethod

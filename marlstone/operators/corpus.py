@@ -3,7 +3,6 @@ and validation. Documents have doc_id, text, lang and source."""
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.functions.shingles import as_bytes, shingle_hashes, slices
 from marlstone.operators.components import connected_components
 from marlstone.operators.overlaps import intersections
 from marlstone.operators.skew import salted_join, total_of
@@ -47,13 +47,14 @@ def windows(text: str, limit: int = CHUNK, overlap: int = OVERLAP) -> list[tuple
     it has the full length. The next one starts `overlap` characters before the end."""
     if limit < 100 or not 0 <= overlap < limit // 2:
         raise ValueError("the limit must be 100 or more and the overlap under half of it")
-    places = [[i + 1 for i, c in enumerate(text) if c == mark] for mark in "\n "]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    places = [np.flatnonzero(codes == ord(mark)) + 1 for mark in "\n "]
 
     def end_of(start: int) -> int:
         full = start + limit
         if full >= len(text):
             return len(text)
-        last = (behind[k - 1] for behind in places if (k := bisect_right(behind, full)))
+        last = (int(behind[k - 1]) for behind in places if (k := np.searchsorted(behind, full, "right")))
         return next((end for end in last if end > start + limit // 2), full)
 
     spans: list[tuple[int, int]] = []
@@ -159,17 +160,51 @@ def grouped(docs: DataFrame, edges: DataFrame, seed: str = SEED, id_col: str = "
     return joined.withColumn("split", T.split_of(F.col("group_id").cast("string"), seed))
 
 
+def _run_hashes(width: int):
+    """(id, hashes of the distinct runs of `width` words) of (id, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = as_bytes(batch.column(1))
+            for a, b in slices(offsets, 1 << 20):
+                hashes, bounds = shingle_hashes(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))], names=["id", "h"])
+
+    return run
+
+
+def _sharing(width: int, wanted: np.ndarray):
+    """(id) of the texts (id, text) with a run whose hash is among the sorted ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in _run_hashes(width)(batches):
+            hashes = made.column(1).flatten().to_numpy()
+            at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+            hits = np.concatenate(([0], np.cumsum(wanted[at] == hashes)))
+            ends = made.column(1).offsets.to_numpy()
+            yield made.select(["id"]).filter(pa.array(hits[ends[1:]] > hits[ends[:-1]]))
+
+    return run
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, most_bytes: int = BROADCAST) -> DataFrame:
     """(doc_id, item_id, shared): benchmark items and documents with common runs of `width`
     words. The benchmark's runs are counted once each.
 
-    Where the benchmark's runs are measured to take at most `most_bytes`, they are sent to all
-    tasks and only runs of documents that hit one are shuffled; else both sides are shuffled.
+    Where the benchmark's runs are measured to take at most `most_bytes`, their hashes go to
+    all tasks, documents without any of them are left out where they are read, and the runs
+    themselves are compared for the others only. Else the runs of both sides are shuffled.
     """
     items = materialize(benchmark.select("item_id", F.explode(shingles(F.col("text"), width)).alias("s")), "benchmark-runs")
     size = items.agg(F.coalesce(F.sum(F.octet_length("s") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
-    runs = docs.select("doc_id", F.explode(shingles(F.col("text"), width)).alias("s"))
-    return runs.join(F.broadcast(items) if size <= most_bytes else items, "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    some = docs.select("doc_id", "text")
+    if 0 < size <= most_bytes:
+        id_type = docs.schema["doc_id"].dataType.simpleString()
+        found = items.select("item_id", F.col("s").alias("text")).mapInArrow(_run_hashes(width), f"id {benchmark.schema['item_id'].dataType.simpleString()}, h array<long>")
+        wanted = np.sort(found.select(F.explode("h").alias("h")).distinct().toPandas()["h"].to_numpy(np.int64))
+        near = some.mapInArrow(_sharing(width, wanted), f"id {id_type}").distinct()
+        hit = materialize(near.withColumn("_any", F.lit(True)), "near-documents")
+        some = some.join(hit, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        items = F.broadcast(items)
+    return some.select("doc_id", F.explode(shingles(F.col("text"), width)).alias("s")).join(items, "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 def violations(docs: DataFrame, made: DataFrame, groups: DataFrame, limit: int = CHUNK) -> DataFrame:

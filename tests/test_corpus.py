@@ -71,3 +71,22 @@ def test_stream_of_events(spark, sf_small, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("rapid_out").count() == rapid_windows(events, least=2).count() > 0
+
+
+@pytest.mark.parametrize("most_bytes", [corpus.BROADCAST, 0])
+def test_contamination_is_that_of_plain_loops(spark, most_bytes):
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefg") * rng.randint(1, 3)
+    items = {k: [word() for _ in range(rng.randint(0, 40))] for k in range(12)}
+    docs = [(None if k % 9 == 0 else k // 2, [word() for _ in range(rng.randint(0, 60))] + (items[k % 12][:rng.randint(0, 40)] if k % 3 == 0 else [])) for k in range(80)]
+    runs = lambda w: {tuple(w[i:i + 13]) for i in range(len(w) - 12)}
+    want = {}
+    for k, w in docs:
+        for j, v in items.items():
+            if n := len(runs(w) & runs(v)):
+                want[k, j] = want.get((k, j), 0) + n
+    d = spark.createDataFrame([(k, "  ".join(w)) for k, w in docs] + [(99, None), (98, "")], "doc_id long, text string")
+    b = spark.createDataFrame([(k, "\n".join(w)) for k, w in items.items()] + [(50, None)], "item_id int, text string")
+    got = {(r.doc_id, r.item_id): r.shared for r in corpus.contamination(d, b, most_bytes=most_bytes).collect()}
+    assert got == want and len(want) > 5
+    assert corpus.contamination(d, b.limit(0), most_bytes=most_bytes).isEmpty()

@@ -5,17 +5,18 @@ Guo et al., "Accelerating Large-Scale Inference with Anisotropic Vector Quantiza
 part of the residual that is parallel to the vector `eta` times the rest, as that part
 changes the large inner products; codes are found by coordinate descent and centres by
 the weighted least squares that the loss implies. A search adds up four-bit tables, two
-codes to a byte, and scores the best of each block again on the original vectors.
+codes to a byte, and scores on the original vectors, of each block, the best by their codes and
+then all others whose code and error leave room for a score that is as large: a block's result is
+exact, whatever its rows are.
 
 Rows are parted by the nearest of a few hundred coarse centres, and a query is sent to the
-parts whose centres have the largest inner product with it: as many as it takes, measured on
-the sample, for `PROBED` of the nearest rows to lie in them. Parts are packed into blocks of
+parts whose centres have the largest inner product with it: as many as it takes for `PROBED` of
+the nearest rows to lie in them, measured for up to `ASKED` queries by brute force over all rows. Parts are packed into blocks of
 bounded size, a large one into several, and queries in blocks meet the blocks of rows through
 an equi-join on the block's number.
 
-All rows are indexed. Only the centres and the number of parts to look into are fitted on a
-sample of at most `TRAIN_ROWS` rows, the first by a hash of the id. Equal rows of one id are
-one entry with a count.
+All rows are indexed. Only the centres are fitted on a sample of at most `TRAIN_ROWS` rows, the first by a hash of the id.
+Equal rows of one id are one entry with a count.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ TRAIN_ROWS, ROUNDS, SWEEPS, CENTRES, WIDTH = 20_000, 8, 2, 16, 2
 BLOCK, QUERIES = 16_384, 512
 #: Most parts, and the rows that a part has on the average where there are fewer of them.
 PARTS, PART_ROWS = 512, 4_096
-#: Share of the sample's nearest rows that must lie in the parts looked into, and the sample's rows that are asked.
+#: Share of the nearest rows that must lie in the parts looked into, and the queries that it is measured for.
 PROBED, ASKED = 0.99, 256
-#: One in so many rows of a block is scored again, per query, and `AGAIN` times the wanted number at least.
-RERANK, AGAIN = 16, 8
+#: So many times the wanted number of a block's different vectors are scored first, to find how large a score must be.
+AGAIN = 8
 #: What stands for a null id where ids are numbers; null comes after all ids.
 _NO_ID = np.iinfo(np.int64).max
 #: Share of the norm from which an inner product counts as large; sets eta.
@@ -60,6 +61,20 @@ class Codebook:
     dimension: int
     eta: float
 
+    @property
+    def unit(self) -> float:
+        """The largest part of a centre; four-byte tables hold products in units of it."""
+        return float(np.abs(self.centres).max()) or 1.0
+
+    def errors(self, vectors: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """For each vector a bound, in units of `unit`, of how far a scan with a query of norm 1 is off:
+        the norm of what the code leaves, and the rounding of four-byte sums."""
+        spaces = self.centres.shape[0]
+        coded = self.centres[np.arange(spaces)[None, :], code] / self.unit
+        with np.errstate(all="ignore"):
+            left = np.sqrt(((self.split(vectors) / self.unit - coded)**2).sum((1, 2)))
+            return left * (1 + 1e-9) + (spaces + 8) * 2.0**-23 * (np.sqrt((coded**2).sum((1, 2))) + left) + 1e-30
+
     def split(self, vectors: np.ndarray) -> np.ndarray:
         spaces = self.centres.shape[0]
         full = np.zeros((len(vectors), spaces * WIDTH))
@@ -133,18 +148,37 @@ def coarse_centres(vectors: np.ndarray, parts: int, rounds: int = 8, seed: int =
     return centres
 
 
-def probes(centres: np.ndarray, vectors: np.ndarray, top: int, share: float = PROBED) -> int:
+def probes(centres: np.ndarray, asked: np.ndarray, which: np.ndarray, parts: np.ndarray, share: float = PROBED) -> int:
     """In how many parts, by the inner product with the centre, a query has to look so that
-    they hold `share` of its nearest rows, measured on the first `ASKED` vectors."""
-    asked = vectors[:ASKED]
-    score = asked @ vectors.T
-    score[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
-    near = np.argsort(-score, axis=1, kind="stable")[:, :min(top, len(vectors) - 1)]
-    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1, kind="stable")
-    found = np.take_along_axis(place, nearest_centre(centres, vectors)[near], axis=1)
-    if not found.size:
+    they hold `share` of its nearest rows: `which` of the queries asked has one of them in which of the `parts`."""
+    if not len(which):
         return len(centres)
-    return int(np.searchsorted(np.cumsum(np.bincount(found.ravel(), minlength=len(centres))), share * found.size)) + 1
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1, kind="stable")
+    found = place[which, parts]
+    return int(np.searchsorted(np.cumsum(np.bincount(found, minlength=len(centres))), share * found.size)) + 1
+
+
+def _nearest_parts(asked: np.ndarray, numbers: np.ndarray, top: int):
+    """(which, score, part) of the nearest of a task's rows to each query asked, but its own."""
+    d = asked.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, part = np.zeros((len(asked), 0)), np.zeros((len(asked), 0), np.int32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            made = asked @ batch.column("v").flatten().to_numpy().reshape(-1, d).T
+            own = (batch.column("number").to_numpy() == numbers[:, None]) & (batch.column("copies").to_numpy() == 1)
+            made[own | np.isnan(made)] = -np.inf
+            score = np.concatenate([score, made], axis=1)
+            part = np.concatenate([part, np.broadcast_to(batch.column("part").to_numpy(), made.shape)], axis=1)
+            if score.shape[1] > top:
+                best = np.argpartition(-score, top - 1, axis=1)[:, :top]
+                score, part = np.take_along_axis(score, best, axis=1), np.take_along_axis(part, best, axis=1)
+        which, at = np.nonzero(score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(score[which, at]), pa.array(part[which, at])], names=["which", "score", "part"])
+
+    return run
 
 
 def pack_codes(code: np.ndarray) -> np.ndarray:
@@ -155,8 +189,8 @@ def pack_codes(code: np.ndarray) -> np.ndarray:
 
 
 def scan(book: Codebook, queries: np.ndarray, packed: np.ndarray) -> Iterator[np.ndarray]:
-    """Approximate inner products of each query with the packed rows."""
-    tables = np.einsum("nmw,mcw->nmc", book.split(queries), book.centres).astype(np.float32)
+    """Approximate inner products of each query with the packed rows, in units of `book.unit`."""
+    tables = np.einsum("nmw,mcw->nmc", book.split(queries), book.centres / book.unit).astype(np.float32)
     if tables.shape[1] % 2:
         tables = np.concatenate([tables, np.zeros_like(tables[:, :1])], axis=1)
     pairs = (tables[:, ::2, None, :] + tables[:, 1::2, :, None]).reshape(len(queries), -1, 256)
@@ -167,25 +201,34 @@ def scan(book: Codebook, queries: np.ndarray, packed: np.ndarray) -> Iterator[np
         yield total
 
 
-def best(book: Codebook, rows: tuple, packed: np.ndarray, queries: tuple, top: int, rerank: int) -> tuple[np.ndarray, ...]:
+def best(book: Codebook, rows: tuple, packed: np.ndarray, queries: tuple, top: int) -> tuple[np.ndarray, ...]:
     """(number of the query, vec_id, score, times) of the best rows of a block for each query,
-    `top` rows with their repeats at least. rows are (ids, counts, numbers, vectors, and the
-    place of their vector among the different ones), queries the first four. Different vectors
-    are ranked by their codes, so that many rows of one vector take one place; those that tie
-    with the last one to be scored again are all scored. The row equal to a query (of its
-    number) counts once less: that is the query's own."""
-    ids, counts, numbers, vectors, which = rows
+    `top` rows with their repeats at least. rows are (ids, counts, numbers, vectors, the
+    place of their vector among the different ones, and the errors of those), queries the first four.
+    Different vectors are ranked by their codes. The first ones are scored, those that tie with the
+    last of them too; then all whose upper bound reaches the score that is needed by then, so
+    that none of the best is left out. The row equal to a query (of its number) counts once
+    less: that is the query's own."""
+    ids, counts, numbers, vectors, which, errors = rows
     out = []
-    again = max(AGAIN * top, packed.shape[1] // rerank) + 1
-    for number, query, rough in zip(queries[2], queries[3], scan(book, queries[3], packed), strict=True):
-        some = np.arange(len(ids))
-        if len(rough) > again:
-            some = np.flatnonzero((rough >= np.partition(rough, len(rough) - again)[len(rough) - again])[which])
-        times = counts[some] - (numbers[some] == number)
-        some, times = some[times > 0], times[times > 0]
-        score = (vectors[some] * query).sum(axis=1)
-        first = np.lexsort((ids[some], -score))[:top]
-        out.append((np.full(len(first), number), ids[some][first], score[first], times[first]))
+    again = AGAIN * top + 1
+    with np.errstate(all="ignore"):  # of what overflows nothing is known, so it is scored
+        sizes = np.sqrt((queries[3]**2).sum(axis=1))
+        for number, query, size, rough in zip(queries[2], queries[3], sizes, scan(book, queries[3] / sizes[:, None], packed), strict=True):
+            some = np.arange(len(ids))
+            times = counts - (numbers == number)
+            if len(rough) > again:
+                first = rough >= np.partition(rough, len(rough) - again)[len(rough) - again]
+                known = np.flatnonzero(first[which] & (times > 0))
+                score = (vectors[known] * query).sum(axis=1)
+                order = np.argsort(-score)
+                enough = np.searchsorted(np.cumsum(times[known][order]), top)
+                if enough < len(order):
+                    some = np.flatnonzero((first | ~(rough + errors < score[order[enough]] / size / book.unit))[which])
+            some = some[times[some] > 0]
+            score = (vectors[some] * query).sum(axis=1)
+            order = np.lexsort((ids[some], -score))[:top]
+            out.append((np.full(len(order), number), ids[some][order], score[order], times[some][order]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -210,20 +253,21 @@ def _pack(book: Codebook | None):
         order = np.lexsort((number, ids))
         vectors = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
         vectors = np.ascontiguousarray(vectors, np.float64)
-        code, which = b"", np.zeros(0, np.int64)
+        code, which, errors = b"", np.zeros(0, np.int64), np.zeros(0)
         if book:
             _, first, which = np.unique(vectors.view(f"V{vectors.strides[0]}").ravel(), return_index=True, return_inverse=True)
-            code = pack_codes(book.codes(vectors[first])).tobytes()
-        data = [ids[order], table.column("copies").to_numpy()[order], number[order], vectors, which.astype(np.int64)]
+            codes = book.codes(vectors[first])
+            code, errors = pack_codes(codes).tobytes(), book.errors(vectors[first], codes)
+        data = [ids[order], table.column("copies").to_numpy()[order], number[order], vectors, which.astype(np.int64), errors]
         made = {"block": table.column("block")[:1]}
-        made |= {name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("ids", "copies", "numbers", "vectors", "which"), data, strict=True)}
+        made |= {name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("ids", "copies", "numbers", "vectors", "which", "errors"), data, strict=True)}
         return pa.table(made | {"codes": pa.array([code], pa.binary())})
 
     return run
 
 
 def search(embeddings: DataFrame, queries: DataFrame, top: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding",
-           rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
+           block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` its `top` nearest rows of
     `embeddings` by inner product, nearest first, ties to the smaller vec_id, null last.
 
@@ -238,13 +282,13 @@ def search(embeddings: DataFrame, queries: DataFrame, top: int = TOP, id_col: st
     asked = materialize(usable(queries, id_col, vector_col).withColumn("number", _number("vec_id", "v")), "queries")
     found = None
     for row in asked.groupBy(F.size("v").alias("d")).count().orderBy("d").collect():  # one row a dimension
-        one = _search(rows.filter(F.size("v") == row["d"]), asked.filter(F.size("v") == row["d"]), row["d"], row["count"], top, rerank, block)
+        one = _search(rows.filter(F.size("v") == row["d"]), asked.filter(F.size("v") == row["d"]), row["d"], row["count"], top, block)
         if one is not None:
             found = one if found is None else found.unionByName(one)
     return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
 
 
-def _search(rows: DataFrame, asked: DataFrame, d: int, n_asked: int, top: int, rerank: int, block: int) -> DataFrame | None:
+def _search(rows: DataFrame, asked: DataFrame, d: int, n_asked: int, top: int, block: int) -> DataFrame | None:
     count = rows.count()
     # hashes under a bound first, about twice the sample's size, so that no task sends more than its share
     hashed = rows.select("v", F.xxhash64("vec_id", "number").alias("h"))
@@ -255,7 +299,6 @@ def _search(rows: DataFrame, asked: DataFrame, d: int, n_asked: int, top: int, r
     known = np.stack(sample["v"].to_list())
     book = Codebook.fit(np.unique(known, axis=0))
     centres = coarse_centres(known, int(np.clip(count // PART_ROWS, 1, PARTS)))
-    looked = probes(centres, known, top)
 
     def part(many: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,6 +312,13 @@ def _search(rows: DataFrame, asked: DataFrame, d: int, n_asked: int, top: int, r
 
     columns = "vec_id long, v array<double>, copies long, number long, parts array<int>"
     parted = materialize(rows.select("vec_id", "v", "copies", "number").mapInArrow(part(1), columns).withColumn("part", F.col("parts")[0]).drop("parts"), "parted")
+    looked = 1
+    if len(centres) > 1:
+        queries = asked.select("v", "number", F.xxhash64("number").alias("h")).orderBy("h", "number").limit(ASKED).select("v", "number").toPandas()
+        asking = np.stack(queries["v"].to_list())
+        near = parted.select("v", "copies", "number", "part").mapInArrow(_nearest_parts(asking, queries["number"].to_numpy(), top), "which int, score double, part int")
+        near = near.withColumn("_place", F.row_number().over(Window.partitionBy("which").orderBy(F.desc("score")))).filter(F.col("_place") <= top).select("which", "part").toPandas()
+        looked = probes(centres, asking, near["which"].to_numpy(), near["part"].to_numpy())
     sizes = parted.groupBy("part").count().collect()  # a row a part, `PARTS` at most
     pieces, first = [], 0
     for row in sizes:
@@ -276,7 +326,7 @@ def _search(rows: DataFrame, asked: DataFrame, d: int, n_asked: int, top: int, r
         pieces.append((row["part"], first, n))
         first += n
     pieces = F.broadcast(rows.sparkSession.createDataFrame(pieces, "part int, first long, pieces long"))
-    schema = "block long, ids binary, copies binary, numbers binary, vectors binary, which binary, codes binary"
+    schema = "block long, ids binary, copies binary, numbers binary, vectors binary, which binary, errors binary, codes binary"
     placed = parted.join(pieces, "part").withColumn("block", F.col("first") + F.pmod(F.xxhash64("number"), F.col("pieces"))).select("vec_id", "v", "copies", "number", "block")
     index = materialize(placed.groupBy("block").applyInArrow(_pack(book), schema), "index")
     discard(parted)
@@ -290,13 +340,13 @@ def _search(rows: DataFrame, asked: DataFrame, d: int, n_asked: int, top: int, r
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, copies, numbers, vectors, which, codes, asked, queries = (batch.column(c)[i].as_buffer() for c in names)
-                block = (*(np.frombuffer(x, np.int64) for x in (ids, copies, numbers)), np.frombuffer(vectors).reshape(-1, d), np.frombuffer(which, np.int64))
+                ids, copies, numbers, vectors, which, errors, codes, asked, queries = (batch.column(c)[i].as_buffer() for c in names)
+                block = (*(np.frombuffer(x, np.int64) for x in (ids, copies, numbers)), np.frombuffer(vectors).reshape(-1, d), np.frombuffer(which, np.int64), np.frombuffer(errors))
                 found = best(book, block, np.frombuffer(codes, np.uint8).reshape(-1, int(block[4].max()) + 1),
-                             (None, None, np.frombuffer(asked, np.int64), np.frombuffer(queries).reshape(-1, d)), top, rerank)
+                             (None, None, np.frombuffer(asked, np.int64), np.frombuffer(queries).reshape(-1, d)), top)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["number", "vec_id", "score", "times"])
 
-    names = ("ids", "copies", "numbers", "vectors", "which", "codes", "asked", "queries")
+    names = ("ids", "copies", "numbers", "vectors", "which", "errors", "codes", "asked", "queries")
     near = index.join(sent, "block").select(*names).mapInArrow(run, "number long, vec_id long, score double, times long")
     order = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     near = near.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= top)

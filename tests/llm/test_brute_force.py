@@ -251,3 +251,33 @@ def test_near_copies_without_ids_meet_once(spark):
     out = jaccard_join.jaccard_join(spark.createDataFrame(rows, DOCS)).collect()
     assert {(r.class_id, r.n_texts, r.class_size) for r in out} == {(7, 300, 500)}
     assert Counter(r.n_links for r in out) == {499: 500}
+
+
+def test_search_finds_the_nearest_in_tight_clusters_and_among_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    clusters = rng.normal(size=(4, 16))[rng.integers(0, 4, 10_000)] + 0.02 * rng.normal(size=(10_000, 16))
+    long = rng.normal(size=(10_000, 16)) * (rng.pareto(1.2, 10_000) + 0.1)[:, None]
+    for vectors in (clusters, long):
+        table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        found = defaultdict(set)
+        for r in anisotropic.search(table, table.filter("vec_id % 100 = 0")).collect():
+            found[r.query_id].add(r.vec_id)
+        score = vectors[::100] @ vectors.T
+        score[np.arange(100), np.arange(0, 10_000, 100)] = -np.inf
+        near = np.argsort(-score, axis=1)[:, :20]
+        assert sum(len(found[100 * k] & set(row.tolist())) for k, row in enumerate(near)) / 2000 >= 0.97
+
+
+def test_a_block_gives_its_best_rows_whatever_their_codes(spark):
+    rng = np.random.default_rng(9)
+    for vectors in (rng.normal(size=(3, 8))[rng.integers(0, 3, 3000)] + 1e-3 * rng.normal(size=(3000, 8)), 1e-30 * rng.normal(size=(3000, 8)), 1e180 * rng.normal(size=(3000, 8))):
+        book = anisotropic.Codebook.fit(vectors[:500] / np.abs(vectors).max())
+        book.centres *= np.abs(vectors).max()
+        code, ids = book.codes(vectors), np.arange(3000)
+        rows = (ids, np.ones(3000, np.int64), ids, vectors, ids, book.errors(vectors, code))
+        made = anisotropic.best(book, rows, anisotropic.pack_codes(code), (None, None, ids[:20], vectors[:20]), 20)
+        with np.errstate(all="ignore"):
+            score = (vectors[None, :20].transpose(1, 0, 2) * vectors[None]).sum(2)
+        for q in range(20):
+            want = [i for i in np.lexsort((ids, -score[q])).tolist() if i != q][:20]
+            assert made[1][made[0] == q].tolist() == want

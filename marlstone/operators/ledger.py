@@ -53,10 +53,10 @@ def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 
 def convert_latest(amounts: DataFrame, rates: DataFrame, pair: Sequence[str], at: str, amount: str, rate: str, scale: int = 1_000_000) -> DataFrame:
     """`amounts` with rate_used and converted_minor by the newest rate of the pair; the
-    product is divided by the scale towards zero. No rate gives nulls."""
+    product, which may be larger than a long, is divided by the scale towards zero. No rate gives nulls."""
     newest = rates.groupBy(*pair).agg(F.max_by(rate, at).alias("rate_used"))
     out = amounts.join(newest, list(pair), "left")
-    return out.withColumn("converted_minor", F.expr(f"({amount} * rate_used) div {scale}"))
+    return out.withColumn("converted_minor", F.expr(f"(cast({amount} as decimal(19,0)) * cast(rate_used as decimal(19,0))) div {scale}"))
 
 
 def linked_totals(items: DataFrame, links: DataFrame, key: str, amount: Column) -> DataFrame:

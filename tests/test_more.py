@@ -2,6 +2,7 @@ import sqlite3
 
 from pyspark.sql import functions as F
 
+from marlstone.operators import ledger
 from marlstone.operators import corpus, manifest
 from marlstone.plans.execute import Result, sample
 from marlstone.sources import catalog, web
@@ -53,3 +54,10 @@ def test_metadata_and_rollup(spark):
 def test_sample():
     kept, note = sample(Result(["a"], [[1], [2], [3]], 5, False), 2)
     assert kept.rows == [[1], [2]] and kept.truncated and note.startswith("2 of 3 kept rows; the original result was not truncated")
+
+
+def test_a_conversion_whose_product_is_larger_than_a_long(spark):
+    amounts = spark.createDataFrame([("a", 14_621_730_071_160), ("b", -(1 << 62)), ("c", None), ("d", -1)], "pair string, amount long")
+    rates = spark.createDataFrame([("a", 1, 1), ("a", 2, 990_338), ("b", 1, 999_999), ("d", 1, 999_999)], "pair string, at int, rate long")
+    got = {r.pair: r.converted_minor for r in ledger.convert_latest(amounts, rates, ["pair"], "at", "amount", "rate").collect()}
+    assert got == {"a": 14_621_730_071_160 * 990_338 // 1_000_000, "b": -((1 << 62) * 999_999 // 1_000_000), "c": None, "d": 0}

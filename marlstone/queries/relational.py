@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.operators import dml, ledger, manifest
+from marlstone.operators.ranges import percentiles as percentiles_of
 from marlstone.operators.ranges import running_total
 from marlstone.session import table
 
@@ -78,8 +79,8 @@ def grouping_sets_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles of prices by flag."""
-    q = lambda p: F.round(F.percentile("l_extendedprice", p), 6)
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(q(0.25).alias("q25"), F.round(F.median("l_extendedprice"), 6).alias("q50"), q(0.9).alias("q90"))
+    found = percentiles_of(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", {"q25": 0.25, "q50": 0.5, "q90": 0.9})
+    return found.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q90")])
 
 
 def approx_distinct(spark: SparkSession, d: str) -> DataFrame:

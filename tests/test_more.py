@@ -3,9 +3,10 @@ import sqlite3
 import duckdb
 from pyspark.sql import functions as F
 
-from marlstone.operators import corpus, ledger, manifest
+from marlstone.operators import corpus, ledger, manifest, ranges
 from marlstone.plans.execute import Result, sample
 from marlstone.queries import corpus as corpus_queries
+from marlstone.queries import relational
 from marlstone.sources import catalog, web
 
 
@@ -73,3 +74,17 @@ def test_page_titles_equals_its_sql_whatever_the_title(spark, tmp_path):
     db.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     want = db.execute(corpus_queries.ORACLE_SQL["page_titles"]).fetchall()
     assert sorted(tuple(r) for r in corpus_queries.QUERIES["page_titles"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_percentiles_over_ranges_equal_sql_and_hold_no_group(spark, sf_small):
+    rows = [("a", float(k * k % 37)) for k in range(200)] + [("b", 5.0)] * 9 + [("b", None), ("c", None), (None, 2.0), (None, 3.0), ("d", -1.5)]
+    table = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    got = sorted((tuple(r) for r in ranges.percentiles(table, "g", "x", {"p": 0.25, "q": 0.9, "r": 1.0}).collect()), key=str)
+    db = duckdb.connect()
+    db.execute("create table t (g varchar, x double)")
+    db.executemany("insert into t values (?, ?)", rows)
+    want = sorted(db.execute("select g, quantile_cont(x, 0.25), quantile_cont(x, 0.9), quantile_cont(x, 1.0) from t group by 1").fetchall(), key=str)
+    assert [r[0] for r in got] == [r[0] for r in want]
+    assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for g, w in zip(got, want, strict=True) for a, b in zip(g[1:], w[1:], strict=True))
+    plan = relational.QUERIES["percentiles"](spark, sf_small)._jdf.queryExecution().toString()
+    assert "percentile(" not in plan and "median(" not in plan

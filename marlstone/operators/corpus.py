@@ -135,16 +135,22 @@ def _similar(threshold: float):
 def near_pairs(docs: DataFrame, threshold: float = NEAR, id_col: str = "id", bands: int = BANDS, least: int = LEAST_SKETCH) -> DataFrame:
     """(a, b, sampled_jaccard) of texts whose sketches are similar, a > b.
 
-    Candidates share one of the `bands` smallest hashes. `docs` should hold each text once,
-    as `exact_documents` gives it, so that copies do not meet here. The texts of one hash are
+    Candidates share one of the `bands` smallest hashes. Rows of one id are copies of one text
+    and count once; texts are sketched where they are read, and only sketches move, 8 bytes a
+    hash. Of hashes that the same texts hold (two 64-bit sums over their ids) one is compared,
+    as the others have the same pairs. The texts of one hash are
     cut into blocks of about `BLOCK`, and pairs of blocks are compared each in a task of
     bounded size, however many texts share a hash; only similar pairs come back.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    sketched = materialize(docs.select(F.col(id_col).alias("id"), sketch(F.col("text")).alias("sig")).filter(F.size("sig") >= least), "sketches")
-    spread = sketched.select("id", F.explode(F.slice("sig", 1, bands)).alias("h"))
-    shared = materialize(spread.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "shared-hashes")
-    held = salted_join(spread, shared, ["h"], "n", total_of(shared, "n"), ["id"]).join(sketched.select("id", F.unhex(F.array_join("sig", "")).alias("sig")), "id")
+    sketched = docs.select(F.col(id_col).alias("id"), sketch(F.col("text")).alias("sig")).filter(F.size("sig") >= least)
+    sketched = materialize(sketched.select("id", F.unhex(F.array_join("sig", "")).alias("sig")).dropDuplicates(["id"]), "sketches")
+    band = F.sequence(F.lit(0), F.least(F.lit(bands), (F.octet_length("sig") / 8).cast("int")) - 1)
+    spread = sketched.filter(F.octet_length("sig") > 0).select("id", F.explode(F.transform(band, lambda i: F.substring(F.col("sig"), 8 * i + 1, F.lit(8)))).alias("h"))
+    holders = spread.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("two")).filter("n > 1")
+    shared = holders.groupBy("n", "one", "two").agg(F.min("h").alias("h")).select("h", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    shared = materialize(shared, "shared-hashes")
+    held = salted_join(spread, shared, ["h"], "n", total_of(shared, "n"), ["id"]).join(sketched, "id")
     dealt = (held.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")))
     found = dealt.select("h", "lo", "hi", "own", "id", "sig").groupBy("h", "lo", "hi").applyInArrow(_similar(threshold), f"x {id_type}, y {id_type}, both int, all int").distinct()

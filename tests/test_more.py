@@ -88,3 +88,15 @@ def test_percentiles_over_ranges_equal_sql_and_hold_no_group(spark, sf_small):
     assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for g, w in zip(got, want, strict=True) for a, b in zip(g[1:], w[1:], strict=True))
     plan = relational.QUERIES["percentiles"](spark, sf_small)._jdf.queryExecution().toString()
     assert "percentile(" not in plan and "median(" not in plan
+
+
+def test_near_pairs_takes_copies_and_hashes_of_the_same_texts_once(spark):
+    words = [f"w{k}" for k in range(120)]
+    texts = [(f"t{k}", " ".join([*words[:100 - k], *(f"x{k}-{i}" for i in range(k))])) for k in range(6)] + [("far", " ".join(f"y{i}" for i in range(100)))]
+    once = spark.createDataFrame(texts, "id string, text string")
+    wanted = {(r.a, r.b): r.sampled_jaccard for r in corpus.near_pairs(once, 0.6).collect()}
+    sets = {name: {" ".join(t.split()[i:i + 5]) for i in range(96)} for name, t in texts}
+    assert wanted == {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 4) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    assert wanted and {(r.a, r.b): r.sampled_jaccard for r in corpus.near_pairs(once.union(once).union(once), 0.6).collect()} == wanted
+    plan = corpus_queries.QUERIES["near_dup_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "text" not in plan

@@ -15,6 +15,7 @@ Only lengths move in shuffles; ids stay where they were made.
 
 from __future__ import annotations
 
+import os
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -150,8 +151,12 @@ def _word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 # Letters that lower-case and compose one by one and keep their number of bytes, and the
 # ASCII punctuation but for the apostrophe, which the tokenizer's pattern treats apart.
 _EASY = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f!-&(-/:-@\[-`{-~]+")
+
+
 @lru_cache(maxsize=1)
 def _coder(path: str | None) -> WordCoder:
+    # a task has one core: the library's threads cost more time than they save
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path is None:
         import public_tokenizers
 

@@ -1,8 +1,10 @@
+import os
 import sqlite3
 
 import duckdb
 from pyspark.sql import functions as F
 
+from marlstone.llm import packing
 from marlstone.operators import corpus, ledger, manifest, ranges
 from marlstone.plans.execute import Result, sample
 from marlstone.queries import corpus as corpus_queries
@@ -100,3 +102,11 @@ def test_near_pairs_takes_copies_and_hashes_of_the_same_texts_once(spark):
     assert wanted and {(r.a, r.b): r.sampled_jaccard for r in corpus.near_pairs(once.union(once).union(once), 0.6).collect()} == wanted
     plan = corpus_queries.QUERIES["near_dup_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "text" not in plan
+
+
+def test_packing_encodes_on_the_tasks_own_core(monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    packing._coder.cache_clear()
+    packing._coder(None)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    packing._coder.cache_clear()

@@ -5,13 +5,17 @@ each is compared with the page before and the page after it on its host: lines o
 longest common subsequence of the two are shared, hence of the template, and are deleted.
 A neighbour that shares nearly all of a page is a copy and says nothing about templates.
 
-Where a page declares its article (an article or main element), lines inside it are not
-deleted, as articles do repeat each other, and an exact check on the markup follows:
-lines outside the article, and lines in elements that are declared to be something else
-(navigation, forms, adverts, comments and so on), go even if no neighbour shares them.
-
-Only hashes of lines move in the search for neighbours. A host's pages are dealt out by
-range of path, so that a large host is spread over many tasks.
+Every page is differenced, and an exact check on the markup follows. Lines in elements that
+are declared to be something else (navigation, forms, adverts, comments and so on) go even
+if no neighbour shares them; so do lines outside the article (an article or main element),
+where a page declares one. As articles do quote each other, an article that differencing
+leaves a line of gets its shared lines back; one that it leaves nothing of is repeated from
+page to page (a teaser, a notice) and stays deleted, unless such are half of the articles'
+characters or more, as the text itself is then a copy.
+
+Only hashes of lines move in the search for neighbours, and only the texts that lose a line
+meet the result. A host's pages are dealt out by range of path, so that a large host is
+spread over many tasks.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from math import isqrt
 
 import pyarrow as pa
 import xxhash
@@ -32,6 +37,8 @@ from marlstone.plans.materialize import materialize
 
 #: Share of a page's characters from which a neighbour that shares them is a copy.
 COPY = 0.9
+#: Rows of 64 bits in the table that tells which pages lose no line; it is sent to all tasks.
+WORDS = 1 << 17
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
@@ -92,10 +99,17 @@ def _closed(html: str, at: int, name: str, depth: int) -> bool:
 def page_lines(html: str) -> list[tuple[str, int]]:
     """(text, kind) of every block with text, in page order. White space within a block is
     one space; character references are decoded; script, style and the like are left out."""
-    out: list[tuple[str, int]] = []
+    return [(text, kind) for text, kind, _ in page_articles(html)]
+
+
+def page_articles(html: str) -> list[tuple[str, int, int]]:
+    """The lines of a page with the number of the outermost article element that each is in,
+    from 1; 0 outside of them, so also in a main element."""
+    out: list[tuple[str, int, int]] = []
     pieces: list[str] = []
     kind = PLAIN
     inside = 0  # open article or main elements
+    number, articles, article = 0, 0, 0  # articles so far, open ones, and the one that lines are in
     closing, depth = "", 0  # the declared element that is open, and how often its name nests
     within, holds = 0, None  # articles in the declared element, and whether it does hold them
     at, size = 0, len(html)
@@ -103,7 +117,7 @@ def page_lines(html: str) -> list[tuple[str, int]]:
     def close() -> None:
         text = " ".join(unescape("".join(pieces)).split())
         if text:
-            out.append((text, kind))
+            out.append((text, kind, article))
         pieces.clear()
 
     while at < size:
@@ -137,6 +151,7 @@ def page_lines(html: str) -> list[tuple[str, int]]:
                 within -= 1
             elif end:
                 inside = max(0, inside - 1)
+                articles = min(inside, max(0, articles - (name == "article")))
             elif closing == name and holds:
                 depth += 1
             elif closing and holds:
@@ -145,6 +160,8 @@ def page_lines(html: str) -> list[tuple[str, int]]:
                 closing, depth, within, holds = name, 1, 0, None
             else:
                 inside += 1
+                number += name == "article" and not articles
+                articles += name == "article"
                 closing = ""  # an article ends whatever was left open before it
         elif closing:
             if name == closing:
@@ -159,6 +176,7 @@ def page_lines(html: str) -> list[tuple[str, int]]:
         if now != kind:
             close()
             kind = now
+        article = number if articles else 0
     close()
     return out
 
@@ -180,40 +198,52 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     for i, v in enumerate(x):
         masks[v] = masks.get(v, 0) | 1 << i
     full = (1 << len(x)) - 1
-    rows, row = [full], full
-    for v in y:
-        hit = row & masks[v]
-        row = ((row + hit) | (row - hit)) & full
-        rows.append(row)
+
+    def rows_from(row: int, values: list[int]) -> Iterator[int]:
+        yield row
+        for v in values:
+            hit = row & masks[v]
+            row = ((row + hit) | (row - hit)) & full
+            yield row
+
+    # one row of each `step` is kept, and those between are made again on the way back
+    step = isqrt(len(y)) + 1
+    kept = [row for j, row in enumerate(rows_from(full, y)) if j % step == 0]
     picked = []
     i, j = len(x), len(y)
+    base, rows = len(y) + 1, []
     while i and j:
+        if j - 1 < base:
+            base = (j - 1) // step * step
+            rows = list(rows_from(kept[base // step], y[base:base + step]))
         if x[i - 1] == y[j - 1]:
             picked.append(head + places[i - 1])
             i, j = i - 1, j - 1
         else:  # zeros among the lowest bits of a row count the length so far
-            up = i - (rows[j - 1] & ((1 << i) - 1)).bit_count()
-            left = i - 1 - (rows[j] & ((1 << (i - 1)) - 1)).bit_count()
+            up = i - (rows[j - 1 - base] & ((1 << i) - 1)).bit_count()
+            left = i - 1 - (rows[j - base] & ((1 << (i - 1)) - 1)).bit_count()
             i, j = (i, j - 1) if up >= left else (i - 1, j)
     return [*range(head), *reversed(picked), *range(len(a) - tail, len(a))]
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of each page: hash and size of all, and the texts of those that may be the
-    page's text: those of its article, if it declares one, else the plain ones with their positions."""
+    """The lines of each page: hash and size of all, and the texts and positions of those that
+    the check on the markup lets through: those of its articles with the articles' numbers, if
+    it declares any, else the plain ones."""
     for batch in batches:
-        hashes, sizes, bodies, places = [], [], [], []
+        hashes, sizes, bodies, places, articles = [], [], [], [], []
         for html in batch.column("html").to_pylist():
-            found = page_lines(html or "")
-            wanted = ARTICLE if any(kind == ARTICLE for _, kind in found) else PLAIN
-            hashes.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in found])
-            sizes.append([len(t) for t, _ in found])
-            bodies.append("\n".join(t for t, kind in found if kind == wanted))
-            places.append([k for k, (_, kind) in enumerate(found) if kind == wanted] if wanted == PLAIN else None)
+            found = page_articles(html or "")
+            wanted = ARTICLE if any(kind == ARTICLE for _, kind, _ in found) else PLAIN
+            hashes.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _, _ in found])
+            sizes.append([len(t) for t, _, _ in found])
+            bodies.append("\n".join(t for t, kind, _ in found if kind == wanted))
+            places.append([k for k, (_, kind, _) in enumerate(found) if kind == wanted])
+            articles.append([article for _, kind, article in found if kind == wanted] if wanted == ARTICLE else None)
         yield pa.RecordBatch.from_arrays([
             *[batch.column(c) for c in ("page_id", "url", "key", "host", "path")], pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())),
-            pa.array(bodies, pa.string()), pa.array(places, pa.list_(pa.int32()))],
-            names=["page_id", "url", "key", "host", "path", "lines", "sizes", "body", "places"])
+            pa.array(bodies, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(articles, pa.list_(pa.int32()))],
+            names=["page_id", "url", "key", "host", "path", "lines", "sizes", "body", "places", "articles"])
 
 
 def _shared(copy: float):
@@ -231,6 +261,36 @@ def _shared(copy: float):
     return run
 
 
+def lines_lost(places: list[int], articles: list[int] | None, sizes: list[int], shared: set[int]) -> list[int]:
+    """Which of a text's lines, at `places` of the page, stay deleted if differencing deletes
+    those at `shared`. Articles that it leaves a line of are restored, and all lines if the
+    other articles hold as many characters: then a neighbour repeats the page's text itself."""
+    if articles is None:
+        return [k for k, place in enumerate(places) if place in shared]
+    own = {article for place, article in zip(places, articles, strict=True) if article and place not in shared}
+    kept = repeated = 0
+    for place, article in zip(places, articles, strict=True):
+        if article in own:
+            kept += sizes[place]
+        elif article:
+            repeated += sizes[place]
+    return [k for k, place in enumerate(places) if place in shared and articles[k] not in own] if kept > repeated else []
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages that differencing deletes lines of, by the check on their markup."""
+    for batch in batches:
+        keys, gone, counts = [], [], []
+        columns = [batch.column(c).to_pylist() for c in ("key", "places", "articles", "sizes", "at")]
+        for key, places, articles, sizes, at in zip(*columns, strict=True):
+            lost = lines_lost(places, articles, sizes, set(at))
+            if lost or articles is None:
+                keys.append(key)
+                gone.append(lost)
+                counts.append(len(at) if articles is None else len(lost))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32())), pa.array(counts, pa.int32())], names=["key", "gone", "n_shared"])
+
+
 def neighbours(keys: DataFrame) -> DataFrame:
     """(key, near): the keys of the rows before and after each in the order of (host, path,
     key), of the same host. Rows are sorted in ranges; the ends of the ranges are joined
@@ -250,7 +310,8 @@ def neighbours(keys: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", copy: float = COPY) -> DataFrame:
     """One row per input row: page_id, url, text, n_chars, n_shared (lines that differencing
-    deletes because a neighbour shares them; 0 where an article is declared).
+    deletes because a neighbour shares them; where an article is declared, those of its
+    articles that the check does not give back).
 
     Null html gives an empty text. A null url has an empty host; such pages are compared
     with each other. Repeated rows get equal results. Of neighbours with equal paths the
@@ -260,26 +321,33 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     named = named.withColumns({"key": F.xxhash64("page_id", "url", "html"), "host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     id_type = named.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {id_type}, url string, key long, host string, path string, lines array<long>, sizes array<int>, body string, places array<int>"
+    schema = (f"page_id {id_type}, url string, key long, host string, path string, lines array<long>, sizes array<int>, "
+              "body string, places array<int>, articles array<int>")
     # every page is parsed once; its markup is not read or moved again
     parsed = materialize(named.mapInArrow(_parsed, schema), "pages")
-    declared = parsed.filter("places is null").select("page_id", "url", F.col("body").alias("text"), F.lit(0).alias("n_shared"))
     # pages with equal lines are one page here, so that each meets the nearest different ones
-    lines = parsed.withColumn("open", F.col("places").isNotNull()).select("key", "host", "path", "lines", "sizes", "open").withColumn("same", F.xxhash64("lines", "open"))
-    heads = lines.groupBy("host", "same").agg(F.min(F.struct("path", "key")).alias("head"), F.count("*").alias("n"), F.first("open").alias("open"))
-    heads = materialize(heads.select("host", "same", "n", "open", "head.path", "head.key"), "heads")
-    near = neighbours(heads).join(heads.filter("open").select("key"), "key", "left_semi")
-    other = lines.dropDuplicates(["key"]).select(F.col("key").alias("near"), F.col("lines").alias("other"))
-    own = lines.filter("open").dropDuplicates(["key"]).select("key", "lines", "sizes")
-    pairs = near.join(other, "near").join(own, "key").select("key", "lines", "sizes", "other")
+    lines = parsed.withColumn("same", F.xxhash64("lines"))
+    heads = lines.groupBy("host", "same").agg(F.min(F.struct("path", "key")).alias("head"), F.count("*").alias("n"))
+    heads = materialize(heads.select("host", "same", "n", "head.path", "head.key"), "heads")
+    own = lines.dropDuplicates(["key"]).select("key", "lines", "sizes")
+    other = own.select(F.col("key").alias("near"), F.col("lines").alias("other"))
+    pairs = neighbours(heads).join(other, "near").join(own, "key").select("key", "lines", "sizes", "other")
     shared = pairs.mapInArrow(_shared(copy), "key long, at array<int>").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
     found = materialize(heads.join(shared, "key").select("host", "same", "n", "at"), "shared")
-    shared = salted_join(lines.filter("open").select("key", "host", "same"), found, ["host", "same"], "n", total_of(found, "n"), ["key"]).select("key", "at").dropDuplicates(["key"])
-    joined = parsed.filter("places is not null").select("page_id", "url", "key", "body", "places").join(shared, "key", "left")
-    left = F.filter(F.split("body", "\n"), lambda line, i: ~F.array_contains("at", F.get("places", i)))
-    text = F.when((F.size("places") > 0) & F.col("at").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("body"))
-    gone = F.coalesce(F.size("at"), F.lit(0))
-    every = declared.unionByName(joined.select("page_id", "url", text.alias("text"), gone.alias("n_shared")))
+    met = salted_join(lines.select("key", "host", "same", "places", "articles", "sizes"), found, ["host", "same"], "n", total_of(found, "n"), ["key"])
+    lost = met.select("key", "places", "articles", "sizes", "at").mapInArrow(_checked, "key long, gone array<int>, n_shared int")
+    lost = materialize(lost.dropDuplicates(["key"]), "lost")
+    # texts whose bit is not set lose nothing and stay where they are
+    word, bit = F.expr(f"pmod(key, {WORDS})"), F.expr(f"shiftleft(1L, cast(pmod(key div {WORDS}, 64) as int))")
+    bits = lost.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    texts = parsed.select("page_id", "url", "key", "body", word.alias("word")).join(F.broadcast(bits), "word", "left")
+    may = F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))
+    whole = texts.filter(~may).select("page_id", "url", F.col("body").alias("text"), F.lit(0).alias("n_shared"))
+    joined = texts.filter(may).select("page_id", "url", "key", "body").join(lost, "key", "left")
+    body = F.split("body", "\n")
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(body) - 1), "gone"), lambda k: F.get(body, k))
+    text = F.when(F.size("gone") > 0, F.array_join(left, "\n")).otherwise(F.col("body"))
+    every = whole.unionByName(joined.select("page_id", "url", text.alias("text"), F.coalesce("n_shared", F.lit(0)).alias("n_shared")))
     return every.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared")
 
 

@@ -1,6 +1,7 @@
 """Places where an operator once did less than the whole job, with the production defaults."""
 
 import random
+import tracemalloc
 
 from marlstone.llm import jaccard_join, line_dedup, page_diff, substring_dedup, url_trust
 
@@ -107,6 +108,51 @@ def test_differencing_decides_pages_without_an_article(spark):
         assert on[k] == own and off[k] == f"Welcome to the site\n{own}\nImprint and contact"
 
 
+def test_differencing_decides_pages_that_declare_articles(spark):
+    page = ("<body><nav>menu {0}</nav><main><p>Welcome to the site</p><article><p>unique words of page {0} and more</p><p>a line that all quote</p></article>"
+            "<article><p>Latest post</p><p>everywhere the same</p></article></main></body>")
+    rows = [(k, f"http://a.com/{k}", page.format(k)) for k in range(5)]
+    rows += [(k, f"http://d.com/{k}", f"<p>menu {k} {k}</p><article>the text of a copied article</article><article>teaser {k}</article>") for k in (12, 13)]
+    rows += [(9, "http://b.com/", page.format(9)), *((k, f"http://c.com/{k}", f"<article>same short text</article><p>other words of page {k}</p>") for k in (10, 11))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    on = {r.page_id: r for r in page_diff.main_text(pages).collect()}
+    off = {r.page_id: r for r in page_diff.main_text(pages, copy=0).collect()}
+    for k in range(5):
+        assert (on[k].text, on[k].n_shared) == (f"unique words of page {k} and more\na line that all quote", 3)
+        assert on[k].n_chars == len(on[k].text) and off[k].n_shared == 0 and off[k].text.startswith("Welcome") and off[k].text.endswith("the same")
+    assert on[9].text == off[9].text and on[9].n_shared == 0  # no neighbour
+    assert on[10].text == on[11].text == "same short text"  # no other article
+    assert [on[k].text for k in (12, 13)] == [f"the text of a copied article\nteaser {k}" for k in (12, 13)]
+
+
+def test_lines_lost_by_the_check():
+    def lost(places, articles, shared, sizes=(9,) * 10):
+        return page_diff.lines_lost(places, articles, list(sizes), shared)
+
+    assert lost([1, 3, 5], None, {0, 3, 5}) == [1, 2]  # no article
+    assert lost([1, 3, 5], [1, 1, 1], {1, 3}) == []  # an article with a line left gets the others back
+    assert lost([1, 3, 5], [1, 1, 1], {1, 3, 5}) == []  # nothing left of the only article
+    assert lost([1, 3, 5], [0, 0, 0], {1, 3}) == []  # a main element alone
+    assert lost([1, 3, 5, 7, 9], [0, 1, 1, 2, 0], {1, 3, 7}) == [0, 3]  # a repeated article, and a line of main
+    assert lost([1, 3, 5], [0, 1, 2], {3, 5}) == []  # of the articles none is left
+    assert lost([1, 3], [1, 2], {1}, [0, 50, 0, 20]) == []  # a copied text beside a new teaser
+    assert lost([1, 3], [1, 2], {1}, [0, 20, 0, 50]) == [0]
+    assert lost([], [], {1}) == lost([], None, {1}) == []
+
+
+def test_common_lines_of_long_pages_in_little_memory():
+    rng = random.Random(6)
+    a = [rng.randint(0, 4000) for _ in range(8000)]
+    b = [v if k % 3 else -k - 1 for k, v in enumerate(a)]
+    tracemalloc.start()
+    found = page_diff.common_lines(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rest = iter(b)
+    assert len(found) >= sum(v >= 0 for v in b) and all(a[i] in rest for i in found)
+    assert peak < 5_000_000
+
+
 def test_passages_without_white_space_are_cut(spark):
     rng = random.Random(13)
     signs = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
